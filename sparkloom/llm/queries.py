@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import decontaminate, mixing, sharding, tokenids
 
 
 def queries() -> dict:
     return {
         "op2_mixing": mixing.op2_mixing,
+        "op5_token_ids": tokenids.op5_token_ids,
         "op9_sharding": sharding.op9_sharding,
+        "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.OP2_SQL}
+    return {"op2_mixing": mixing.OP2_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
