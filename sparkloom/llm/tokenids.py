@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -19,7 +21,7 @@ END_ID = 0
 #: Ids after which a block is closed at the next document end.
 BLOCK_IDS = 1 << 15
 #: Words kept in a worker's newer and older word table each.
-WORDS_KEPT = 250_000
+WORDS_KEPT = 500_000
 
 MAGIC = b"TPK1"
 #: magic, bits per id, documents, ids, ids of the shard before this block.
@@ -81,6 +83,24 @@ class Block:
         return unpack_ids(self.packed, self.bits, int(self.offsets[i]), int(self.offsets[i + 1] - self.offsets[i]))
 
 
+#: Pieces that the vocabulary's split makes of a word of plain letters, digits and marks;
+#: apostrophes, other white space and further scripts are left to the library.
+_PIECES = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+|[!-&(-/:-@\\[-`{-~]+|\\n")
+
+
+class _Packers(dict):
+    """Number of ids -> the function that packs so many."""
+
+    def __missing__(self, n: int):
+        out = struct.Struct(f"<{n}I").pack
+        if n < 64:
+            self[n] = out
+        return out
+
+
+_PACKERS = _Packers()
+
+
 class _Unsafe(Exception):
     """A word whose split from the text needs the text around it."""
 
@@ -102,18 +122,22 @@ class _Words(dict):
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer, self.model, self.older, self.marks = tokenizer, tokenizer.model, {}, {}
+        self.tokenizer, self.tokenize, self.older, self.marks = tokenizer, tokenizer.model.tokenize, {}, {}
         self.letters = _byte_letters()
         self.space = self.letters[0x20]
 
     def encode(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return _PACKERS[len(ids)](*ids)
 
     def __missing__(self, word: str) -> bytes:
         out = self.older.get(word)
         if out is None:
-            out = self.chunk(word)
+            if word.isascii() and word.isalpha():
+                ids = [t.id for t in self.tokenize(self.space + word)]
+                out = _PACKERS[len(ids)](*ids)
+            else:
+                out = self.chunk(word)
         self[word] = out
         return out
 
@@ -122,16 +146,28 @@ class _Words(dict):
             raise _Unsafe
         last = word[-1]
         if last in ".,;:!?" and word[:-1].isalpha():
-            mark = self.marks.get(last)
-            if mark is None:
-                mark = self.marks[last] = self.encode(last)
-            return self[word[:-1]] + mark
-        if word.isalpha() and max(word) < "ɐ":
-            # One piece of the split: the merges apply to it directly.
-            spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.model.tokenize(self.space + spelt)]
-            return struct.pack(f"<{len(ids)}I", *ids)
-        return self.encode(" " + word)
+            return self[word[:-1]] + self.piece(last)
+        pieces = _PIECES.findall(word)
+        if len("".join(pieces)) != len(word) or "\n\n" in word:
+            return self.encode(" " + word)
+        out = self.merge(" " + pieces[0])
+        for x in pieces[1:]:
+            out += self.piece(x)
+        return out
+
+    def piece(self, text: str) -> bytes:
+        """Ids of a piece of the split inside a word."""
+        out = self.marks.get(text)
+        if out is None:
+            out = self.merge(text)
+            if len(self.marks) < WORDS_KEPT:
+                self.marks[text] = out
+        return out
+
+    def merge(self, piece: str) -> bytes:
+        """Ids of one piece of the split, to which the merges apply directly."""
+        ids = [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        return _PACKERS[len(ids)](*ids)
 
     def turn(self) -> None:
         if len(self) > WORDS_KEPT:
@@ -163,9 +199,15 @@ class Encoder:
         return (self.words.encode(first) if first else b"") + out
 
 
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    """One encoder, with its word tables, for all tasks of a worker."""
+    return Encoder(path)
+
+
 def _packer(path: str, end_id: int, block_ids: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         end = struct.pack("<I", end_id)
         shard = TaskContext.get().partitionId()
         docs: list = []
