@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, sharding, tokenids
+from . import decontaminate, minhash, mixing, sharding, tokenids
 
 
 def queries() -> dict:
     return {
         "op2_mixing": mixing.op2_mixing,
+        "op3_minhash": minhash.op3_minhash,
         "op5_token_ids": tokenids.op5_token_ids,
         "op9_sharding": sharding.op9_sharding,
         "op10_decontaminate": decontaminate.op10_decontaminate,
@@ -15,4 +16,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.OP2_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
+    return {"op2_mixing": mixing.OP2_SQL, "op3_minhash": minhash.OP3_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
