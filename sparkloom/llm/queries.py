@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash, mixing, sharding, tokenids
+from . import decontaminate, embeddings, minhash, mixing, sharding, tokenids
 
 
 def queries() -> dict:
     return {
+        "op1_embeddings": embeddings.op1_embeddings,
         "op2_mixing": mixing.op2_mixing,
         "op3_minhash": minhash.op3_minhash,
         "op5_token_ids": tokenids.op5_token_ids,
@@ -16,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.OP2_SQL, "op3_minhash": minhash.OP3_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
+    return {"op2_mixing": mixing.OP2_SQL, "op1_embeddings": embeddings.OP1_SQL, "op3_minhash": minhash.OP3_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
