@@ -11,62 +11,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, read_table
+from .hashing import mixed, stretches
 
 SHINGLE = 5
 #: Link at 100 * intersection >= PERCENT * union.
 PERCENT = 85
 BINS, BAND_ROWS = 256, 6
 BANDS = BINS // BAND_ROWS
-#: Bytes hashed at once; longer texts go by pieces that end between words.
-PIECE = 1 << 20
 
 #: A-Z to a-z, the six ASCII white-space characters to space.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
 _rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(1, 1 << 63, 256, np.uint64)
 _PLACE = _rng.integers(1, 1 << 63, SHINGLE, np.uint64) | np.uint64(1)
 _LENGTH = _rng.integers(1, 1 << 63, SHINGLE + 1, np.uint64)
 _ROW = _rng.integers(1, 1 << 63, BAND_ROWS, np.uint64) | np.uint64(1)
 _BAND = _rng.integers(1, 1 << 63, BANDS, np.uint64)
 #: Bins that an empty bin asks in turn, the same for all documents.
 _ASK = _rng.integers(0, BINS, (BINS, 4096), np.int64).astype(np.uint16)
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
-    table = _powers.get(base)
-    if table is None or len(table) < n:
-        steps = np.full(max(n, 1 << 15), base, np.uint64)
-        steps[0] = 1
-        table = _powers[base] = np.multiply.accumulate(steps)
-    return table[:n]
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
 
 def word_hashes(text: str) -> np.ndarray:
     """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of the lower-cased (A-Z) text, in order."""
     data = text.encode("utf-8", "surrogatepass").translate(_FOLD)
-    out, at = [], 0
-    while at < len(data):
-        end = data.find(b" ", at + PIECE)
-        end = len(data) if end < 0 else end
-        raw = np.frombuffer(data, np.uint8, end - at, at)
-        edge = np.flatnonzero(np.diff(np.concatenate([[True], raw == 0x20, [True]]).view(np.int8)))
-        start, stop = edge[::2], edge[1::2]
-        # Polynomial hash of each word, as a difference of running sums.
-        run = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTE[raw] * _power(_BASE, len(raw)), out=run[1:])
-        out.append(_mixed((run[stop] - run[start]) * _power(_BASE_INVERSE, len(raw))[start]))
-        at = end
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return np.concatenate([*(w.hashes() for w in stretches(data)), np.zeros(0, np.uint64)])
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -78,7 +45,7 @@ def shingle_set(text: str | None) -> np.ndarray:
     total = np.full(len(words) - n + 1, _LENGTH[n], np.uint64)
     for k in range(n):
         total += words[k : len(words) - n + 1 + k] * _PLACE[k]
-    return np.unique(_mixed(total))
+    return np.unique(mixed(total))
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -108,7 +75,7 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     rows = signature(hashes)[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS)
-    return _mixed((rows * _ROW).sum(1, dtype=np.uint64) + _BAND).view(np.int64)
+    return mixed((rows * _ROW).sum(1, dtype=np.uint64) + _BAND).view(np.int64)
 
 
 def _signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, minhash, mixing, sharding, tokenids
+from . import decontaminate, embeddings, language, minhash, mixing, sharding, tokencounts, tokenids, toxicity
 
 
 def queries() -> dict:
@@ -10,7 +10,10 @@ def queries() -> dict:
         "op1_embeddings": embeddings.op1_embeddings,
         "op2_mixing": mixing.op2_mixing,
         "op3_minhash": minhash.op3_minhash,
+        "op4_language": language.op4_language,
         "op5_token_ids": tokenids.op5_token_ids,
+        "op7_toxicity": toxicity.op7_toxicity,
+        "op8_token_counts": tokencounts.op8_token_counts,
         "op9_sharding": sharding.op9_sharding,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
