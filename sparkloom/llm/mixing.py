@@ -51,14 +51,14 @@ def source_targets(sized: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
 
 
 def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED,
-        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """Words that the mix takes from every row: doc_id, size, source_size, target, taken, repeats.
 
     A source's target is taken as whole repetitions of all its rows and one
     fractional repetition: rows in the order of a seeded draw (md5 of seed and
     id) until the words left over are spent; the row on which they end gives only
     the words still missing, so a source's words are its target rounded down. `repeats`
-    counts the times a row is wholly taken, the ending row by rounding.
+    counts the times a row is wholly taken, the ending row by rounding. Columns of keep are passed through.
 
     Null and empty texts have size 0 and take nothing. Repeated ids draw alike and
     are ordered by size; a null id draws as the empty string. An empty table gives an empty
@@ -68,7 +68,8 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED,
     the one slice in which a source ends, and only its rows are ordered.
     """
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+        *(F.col(c) for c in keep if c not in ("doc_id", "source", "size")))
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     rows = rows.withColumn("draw", draw)
     rows = rows.withColumn("slice", F.conv(F.substring("draw", 1, SLICE_DIGITS), 16, 10).cast("int"))
@@ -88,7 +89,7 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED,
         "extra", F.least(F.col("size"), F.greatest(F.lit(0), F.col("left") - F.coalesce(F.sum("size").over(run), F.lit(0)))))
     out = even.select("*").unionByName(ending)
     return out.select(
-        "doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"),
+        "doc_id", *(c for c in keep if c not in ("doc_id", "size")), "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"),
         (F.col("whole") + F.when(F.col("extra") * 2 > F.col("size"), 1).otherwise(0)).cast("int").alias("repeats"))
 
 

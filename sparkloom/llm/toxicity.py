@@ -14,15 +14,16 @@ from .hashing import stretches
 from .language import bounded_sample, fold
 
 #: At most about so many labelled rows are learned from, drawn by hash.
-TRAIN_ROWS = 12_000
-#: Terms are hashed to so many bits; the machine holds the most telling ones.
+TRAIN_ROWS = 20_000
+#: Terms are hashed to so many bits; the machine holds the most telling ones, of so
+#: many rows and so much chi-square against the label at least.
 TERM_BITS = 31
 TERMS = 1 << 14
-LEAST_ROWS = 4
+LEAST_ROWS, LEAST_GAIN = 4, 20.0
 #: A word counts as a term, and so do its first 4, 5 and 6 bytes.
 PREFIXES = (4, 5, 6)
 FACTORS = 8
-EPOCHS = 20
+EPOCHS = 30
 THRESHOLD = 0.7
 
 _FOLD = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -67,7 +68,7 @@ class FactorizationMachine:
         at = self.places(found)
         return float(1 / (1 + np.exp(-np.clip(self.raw(at[None, :])[0], -40, 40))))
 
-    def fit(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 1e-4, batch: int = 128) -> None:
+    def fit(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 3e-5, batch: int = 128) -> None:
         """Adaptive gradient descent on the logistic loss, in a seeded order."""
         rng = np.random.default_rng(len(rows))
         rate_of = labels.mean() if len(labels) else 0.0
@@ -119,8 +120,8 @@ def learn(rows: DataFrame, train_rows: int = TRAIN_ROWS, held_terms: int = TERMS
     n, positive = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     share = positive / n if n else 0.0
     counts = known.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("p"))
-    gain = F.pow(F.col("p") - F.col("n") * F.lit(share), 2) / F.col("n")
-    top = counts.filter(F.col("n") >= LEAST_ROWS).orderBy(gain.desc(), "term").limit(held_terms).select("term").collect()
+    gain = F.pow(F.col("p") - F.col("n") * F.lit(share), 2) / (F.col("n") * F.lit(max(share * (1 - share), 1e-12)))
+    top = counts.filter((F.col("n") >= LEAST_ROWS) & (gain >= LEAST_GAIN)).orderBy(gain.desc(), "term").limit(held_terms).select("term").collect()
     machine = FactorizationMachine(np.sort(np.array([r[0] for r in top], np.int64)))
     if not n or not 0 < positive < n:
         machine.bias = 40.0 * (2 * share - 1) if n else -40.0
