@@ -30,6 +30,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def hash_sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, shifts): bytes i .. j - 1 hash to (sums[j] - sums[i]) * shifts[i], wherever they stand."""
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * _power(_BASE, len(raw)), out=sums[1:])
+    return sums, _power(_BASE_INVERSE, len(raw))
+
+
 class Words:
     """Words of a stretch of text whose separators are spaces: start, stop and their hashes."""
 
@@ -37,10 +44,7 @@ class Words:
         raw = np.frombuffer(data, np.uint8, end - at, at)
         edge = np.flatnonzero(np.diff(np.concatenate([[True], raw == 0x20, [True]]).view(np.int8)))
         self.start, self.stop = edge[::2], edge[1::2]
-        # A polynomial hash of any substring is a difference of running sums.
-        self._run = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTE[raw] * _power(_BASE, len(raw)), out=self._run[1:])
-        self._shift = _power(_BASE_INVERSE, len(raw))
+        self._run, self._shift = hash_sums(raw)
 
     def hashes(self) -> np.ndarray:
         return self._between(self.start, self.stop)

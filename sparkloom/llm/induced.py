@@ -212,11 +212,10 @@ def _names(text: _Text, starts: np.ndarray) -> np.ndarray:
         # A stretch that ends where another goes on is the larger: past its end stands the largest value.
         keep = length[some] - k
         short = np.flatnonzero(keep < text.step)
-        if text.narrow:
-            word[short] |= _PAD >> (8 * keep[short]).astype(np.uint64)
+        word[short] |= _PAD >> (8 * keep[short]).astype(np.uint64)
         some = _refined(rank, some, word)
         k += text.step
-        some = some[length[some] > k]
+        some = some[length[some] >= k]
     return rank
 
 

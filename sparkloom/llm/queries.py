@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, language, minhash, mixing, sharding, tokencounts, tokenids, toxicity
+from . import decontaminate, embeddings, language, minhash, mixing, sharding, suffixdedup, tokencounts, tokenids, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_minhash": minhash.op3_minhash,
         "op4_language": language.op4_language,
         "op5_token_ids": tokenids.op5_token_ids,
+        "op6_suffix_dedup": suffixdedup.op6_suffix_dedup,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_token_counts": tokencounts.op8_token_counts,
         "op9_sharding": sharding.op9_sharding,
