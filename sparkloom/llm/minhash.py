@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +20,10 @@ SHINGLE = 5
 PERCENT = 85
 BINS, BAND_ROWS = 256, 6
 BANDS = BINS // BAND_ROWS
+#: Bits of a sketch, one a bin. Two sets at the threshold agree in SKETCH_LEAST of them but with probability 4e-11.
+SKETCH = 2048
+_AGREE = (1 + PERCENT / 100) / 2
+SKETCH_LEAST = math.floor(SKETCH * _AGREE - 6.5 * math.sqrt(SKETCH * _AGREE * (1 - _AGREE)))
 
 #: A-Z to a-z, the six ASCII white-space characters to space.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
@@ -26,8 +32,7 @@ _PLACE = _rng.integers(1, 1 << 63, SHINGLE, np.uint64) | np.uint64(1)
 _LENGTH = _rng.integers(1, 1 << 63, SHINGLE + 1, np.uint64)
 _ROW = _rng.integers(1, 1 << 63, BAND_ROWS, np.uint64) | np.uint64(1)
 _BAND = _rng.integers(1, 1 << 63, BANDS, np.uint64)
-#: Bins that an empty bin asks in turn, the same for all documents.
-_ASK = _rng.integers(0, BINS, (BINS, 4096), np.int64).astype(np.uint16)
+
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -48,31 +53,42 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(mixed(total))
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """One-permutation MinHash of a non-empty sorted hash set, densified.
+@functools.cache
+def _asked_by(bins: int) -> np.ndarray:
+    """Bins that each empty bin asks in turn, the same for all documents."""
+    return np.random.default_rng([20240607, bins]).integers(0, bins, (bins, 4096)).astype(np.uint16)
+
+
+def signature(hashes: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """One-permutation MinHash of a non-empty sorted hash set, densified; bins is a power of two.
 
     The leading bits of a hash are its bin, so the first hash of each bin is its minimum.
     An empty bin asks bins in a fixed random order of its own until
     one is filled, and takes that one's value.
     """
-    bins = (hashes >> np.uint64(56)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]]))
-    out = np.zeros(BINS, np.uint64)
-    full = np.zeros(BINS, bool)
-    out[bins[first]] = hashes[first]
-    full[bins[first]] = True
+    bin_of = (hashes >> np.uint64(65 - bins.bit_length())).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], bin_of[1:] != bin_of[:-1]]))
+    out = np.zeros(bins, np.uint64)
+    full = np.zeros(bins, bool)
+    out[bin_of[first]] = hashes[first]
+    full[bin_of[first]] = True
+    order = _asked_by(bins)
     empty, at, step = np.flatnonzero(~full), 0, 16
-    while len(empty) and at < _ASK.shape[1]:
-        asked = _ASK[empty, at : at + step]
+    while len(empty) and at < order.shape[1]:
+        asked = order[empty, at : at + step]
         filled = full[asked]
         got = filled.any(1)
         out[empty[got]] = out[asked[got, filled[got].argmax(1)]]
         empty, at, step = empty[~got], at + step, step * 4
-    if len(empty):
-        out[empty] = hashes[0]
+    out[empty] = hashes[0]
     return out
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """One bit of each bin's minimum, as 64-bit integers."""
+    return np.packbits((signature(hashes, SKETCH) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+
+
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     rows = signature(hashes)[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS)
     return mixed((rows * _ROW).sum(1, dtype=np.uint64) + _BAND).view(np.int64)
@@ -95,8 +111,11 @@ def _signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([
-            batch.column(0), pa.array([shingle_set(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "hashes"])
+            batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary()),
+            pa.array([sketch(x) if len(x) else None for x in sets], pa.list_(pa.int64())),
+            pa.array([band_keys(x) if len(x) else None for x in sets], pa.list_(pa.int64()))], names=["id", "hashes", "sketch", "bands"])
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,6 +135,13 @@ def _sizes_fit(a: Column, b: Column) -> Column:
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
+def _sketches_fit(a: str, b: str) -> Column:
+    same = F.lit(SKETCH)
+    for k in range(SKETCH // 64):
+        same = same - F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k]))
+    return same >= SKETCH_LEAST
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs(u, v) that are similar by their full shingle sets."""
     left = sets.select(F.col("id").alias("u"), F.col("hashes").alias("a"))
@@ -129,11 +155,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents with equal shingle sets form one class, and only its least id goes on.
     Classes meet in banded buckets of their densified signatures; each bucket proposes a
-    star from its least id, so a bucket of n proposes n - 1 pairs. Proposals are confirmed on
+    star from its class that meets most others, so a bucket of n proposes n - 1 pairs. Proposals are confirmed on
     full sets: first one hub for every class, then the hubs that are still in another
     component. Buckets that hold several components after that get the rest: each class outside the bucket's largest
     component against the classes of other components, so no pair that shares a bucket goes
-    unexamined unless it is connected already. A pair at the threshold shares no bucket with probability 2e-9.
+    unexamined unless it is connected already or its sketches are too unlike. A pair at the threshold shares no bucket with probability 2e-9.
 
     Null and empty texts have no shingles and stand alone. Rows that repeat an id are one
     document: they share its component. A null id stands alone with a null component and is kept. An
@@ -147,15 +173,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # A class is represented by the row of its least id.
     heads = filled.join(classes.select(F.col("digest").alias("g"), "rep"), (F.col("digest") == F.col("g")) & (F.col("doc_id") == F.col("rep")), "left_semi")
     rows = heads.select(F.col("doc_id").alias("u"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    hubs = rows.groupBy("key").agg(F.min(F.struct("u", "n")).alias("hub"), F.max("u").alias("last")).filter("hub.u <> last")
     # Only rows of buckets with several classes are kept from here on.
-    met = materialize(rows.join(hubs.select("key", F.col("hub.u").alias("v"), F.col("hub.n").alias("m")), "key").distinct(), "buckets")
-    stars = materialize(met.filter("u <> v").filter(_sizes_fit(F.col("n"), F.col("m"))).select("u", "v").distinct(), "stars")
+    shared = rows.groupBy("key").agg(F.min("u").alias("lo"), F.max("u").alias("hi"), F.count("*").alias("size")).filter("lo <> hi")
+    met = materialize(rows.join(shared.select("key", "size"), "key").dropDuplicates(["key", "u"]), "buckets")
+    # A class that meets many is like many: such hubs confirm most of their bucket at once.
+    weight = met.groupBy("u").agg(F.sum("size").alias("weight"))
+    ranked = met.join(weight, "u")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("weight", F.negative("u").alias("minus"), "n")).alias("hub"))
+    hubs = hubs.select("key", F.negative("hub.minus").alias("v"), F.col("hub.n").alias("m"), F.col("hub.weight").alias("weight"))
+    stars = met.join(hubs, "key").filter("u <> v").filter(_sizes_fit(F.col("n"), F.col("m")))
+    stars = materialize(stars.groupBy("u", "v").agg(F.max("weight").alias("weight")), "stars")
     wanted = met.select(F.col("u").alias("doc_id")).distinct()
     sets = materialize(
-        texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, hashes binary").dropDuplicates(["id"]), "sets")
+        texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, hashes binary, sketch array<long>, bands array<long>").dropDuplicates(["id"]), "sets")
 
-    tried = stars.groupBy("u").agg(F.min("v").alias("v"))
+    tried = stars.groupBy("u").agg(F.max(F.struct("weight", F.negative("v").alias("minus"))).alias("hub")).select("u", F.negative("hub.minus").alias("v"))
     links = _confirmed(tried, sets)
     parts = connected_components(links)
 
@@ -172,15 +204,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = met.select("key", "u", "n").join(parts.select(F.col("node").alias("u"), "component"), "u", "left")
     placed = placed.withColumn("component", F.coalesce("component", "u"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    placed = materialize(placed.join(mixed, "key", "left_semi"), "placed")
+    sketches = sets.select(F.col("id").alias("u"), "sketch", "bands")
+    placed = materialize(placed.join(mixed, "key", "left_semi").join(sketches, "u"), "placed")
     # Largest component of a bucket: most classes, then least id.
     largest = placed.groupBy("key", "component").count().groupBy("key").agg(F.max(F.struct("count", F.negative("component").alias("c"))).alias("top"))
     outside = placed.join(largest.select("key", F.negative("top.c").alias("main")), "key").filter("component <> main")
-    other = placed.select("key", F.col("u").alias("v"), F.col("n").alias("m"), F.col("component").alias("cv"))
+    other = placed.select("key", F.col("u").alias("v"), F.col("n").alias("m"), F.col("component").alias("cv"), F.col("sketch").alias("other"), F.col("bands").alias("met"))
     strays = (
-        outside.select("key", "u", "n", "component", "main").join(other, "key").filter("component <> cv")
-        .filter((F.col("cv") == F.col("main")) | (F.col("u") > F.col("v"))).filter(_sizes_fit(F.col("n"), F.col("m")))
-        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
+        outside.select("key", "u", "n", "component", "main", "sketch", "bands").join(other, "key").filter("component <> cv")
+        .filter((F.col("cv") == F.col("main")) | (F.col("u") > F.col("v"))).filter(_sizes_fit(F.col("n"), F.col("m"))).filter(_sketches_fit("sketch", "other"))
+        .filter(F.array_min(F.array_intersect("bands", "met")) == F.col("key"))  # once, though they share more buckets
+        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        .join(stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti")
     )
     links = links.union(_confirmed(strays, sets))
     parts = connected_components(links)
