@@ -84,9 +84,13 @@ def student_p(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return np.where(direct, front * _beta_fraction(a, b, x) / a, 1 - front * _beta_fraction(b, a, 1 - x) / b)
 
 
-@F.pandas_udf("double")
-def p_value(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series(student_p(t.to_numpy(), df.to_numpy())).where(t.notna() & df.notna())
+def p_value(t: Column, df: Column) -> Column:
+    """Two-sided p-value of t: Spark has no t distribution, so Arrow batches go to numpy."""
+    @F.pandas_udf("double")
+    def run(t: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series(student_p(t.to_numpy(), df.to_numpy())).where(t.notna() & df.notna())
+
+    return run(t, df)
 
 
 def pearson_t(r: Column, n: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -107,24 +107,30 @@ men AS (SELECT event_id, CAST(ts AS DATE) AS date, CASE WHEN user_id % 2 = 0 THE
   FROM (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events))"""
 
 
+def _mean_cents(c: str) -> Column:
+    """Mean of amounts in whole cents: the same whatever the order of the sum."""
+    cents = F.sum(F.round(F.col(c) * 100).cast("long"))
+    return F.floor(cents / F.count("*")).cast("double") / 100
+
+
 def prices(spark: SparkSession, d: str) -> DataFrame:
     """A daily series: the mean order total of a day."""
     t = table(spark, d, "orders")
-    return t.groupBy(F.to_date("o_orderdate").alias("date")).agg(F.round(F.avg("o_totalprice"), 4).alias("price"))
+    return t.groupBy(F.to_date("o_orderdate").alias("date")).agg(_mean_cents("o_totalprice").alias("price"))
 
 
-PRICES = "px AS (SELECT CAST(o_orderdate AS DATE) AS date, round(avg(o_totalprice), 4) AS price FROM orders GROUP BY 1)"
+PRICES = "px AS (SELECT CAST(o_orderdate AS DATE) AS date, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) // count(*) AS DOUBLE) / 100 AS price FROM orders GROUP BY 1)"
 
 
 def bars(spark: SparkSession, d: str) -> DataFrame:
     """Daily bars of ship days: low, high, close (mean) and volume."""
     t = table(spark, d, "lineitem")
     return t.groupBy(F.to_date("l_shipdate").alias("date")).agg(
-        F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"), F.round(F.avg("l_extendedprice"), 4).alias("close"), F.sum("l_quantity").alias("volume"))
+        F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"), _mean_cents("l_extendedprice").alias("close"), F.sum("l_quantity").alias("volume"))
 
 
 BARS = """bars AS (SELECT CAST(l_shipdate AS DATE) AS date, min(l_extendedprice) AS low, max(l_extendedprice) AS high,
-  round(avg(l_extendedprice), 4) AS close, sum(l_quantity) AS volume FROM lineitem GROUP BY 1)"""
+  CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) // count(*) AS DOUBLE) / 100 AS close, sum(l_quantity) AS volume FROM lineitem GROUP BY 1)"""
 
 
 def mention_prices(spark: SparkSession, d: str) -> DataFrame:

@@ -10,9 +10,6 @@ from ..operators import signals as S
 from ..operators.windows import add_lags, add_rolling, per_series
 from . import adapters as A
 
-W = per_series("target")
-
-
 def _rounded(df: DataFrame, *parts: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in df.columns if any(p in c for p in parts)})
 
@@ -38,17 +35,20 @@ def mention_daily_pooled(s: SparkSession, d: str) -> DataFrame:
 
 
 def text_lag_roll(s: SparkSession, d: str) -> DataFrame:
-    df = add_rolling(add_lags(text_daily(s, d), D.TEXT_LAGS, W), D.TEXT_ROLLS, W)
+    w = per_series("target")
+    df = add_rolling(add_lags(text_daily(s, d), D.TEXT_LAGS, w), D.TEXT_ROLLS, w)
     return _rounded(df, "_roll")
 
 
 def stat_lag_roll(s: SparkSession, d: str) -> DataFrame:
-    df = add_rolling(add_lags(stat_daily(s, d), D.STAT_LAGS, W), D.STAT_ROLLS, W)
+    w = per_series("target")
+    df = add_rolling(add_lags(stat_daily(s, d), D.STAT_LAGS, w), D.STAT_ROLLS, w)
     return _rounded(df, "_roll")
 
 
 def mention_lag_roll(s: SparkSession, d: str) -> DataFrame:
-    df = add_rolling(add_lags(mention_daily(s, d), D.MENTION_LAGS, W), D.MENTION_ROLLS, W, shifted=False)
+    w = per_series("target")
+    df = add_rolling(add_lags(mention_daily(s, d), D.MENTION_LAGS, w), D.MENTION_ROLLS, w, shifted=False)
     return _rounded(df, "_roll")
 
 

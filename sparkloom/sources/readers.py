@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,7 +98,10 @@ def visible_text(html: str | None) -> str:
     return "\n".join(x for x in lines if x)
 
 
-@F.pandas_udf("string")
-def html_text(html: pd.Series) -> pd.Series:
+def html_text(html: Column) -> Column:
     """Visible text of HTML: Spark has no parser of it, so Arrow batches go to the standard library's."""
-    return html.map(visible_text)
+    @F.pandas_udf("string")
+    def run(html: pd.Series) -> pd.Series:
+        return html.map(visible_text)
+
+    return run(html)
