@@ -117,7 +117,7 @@ def _least_linked(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _compare(threshold: float, epsilon: float | None):
-    def compare(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """One block, or two against each other: each vector's links here and a vector it is connected to."""
         first = rows.side.to_numpy() == 0
         vectors = np.array(rows.vector.tolist(), np.float64)
