@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +36,16 @@ def report(df: DataFrame, path: str, line: Column | None = None) -> None:
 def texts_by_path(df: DataFrame, path: str, name: str = "path", text: str = "text") -> None:
     """Texts keyed by the path of their page, .txt for .html, as a table."""
     df.select(F.regexp_replace(name, r"\.html$", ".txt").alias("path"), F.col(text).alias("text")).write.mode("overwrite").parquet(path)
+
+
+def resume(work: DataFrame, path: str, key: str, run: Callable[[DataFrame], DataFrame], batches: int = 10) -> None:
+    """Run work that has no stored `ok` result, in batches by a hash of the key; each batch is stored before the next starts."""
+    for k in range(batches):
+        part = work.filter(F.pmod(F.xxhash64(key), F.lit(batches)) == k)
+        try:
+            stored = work.sparkSession.read.parquet(path)
+            part = part.join(stored.filter("status = 'ok'").select(key), key, "left_anti")
+        except Exception as e:  # nothing stored yet
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+        run(part).write.mode("append").parquet(path)

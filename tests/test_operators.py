@@ -179,3 +179,27 @@ def test_stream_drops_repeats(spark, tmp_path):
     q = ingest.append_to(ingest.article_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), once=True)
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_search_rotates_keys_and_resume_skips_done(spark, tmp_path):
+    from sparkloom.sources import search
+
+    ring = search.KeyRing(["a", "b"], calls=2)
+    assert [ring.key() for _ in range(5)] == ["a", "a", "b", "b", "a"]
+
+    def client(key, query, day):
+        if key == "a":
+            return 429, []
+        return 200, [{"url": "https://x.y/z", "title": query, "date": "2 days ago"}]
+
+    grid = spark.createDataFrame([(dt.date(2024, 3, 1), "q")], "day date, query string")
+    row = search.links(search.search(grid, client, ["a", "b"]), F.lit("2024-03-10").cast("date")).first()
+    assert (row.domain, row.title, row.published_date) == ("x.y", "q", dt.date(2024, 3, 8))
+    seeds = spark.createDataFrame([("s",), ("t",)], "seed string")
+    assert [r.suggestion for r in search.suggestions(seeds, lambda s: ["same"]).collect()] == ["same"]
+
+    work = spark.createDataFrame([(i,) for i in range(6)], "url_hash int")
+    path = str(tmp_path / "cache")
+    writers.resume(work, path, "url_hash", lambda df: df.withColumn("status", F.when(F.col("url_hash") < 2, "error: x").otherwise("ok")), batches=2)
+    writers.resume(work, path, "url_hash", lambda df: df.withColumn("status", F.lit("ok")), batches=2)
+    assert spark.read.parquet(path).filter("status = 'ok'").count() == 6 and spark.read.parquet(path).count() == 8
