@@ -34,28 +34,38 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/sparkloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this application has written to the scratch folder, when its results have been read."""
+    _delete(spark, f"{scratch_dir(spark)}/sparkloom/{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def materialize(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Write a table in the shared scratch folder and read it back.
 
-    Cuts lineage: what follows survives lost executors without recomputing df.
+    Cuts lineage: what follows survives lost executors without recomputing df. release
+    lets Spark delete the shuffle files of finished steps, which stay on the executors' disks until the driver collects its garbage.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    if release:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch(df: DataFrame) -> None:
     """Delete the files of a table made by materialize()."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/sparkloom/" in name:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            _delete(df.sparkSession, name)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

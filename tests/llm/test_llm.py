@@ -473,3 +473,16 @@ def test_contamination_edges_and_cutting(spark):
     assert decontaminate.find_contamination(empty(spark), bench).count() == 0
     cut = decontaminate.remove_spans(decontaminate.find_contamination(docs(spark, ["é a, b-C d"]), bench, keep=("doc_id", "text")))
     assert cut.first().text == "é a,  d"
+
+
+def test_scratch_is_cleared(spark):
+    from sparkloom.llm import common
+
+    df = common.materialize(spark.range(3), "some")
+    folder = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(folder) and df.count() == 3
+    common.drop_scratch(df)
+    assert not os.path.isdir(folder)
+    common.materialize(spark.range(3), "other")
+    common.clear_scratch(spark)
+    assert not os.path.isdir(os.path.dirname(folder))
