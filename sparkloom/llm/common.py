@@ -28,7 +28,7 @@ def scratch_dir(spark: SparkSession) -> str:
     own = sc._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get().rstrip("/")
-    if not sc.master.startswith("local["):
+    if not sc._jsc.sc().isLocal():
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     return _local_scratch.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="sparkloom-"))
 
