@@ -15,27 +15,54 @@ from .common import read_table
 VOCABULARY = "piece_bpe_32k.model"
 #: Stands for the space before a word.
 MARK = "▁"
-#: Words whose prefixes share one trie, and counted words that a worker remembers, twice.
-TRIE_WORDS = 20_000
+#: New words and texts after which the words gathered are put in one trie.
+TRIE_WORDS, TRIE_TEXTS = 40_000, 1_000
+#: Counted words that a worker remembers, twice.
 WORDS_KEPT = 400_000
 
 _FOLD = bytes(0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
 
 
 class Unigram:
-    """Pieces of a vocabulary with log-probabilities that fall with the piece's rank (Zipf's law)."""
+    """Pieces of a vocabulary with log-probabilities that fall with the piece's rank (Zipf's law).
+
+    An automaton finds the pieces that end at a character: a state is the longest
+    suffix so far that begins a piece, and `ends` lists (length, log-probability) of the pieces that end there.
+    """
 
     def __init__(self, pieces: list[str], byte_cost: float | None = None):
         total = sum(1 / (r + 1) for r in range(len(pieces)))
-        self.root: dict = {}
+        #: A character that no piece ends with is spelt in bytes, each a token at this cost.
+        self.byte_cost = byte_cost if byte_cost is not None else -math.log((len(pieces) + 1) * total)
+        self.next: list[dict[str, int]] = [{}]
+        own: list[tuple | None] = [None]
         for r, piece in enumerate(pieces):
-            node = self.root
+            s = 0
             for c in piece:
-                node = node.setdefault(c, {})
+                if c not in self.next[s]:
+                    self.next[s][c] = len(self.next)
+                    self.next.append({})
+                    own.append(None)
+                s = self.next[s][c]
             # The first of equal pieces stands.
-            node.setdefault("", -math.log((r + 1) * total))
-        #: A character that no piece begins with is spelt in bytes, each a token at this cost.
-        self.byte_cost = byte_cost if byte_cost is not None else -math.log((len(pieces) + 1) * total)
+            own[s] = own[s] or (len(piece), -math.log((r + 1) * total))
+        self.back = [0] * len(self.next)
+        self.ends: list[tuple[tuple[int, float], ...]] = [()] * len(self.next)
+        level = [0]
+        while level:
+            following = []
+            for s in level:
+                for c, t in self.next[s].items():
+                    if s:
+                        up = self.back[s]
+                        while up and c not in self.next[up]:
+                            up = self.back[up]
+                        self.back[t] = self.next[up].get(c, 0)
+                    self.ends[t] = ((own[t],) if own[t] else ()) + self.ends[self.back[t]]
+                    following.append(t)
+            level = following
+        #: Moves found so far, whether along a piece or back to a shorter suffix.
+        self.moves: list[dict[str, int]] = [{} for _ in self.next]
 
     @classmethod
     def from_file(cls, path: str) -> Unigram:
@@ -44,67 +71,90 @@ class Unigram:
         p = sentencepiece.SentencePieceProcessor(model_file=path)
         return cls([p.id_to_piece(i) for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i))])
 
-    def start(self) -> tuple:
-        """(score, tokens, open pieces) of the empty prefix; an open piece is (its node, score before, tokens before)."""
-        return 0.0, 0, ((self.root, 0.0, 0),)
+    def move(self, state: int, c: str) -> int:
+        s = state
+        while s and c not in self.next[s]:
+            s = self.back[s]
+        out = self.next[s].get(c, 0)
+        if len(self.moves[state]) < 512:
+            self.moves[state][c] = out
+        return out
 
-    def step(self, state: tuple, c: str) -> tuple:
-        """The forward state of a prefix from that of the prefix without its last character.
+    def forward(self, words: list[str]) -> Iterator[tuple[str, int, float]]:
+        """(word, tokens, score) of the best segmentation of every distinct word; of equal ones, that of fewest tokens.
 
-        The score is that of the best segmentation; of equal ones, the one of fewest tokens.
+        The words are put in a trie and walked depth first, which is their sorted order: scores of a shared prefix are
+        computed once and stand on the path until the walk leaves it.
         """
-        score, tokens, open_pieces = state
-        n = len(c.encode("utf-8", "surrogatepass"))
-        best, count, going = score + n * self.byte_cost, tokens + n, []
-        for node, before, used in open_pieces:
-            node = node.get(c)
-            if node is None:
-                continue
-            going.append((node, before, used))
-            own = node.get("")
-            if own is not None and (before + own > best or (before + own == best and used + 1 < count)):
-                best, count = before + own, used + 1
-        going.append((self.root, best, count))
-        return best, count, tuple(going)
+        states, scores, counts = [0], [0.0], [0]
+        moves, ends, move, byte_cost = self.moves, self.ends, self.move, self.byte_cost
+        path = ""
+        for word in sorted(words):
+            text = MARK + word
+            k, n = 0, min(len(path), len(text))
+            while k < n and path[k] == text[k]:
+                k += 1
+            del states[k + 1 :], scores[k + 1 :], counts[k + 1 :]
+            for c in text[k:] if k else text:
+                s = states[-1]
+                t = moves[s].get(c)
+                if t is None:
+                    t = move(s, c)
+                width = 1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass"))
+                best, count = scores[-1] + width * byte_cost, counts[-1] + width
+                for length, cost in ends[t]:
+                    own = scores[-length] + cost
+                    if own > best:
+                        best, count = own, counts[-length] + 1
+                    elif own == best and counts[-length] < count:
+                        count = counts[-length] + 1
+                states.append(t)
+                scores.append(best)
+                counts.append(count)
+            path = text
+            yield word, counts[-1], scores[-1]
 
 
 class Counter(dict):
-    """(tokens, score) by word; the new words of a batch are inserted in one trie."""
+    """(tokens, score) by word; the new words of a group of texts share one trie."""
 
     def __init__(self, model: Unigram):
         super().__init__()
         self.model, self.older = model, {}
 
-    def learn(self, words: list[str]) -> None:
-        """Insert words in a trie: a node's forward state is computed once, for all words through it."""
-        for k in range(0, len(words), TRIE_WORDS):
-            step = self.model.step
-            trie: list = [step(self.model.start(), MARK), {}]
-            for word in words[k : k + TRIE_WORDS]:
-                node = trie
-                for c in word:
-                    following = node[1].get(c)
-                    if following is None:
-                        following = node[1][c] = [step(node[0], c), {}]
-                    node = following
-                self[word] = (node[0][1], node[0][0])
+    def learn(self, words: set[str]) -> None:
+        for w in [w for w in words if w in self.older]:
+            self[w] = self.older[w]
+            words.discard(w)
+        for word, tokens, score in self.model.forward(list(words)):
+            self[word] = (tokens, score)
 
     def count(self, texts: list[str | None]) -> tuple[list[int], list[int], list[float]]:
-        split = [(t or "").encode("utf-8", "surrogatepass").translate(_FOLD).decode("utf-8", "surrogatepass").split(" ") for t in texts]
         n_words, n_tokens, scores = [], [], []
-        for words in split:
-            words = [w for w in words if w]
-            new = set(words).difference(self)
-            for w in new & self.older.keys():
-                self[w] = self.older[w]
-            self.learn([w for w in new if w not in self])
-            found = list(map(self.__getitem__, words))
-            n_words.append(len(words))
-            n_tokens.append(sum(x[0] for x in found))
-            scores.append(math.fsum(x[1] for x in found))
+        group: list[list[str]] = []
+        new: set[str] = set()
+
+        def close() -> None:
+            self.learn(new)
+            for words in group:
+                found = list(map(self.__getitem__, words))
+                n_words.append(len(words))
+                n_tokens.append(sum(x[0] for x in found))
+                scores.append(math.fsum(x[1] for x in found))
+            group.clear()
+            new.clear()
             if len(self) > WORDS_KEPT:
                 self.older = dict(self)
                 self.clear()
+
+        for t in texts:
+            words = (t or "").encode("utf-8", "surrogatepass").translate(_FOLD).decode("utf-8", "surrogatepass").split(" ")
+            words = [w for w in words if w]
+            new.update(w for w in words if w not in self)
+            group.append(words)
+            if len(new) >= TRIE_WORDS or len(group) >= TRIE_TEXTS:
+                close()
+        close()
         return n_words, n_tokens, scores
 
 
