@@ -29,8 +29,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group: that of the least id; of rows that repeat an id, any one."""
     found = materialize(minhash.near_duplicates(docs).filter("doc_id is not null"), "duplicates")
     gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    stays = docs.join(gone, "doc_id", "left_anti")
-    repeated = found.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    # One plan at every size: what goes grows with the corpus, so it is never broadcast.
+    stays = docs.join(gone.hint("merge"), "doc_id", "left_anti")
+    repeated = materialize(found.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return stays.select(*docs.columns)
     one = stays.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return stays.join(repeated, "doc_id", "left_anti").unionByName(one).select(*docs.columns)
 
