@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import materialize, read_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_EPOCHS = 3
@@ -22,7 +22,7 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sized: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """(source, source_size, target) from rows with source and size.
+    """(source, source_size, target) from rows, or sums of rows, with source and size.
 
     Weights 1, 2, 3 repeat over the sources in code point order, null last. The
     level L with sum(min(max_epochs * size, L * weight)) = total is found by
@@ -64,8 +64,8 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED,
     are ordered by size; a null id draws as the empty string. An empty table gives an empty
     result. Other columns are ignored.
 
-    The running sum needs no sort of a source: sums per slice of the draw locate
-    the one slice in which a source ends, and only its rows are ordered.
+    The running sum needs no sort of a source: sums per slice of the draw, written
+    once, give each slice its start, and rows are ordered within their slice.
     """
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
@@ -73,21 +73,17 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED,
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     rows = rows.withColumn("draw", draw)
     rows = rows.withColumn("slice", F.conv(F.substring("draw", 1, SLICE_DIGITS), 16, 10).cast("int"))
-    goal = source_targets(rows, max_epochs)
+    slices = materialize(rows.groupBy("source", "slice").agg(F.sum("size").alias("size")), "slices")
+    goal = source_targets(slices, max_epochs)
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goal = goal.withColumn("rest", F.floor("target") - F.col("whole") * F.col("source_size"))
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
-    slices = slices.withColumn("start", F.coalesce(F.sum("slice_size").over(before), F.lit(0)))
-    goal = slices.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(
-        F.col("source").alias("s"), F.col("slice").alias("k"), "source_size", "target", "whole", (F.col("rest") - F.col("start")).alias("left"), "slice_size")
+    starts = slices.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    goal = starts.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(
+        F.col("source").alias("s"), F.col("slice").alias("k"), "source_size", "target", "whole", (F.col("rest") - F.col("start")).alias("left"))
     rows = rows.join(goal, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("k")))
-    # Slices wholly inside or outside the fraction need no order.
-    even = rows.filter("left <= 0 or left >= slice_size").withColumn("extra", F.when(F.col("left") > 0, F.col("size")).otherwise(0))
     run = Window.partitionBy("source", "slice").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    ending = rows.filter("left > 0 and left < slice_size").withColumn(
-        "extra", F.least(F.col("size"), F.greatest(F.lit(0), F.col("left") - F.coalesce(F.sum("size").over(run), F.lit(0)))))
-    out = even.select("*").unionByName(ending)
+    out = rows.withColumn("extra", F.least(F.col("size"), F.greatest(F.lit(0), F.col("left") - F.coalesce(F.sum("size").over(run), F.lit(0)))))
     return out.select(
         "doc_id", *(c for c in keep if c not in ("doc_id", "size")), "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"),
         (F.col("whole") + F.when(F.col("extra") * 2 > F.col("size"), 1).otherwise(0)).cast("int").alias("repeats"))
