@@ -16,6 +16,8 @@ from .common import read_table
 WINDOW = 13
 #: Text bytes of items in one automaton; more items make more automata, each run over all documents.
 BLOCK_BYTES = 16 << 20
+#: Text bytes of all items that are broadcast; a larger benchmark is an error, to be given in parts.
+MOST_BYTES = 128 << 20
 #: A hit share of 1 in 20 words makes a document contaminated.
 SHARE = 20
 
@@ -191,9 +193,12 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     window; rows repeating an item_id count as one item, a null item_id hits but has no name. No items: nothing is hit.
 
     Items are read to the driver in blocks of at most block_bytes of text (or one
-    item) and broadcast; the documents are read once and not shuffled.
+    item) and broadcast, MOST_BYTES in all; the documents are read once and not shuffled.
     """
     spark = docs.sparkSession
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total > MOST_BYTES:
+        raise ValueError(f"benchmark of {total} bytes: give items of at most {MOST_BYTES} at a time")
     blocks, held, size = [], [], 0
     rows = items.filter("text is not null").select(F.col("item_id").cast("string"), "text").orderBy("item_id", "text")
     for item_id, text in rows.toLocalIterator():
