@@ -169,17 +169,19 @@ def _rising(text: np.ndarray) -> np.ndarray:
 class _Text:
     """Symbols with the end symbol 0 behind them; narrow ones can be read eight at a time."""
 
-    def __init__(self, symbols: np.ndarray):
+    def __init__(self, symbols: np.ndarray, room: int = 0):
         self.narrow = symbols.dtype == np.uint8
-        padded = np.concatenate([symbols, np.zeros(9 if self.narrow else 1, symbols.dtype)])
+        # Zeros behind the end let reads of up to `room` symbols run over it.
+        padded = np.concatenate([symbols, np.zeros(room + 9, symbols.dtype)])
         self.symbols = padded[: len(symbols) + 1]
+        self.padded = padded
         self.step = 8 if self.narrow else 1
-        self.eight = np.ndarray((len(symbols) + 1,), ">u8", padded.data, 0, (1,)) if self.narrow else None
+        self.eight = np.ndarray((len(symbols) + room + 2,), "<u8", padded.data, 0, (1,)) if self.narrow else padded
 
     def words(self, at: np.ndarray) -> np.ndarray:
-        """The next eight symbols, or one wide symbol, as a number; what is past the end counts as 0."""
-        at = np.minimum(at, len(self.symbols) - 1)
-        return (self.eight[at] if self.narrow else self.symbols[at]).astype(np.uint64)
+        """The next eight symbols, or one wide symbol, as a number that orders like them; what is past the end counts as 0."""
+        word = self.eight[np.minimum(at, len(self.symbols) - 1)]
+        return word.byteswap() if self.narrow else word.astype(np.uint64)
 
 
 def _refined(rank: np.ndarray, some: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -232,24 +234,26 @@ def _doubled(names: np.ndarray, depth: int) -> np.ndarray:
     return np.argsort(rank, kind="stable")
 
 
-def _common(text: _Text, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
-    """Common prefix lengths of the suffix pairs, up to cap; the end symbol ends them."""
-    out = np.zeros(len(a), np.int64)
-    live, k = np.arange(len(a)), 0
-    while len(live) and k < cap:
-        diff = text.words(a[live] + k) ^ text.words(b[live] + k)
-        same = diff == 0
-        if text.narrow:
-            left = diff[~same]
-            lead = np.zeros(len(left), np.int64)
-            for n in range(1, 8):
-                lead += left < np.uint64(1 << (64 - 8 * n))
-            out[live[~same]] = k + lead
-        else:
-            out[live[~same]] = k
-        live = live[same]
-        k += text.step
-    out[live] = cap
+def _common(text: _Text, first: np.ndarray, second: np.ndarray, cap: int) -> np.ndarray:
+    """Common prefix lengths of the suffix pairs, up to cap, within the text's room; the end symbol ends them."""
+    out = np.full(len(first), cap, np.int64)
+    # Few pairs at a time: what they read stays in the processor's cache.
+    for at in range(0, len(first), 4096):
+        a, b = first[at : at + 4096], second[at : at + 4096]
+        live = np.arange(at, at + len(a))
+        for k in range(0, cap, text.step):
+            x, y = text.eight[a + k], text.eight[b + k]
+            same = x == y
+            if same.all():
+                continue
+            ended = ~same
+            diff = x[ended] ^ y[ended]
+            # The lowest byte that differs is the first symbol that does.
+            lowest = np.bitwise_count((diff & (~diff + diff.dtype.type(1))) - diff.dtype.type(1)).astype(np.int64) // 8 if text.narrow else 0
+            out[live[ended]] = k + lowest
+            live, a, b = live[same], a[same], b[same]
+            if not len(live):
+                break
     return np.minimum(out, cap)
 
 
@@ -260,7 +264,7 @@ def sorted_suffixes(symbols: np.ndarray, folder: str, cap: int = 0, held: int =
     (None: wholly). `held` bounds the tuples in memory; a text of names within it is sorted there, a longer one by recursion.
     """
     depth = len(symbols) if depth is None else depth
-    whole = _Text(symbols)
+    whole = _Text(symbols, cap)
     text = whole.symbols
     starts = _rising(text)
     ordered = starts

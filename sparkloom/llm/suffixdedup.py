@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import drop_scratch, materialize, read_table
 from .hashing import hash_sums, mixed
 from .induced import sorted_suffixes
 
@@ -221,22 +221,24 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # One text of each class; nothing of the text decides which, as all are equal.
     texts = docs.select(digest.alias("digest"), text.alias("text")).filter(F.octet_length("text") >= LENGTH)
     texts = texts.dropDuplicates(["digest"]).join(classes.select("digest", "doc"), "digest").select("doc", "text")
-    texts = materialize(texts, "texts")
+    texts = materialize(texts, "texts", release=True)
 
-    found = materialize(texts.mapInArrow(_passages, "doc long, anchor long, passage long, first long, last long, place long"), "passages")
+    found = materialize(texts.mapInArrow(_passages, "doc long, anchor long, passage long, first long, last long, place long"), "passages", release=True)
     weighed = found.join(classes.select("doc", "copies"), "doc")
     one = F.min(F.struct("doc", "first", "last", "place")).alias("one")
     distinct = weighed.groupBy("anchor", "passage").agg(F.sum("copies").alias("weight"), one)
-    distinct = materialize(distinct.select("anchor", "passage", "weight", "one.*"), "distinct")
+    distinct = materialize(distinct.select("anchor", "passage", "weight", "one.*"), "distinct", release=True)
     shared = distinct.groupBy("anchor").agg(F.sum("weight").alias("all"), F.count("*").alias("n")).filter("all > 1")
     wanted = distinct.join(shared.select("anchor", (F.col("n") > HOT).alias("hot")), "anchor")
     by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "passage", "weight", "first", "last", "place", "hot")).alias("wanted"))
     cut = texts.join(by_doc, "doc").select("text", "wanted").mapInArrow(_cut, "deal long, anchor long, passage long, shift long, weight long, data binary")
     size = wanted.agg(F.sum(F.col("last") - F.col("first") + LENGTH)).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
-    runs = materialize(cut.repartition(shards, "deal").mapInArrow(_sorted_shard(held), "anchor long, passage long, low long, high long"), "runs")
+    runs = materialize(cut.repartition(shards, "deal").mapInArrow(_sorted_shard(held), "anchor long, passage long, low long, high long"), "runs", release=True)
+    drop_scratch(distinct)
 
-    by_passage = runs.groupBy("anchor", "passage").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    # A table of its own, so that the join with a very common passage can be split.
+    by_passage = materialize(runs.groupBy("anchor", "passage").agg(F.collect_list(F.struct("low", "high")).alias("runs")), "repeated")
     hits = found.join(by_passage, ["anchor", "passage"]).select("doc", "first", F.explode("runs").alias("r"))
     ranges = hits.groupBy("doc").agg(F.collect_list(F.struct((F.col("first") + F.col("r.low")).alias("a"), (F.col("first") + F.col("r.high") + LENGTH).alias("b"))).alias("ranges"))
     removed = texts.join(ranges, "doc").select("doc", "text", "ranges").mapInArrow(
