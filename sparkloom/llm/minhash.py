@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +19,8 @@ SHINGLE = 5
 PERCENT = 85
 BINS, BAND_ROWS = 256, 6
 BANDS = BINS // BAND_ROWS
-#: Bits of a sketch, one a bin. Two sets at the threshold agree in SKETCH_LEAST of them but with probability 4e-11.
+#: Bits of a sketch and of a bitmap.
 SKETCH = 2048
-_AGREE = (1 + PERCENT / 100) / 2
-SKETCH_LEAST = math.floor(SKETCH * _AGREE - 6.5 * math.sqrt(SKETCH * _AGREE * (1 - _AGREE)))
 
 #: A-Z to a-z, the six ASCII white-space characters to space.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
@@ -85,10 +82,20 @@ def signature(hashes: np.ndarray, bins: int = BINS) -> np.ndarray:
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
-    """One bit of each bin's minimum, as 64-bit integers."""
+    """One bit of each bin's minimum, as 64-bit integers. An estimate that drops no pair: few hashes fill all bins, so it varies widely for small sets."""
     return np.packbits((signature(hashes, SKETCH) & np.uint64(1)).astype(np.uint8)).view(np.int64)
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """The leading bits that occur among the hashes, as 64-bit integers.
+
+    A bit that only one of two sets has stands for a hash that the other lacks, so bitmaps bound what is common with certainty.
+    """
+    bits = np.zeros(SKETCH, np.uint8)
+    bits[(hashes >> np.uint64(65 - SKETCH.bit_length())).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     rows = signature(hashes)[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS)
     return mixed((rows * _ROW).sum(1, dtype=np.uint64) + _BAND).view(np.int64)
@@ -112,10 +119,11 @@ def _signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
+        maps = [bitmap(x) for x in sets]
         yield pa.RecordBatch.from_arrays([
             batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary()),
-            pa.array([sketch(x) if len(x) else None for x in sets], pa.list_(pa.int64())),
-            pa.array([band_keys(x) if len(x) else None for x in sets], pa.list_(pa.int64()))], names=["id", "hashes", "sketch", "bands"])
+            pa.array(maps, pa.list_(pa.int64())), pa.array([len(x) - int(np.bitwise_count(m.view(np.uint64)).sum()) for x, m in zip(sets, maps)], pa.int64()),
+            pa.array([band_keys(x) if len(x) else None for x in sets], pa.list_(pa.int64()))], names=["id", "hashes", "bitmap", "hidden", "bands"])
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,11 +143,13 @@ def _sizes_fit(a: Column, b: Column) -> Column:
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def _sketches_fit(a: str, b: str) -> Column:
-    same = F.lit(SKETCH)
+def _may_link(a: str, b: str, n: Column, m: Column, hidden_n: Column, hidden_m: Column) -> Column:
+    """False only for pairs that cannot reach the similarity: a set has no more hashes in common than the bits both
+    bitmaps have and its hashes beyond one a bit."""
+    common = F.least(hidden_n, hidden_m)
     for k in range(SKETCH // 64):
-        same = same - F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k]))
-    return same >= SKETCH_LEAST
+        common = common + F.bit_count(F.col(a)[k].bitwiseAND(F.col(b)[k]))
+    return (100 + PERCENT) * common >= PERCENT * (n + m)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -159,7 +169,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full sets: first one hub for every class, then the hubs that are still in another
     component. Buckets that hold several components after that get the rest: each class outside the bucket's largest
     component against the classes of other components, so no pair that shares a bucket goes
-    unexamined unless it is connected already or its sketches are too unlike. A pair at the threshold shares no bucket with probability 2e-9.
+    unexamined unless it is connected already or the bitmaps of its sets rule it out. A pair at the threshold shares no bucket with probability 2e-9.
 
     Null and empty texts have no shingles and stand alone. Rows that repeat an id are one
     document: they share its component. A null id stands alone with a null component and is kept. An
@@ -185,7 +195,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = materialize(stars.groupBy("u", "v").agg(F.max("weight").alias("weight")), "stars")
     wanted = met.select(F.col("u").alias("doc_id")).distinct()
     sets = materialize(
-        texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, hashes binary, sketch array<long>, bands array<long>").dropDuplicates(["id"]), "sets")
+        texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, hashes binary, bitmap array<long>, hidden long, bands array<long>").dropDuplicates(["id"]), "sets")
 
     tried = stars.groupBy("u").agg(F.max(F.struct("weight", F.negative("v").alias("minus"))).alias("hub")).select("u", F.negative("hub.minus").alias("v"))
     links = _confirmed(tried, sets)
@@ -204,15 +214,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = met.select("key", "u", "n").join(parts.select(F.col("node").alias("u"), "component"), "u", "left")
     placed = placed.withColumn("component", F.coalesce("component", "u"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    sketches = sets.select(F.col("id").alias("u"), "sketch", "bands")
-    placed = materialize(placed.join(mixed, "key", "left_semi").join(sketches, "u"), "placed")
+    bitmaps = sets.select(F.col("id").alias("u"), "bitmap", "hidden", "bands")
+    placed = materialize(placed.join(mixed, "key", "left_semi").join(bitmaps, "u"), "placed")
     # Largest component of a bucket: most classes, then least id.
     largest = placed.groupBy("key", "component").count().groupBy("key").agg(F.max(F.struct("count", F.negative("component").alias("c"))).alias("top"))
     outside = placed.join(largest.select("key", F.negative("top.c").alias("main")), "key").filter("component <> main")
-    other = placed.select("key", F.col("u").alias("v"), F.col("n").alias("m"), F.col("component").alias("cv"), F.col("sketch").alias("other"), F.col("bands").alias("met"))
+    other = placed.select("key", F.col("u").alias("v"), F.col("n").alias("m"), F.col("component").alias("cv"), F.col("bitmap").alias("other"), F.col("hidden").alias("unseen"), F.col("bands").alias("met"))
     strays = (
-        outside.select("key", "u", "n", "component", "main", "sketch", "bands").join(other, "key").filter("component <> cv")
-        .filter((F.col("cv") == F.col("main")) | (F.col("u") > F.col("v"))).filter(_sizes_fit(F.col("n"), F.col("m"))).filter(_sketches_fit("sketch", "other"))
+        outside.select("key", "u", "n", "component", "main", "bitmap", "hidden", "bands").join(other, "key").filter("component <> cv")
+        .filter((F.col("cv") == F.col("main")) | (F.col("u") > F.col("v"))).filter(_sizes_fit(F.col("n"), F.col("m")))
+        .filter(_may_link("bitmap", "other", F.col("n"), F.col("m"), F.col("hidden"), F.col("unseen")))
         .filter(F.array_min(F.array_intersect("bands", "met")) == F.col("key"))  # once, though they share more buckets
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         .join(stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti")

@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sparkloom.llm import decontaminate, embeddings, induced, language, minhash, mixing, sharding, suffixdedup, tokencounts, tokenids, toxicity
 from sparkloom.llm.common import connected_components
@@ -182,6 +183,21 @@ def test_minhash_equals_brute_force(spark):
     assert got == brute_minhash(list(enumerate(texts, 1)))
 
 
+def test_bitmaps_rule_out_no_link(spark):
+    rng = np.random.default_rng(47)
+    rows = []
+    for common, apart in [(6, 1), (12, 2), (17, 3), (34, 6), (340, 60), (3400, 600)] * 40:
+        x = rng.permutation(np.unique(rng.integers(0, (1 << 64) - 1, common + apart, np.uint64)))
+        a, b = x[: common + apart // 2], np.concatenate([x[:common], x[common + apart // 2 :]])
+        maps = [minhash.bitmap(s) for s in (a, b)]
+        rows.append((*(m.tolist() for m in maps), len(a), len(b), *(len(s) - int(np.bitwise_count(m.view(np.uint64)).sum()) for s, m in zip((a, b), maps))))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>, n long, m long, x long, y long")
+    may = minhash._may_link("a", "b", *(df[c] for c in "nmxy"))
+    assert df.filter(may).count() == len(rows)
+    unlike = df.withColumn("b", F.array(*[F.lit(0)] * 32).cast("array<long>")).filter("n < 100")
+    assert unlike.filter(may).count() == 0
+
+
 def test_minhash_edges(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
     df = docs(spark, ["a b c", "a b c"]).selectExpr("if(doc_id = 1, null, 7L) doc_id", "text")
