@@ -3,8 +3,9 @@
 Suffixes are induced from the order of the leftmost rising ones (an S-suffix after an
 L-suffix): these are named by the text up to the next one and sorted by recursion on the
 names. The order spreads through queues of (position, common prefix with
-the one before), one per first symbol, which overflow to files; induction reads a queue only in blocks,
-so what memory holds is bounded by the blocks, not by the text.
+the one before), one per first symbol, which overflow to files; induction reads a queue only in blocks.
+Only the queues are bounded by the blocks: the text, the rising places, their names and their order are held
+in memory whole, so memory grows with the text.
 """
 
 from __future__ import annotations
