@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,25 +49,64 @@ def _delete(spark: SparkSession, name: str) -> None:
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def materialize(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _released(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside let go of their shuffle files when they end; what they write stays."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table in the shared scratch folder and read it back.
 
-    Cuts lineage: what follows survives lost executors without recomputing df. release
-    lets Spark delete the shuffle files of finished steps, which stay on the executors' disks until the driver collects its garbage.
+    Cuts lineage: what follows survives lost executors without recomputing df, whose shuffle files go at once.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    if release:
-        spark.sparkContext._jvm.System.gc()
+    with _released(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(df: DataFrame) -> None:
-    """Delete the files of a table made by materialize()."""
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/sparkloom/" in name:
-            _delete(df.sparkSession, name)
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Like materialize, in as many buckets of key as a shuffle has partitions: joins on key do not move the table again.
+
+    df comes from an aggregation by key, so its rows already lie by bucket.
+    """
+    spark = df.sparkSession
+    path, n = scratch_path(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"sparkloom_{name}_{uuid.uuid4().hex}"
+    with _released(spark):
+        df.write.option("compression", "zstd").bucketBy(n, key).format("parquet").saveAsTable(table, path=path)
+    return spark.table(table)
+
+
+def drop_bucketed(df: DataFrame) -> None:
+    """Drop a table made by bucketed() and its files."""
+    drop_scratch(df)
+    spark = df.sparkSession
+    names = df._jdf.queryExecution().analyzed().collectLeaves()
+    for k in range(names.size()):
+        if names.apply(k).catalogTable().isDefined():
+            spark.sql(f"DROP TABLE IF EXISTS {names.apply(k).catalogTable().get().identifier().quotedString()}")
+
+
+def drop_scratch(*tables: DataFrame) -> None:
+    """Delete the files of tables made by materialize()."""
+    for df in tables:
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/sparkloom/" in name:
+                _delete(df.sparkSession, name)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import re
 import struct
 import tempfile
+import time
 import zlib
 
 import numpy as np
@@ -286,22 +287,42 @@ def test_token_ids_equal_the_library(spark):
 # 6
 
 
-@settings(max_examples=120, deadline=None)
-@given(st.lists(st.integers(1, 4), min_size=1, max_size=80), st.sampled_from([2, 8, 1 << 22]), st.sampled_from([1, 3, 1 << 18]), st.sampled_from([5, 1000]))
-def test_suffix_order_and_prefixes(symbols, held, block, cap):
-    induced.BLOCK, kept = block, induced.BLOCK
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 4), min_size=1, max_size=80), st.sampled_from([2, 8, 1 << 22]), st.sampled_from([1, 3, 1 << 18]), st.sampled_from([1, 2, 1 << 10]), st.sampled_from([5, 1000]), st.sampled_from([np.uint8, np.int64]))
+def test_suffix_order_and_prefixes(symbols, held, block, window, cap, kind):
+    symbols = (np.unique(symbols, return_inverse=True)[1] + 1).tolist()
+    kept = induced.BLOCK, induced.WINDOW
+    induced.BLOCK, induced.WINDOW = block, window
     try:
         with tempfile.TemporaryDirectory() as folder:
-            out = list(induced.sorted_suffixes(np.array(symbols, np.uint8), folder, cap, held))
+            out = list(induced.sorted_suffixes(np.array(symbols, kind), folder, cap, held))
             assert not any(files for _, _, files in os.walk(folder))
     finally:
-        induced.BLOCK = kept
+        induced.BLOCK, induced.WINDOW = kept
     order = sorted(range(len(symbols)), key=lambda i: symbols[i:])
     prefix = lambda a, b: next((k for k, (x, y) in enumerate(zip(symbols[a:], symbols[b:])) if x != y), len(symbols) - max(a, b))
     assert np.concatenate([p for p, _ in out]).tolist() == order
     assert np.concatenate([x for _, x in out]).tolist() == [0, *(min(cap, prefix(a, b)) for a, b in zip(order, order[1:]))]
 
 
+def test_recursion_on_shards_beyond_held():
+    """A mebibyte of prose and of passages around one core, sorted by recursion as in memory."""
+    rng = np.random.default_rng(19)
+    words = [rng.integers(99, 125, rng.integers(2, 9)).astype(np.uint8).tobytes() for _ in range(500)]
+    prose_bytes = np.frombuffer(b" ".join(words[k] for k in rng.integers(0, 500, 1 << 17))[: 1 << 19], np.uint8)
+    rows = rng.integers(97, 123, (1100, 464)).astype(np.uint8)
+    rows[:, 60:400], rows[:, 463] = rng.integers(97, 123, 340), 1
+    for shard in (prose_bytes, rows.ravel()):
+        outs = []
+        for held in (1 << 22, 1 << 15):
+            began = time.perf_counter()
+            with tempfile.TemporaryDirectory() as folder:
+                blocks = list(induced.sorted_suffixes(shard, folder, 400, held, len(shard)))
+            outs.append([np.concatenate(x) for x in zip(*blocks)])
+            assert time.perf_counter() - began < 60
+        assert (outs[0][0] == outs[1][0]).all() and (outs[0][1] == outs[1][1]).all()
+
+
 def brute_removed(texts, length=400):
     data = {i: (t or "").encode() for i, t in texts}
     seen = collections.Counter(x[k : k + length] for x in data.values() for k in range(len(x) - length + 1))
@@ -316,15 +337,31 @@ def brute_removed(texts, length=400):
     return out
 
 
-@pytest.mark.parametrize("hot, held", [(1024, 1 << 22), (1, 500)])
-def test_repeated_passages_equal_brute_force(spark, monkeypatch, hot, held):
-    monkeypatch.setattr(suffixdedup, "HOT", hot)
+@pytest.mark.parametrize("hot, held", [(1024, 1 << 22), (1, 500), (3, 1 << 22)])
+def test_repeated_passages_equal_brute_force(spark, hot, held):
     rng = random.Random(17)
     shared = [prose(rng, 90), prose(rng, 150), "é" * 450, "ab" * 300]
     texts = [prose(rng, rng.randint(0, 60)) + rng.choice(shared + ["", ""]) + prose(rng, rng.randint(0, 60)) for _ in range(40)]
     texts += [texts[0], texts[0], None, "", "x" * 399, "x" * 400, "y" * 401, "z" * 2000, shared[1][:399], shared[1][:400], shared[0] + "\0" + shared[0]]
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixdedup.repeated_passages(clashing(docs(spark, texts)), held=held).collect()}
+    texts += [prose(rng, 30) + shared[1][20:360] + prose(rng, 30) for _ in range(8)]
+    df = docs(spark, texts)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixdedup.repeated_passages(clashing(df), held=held, hot=hot).collect()}
     assert got == brute_removed(list(enumerate(texts, 1)))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("sparkloom")]
+
+
+def test_repeated_passages_of_very_long_texts_and_repeated_ids(spark):
+    """Texts beyond a piece, one passage across the seam; rows that repeat an id, and null ids, are texts of their own."""
+    rng = random.Random(18)
+    block = prose(rng, 2000)
+    long = prose(rng, 140_000)
+    assert len(long) > suffixdedup.PIECE + 5000
+    across = long[suffixdedup.PIECE - 700 : suffixdedup.PIECE + 700]
+    rows = [(1, long), (2, across + block), (2, block), (None, "q" + across[300:900]), (None, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixdedup.repeated_passages(df).collect())
+    want = brute_removed(list(enumerate(t for _, t in rows)))
+    assert got == sorted((i or 0, *want[k]) for k, (i, _) in enumerate(rows))
 
 
 def test_repeated_passages_of_an_empty_table(spark):
