@@ -228,7 +228,8 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _shared(found: DataFrame, name: str) -> DataFrame:
     """The passages of anchors that have more than one occurrence; nothing else can repeat."""
-    anchors = found.groupBy("anchor").agg(F.sum("copies").alias("all")).filter("all > 1").select("anchor")
+    # A table of its own, so that the join with a very common anchor can be split.
+    anchors = materialize(found.groupBy("anchor").agg(F.sum("copies").alias("all")).filter("all > 1").select("anchor"), "anchors")
     return materialize(found.join(anchors, "anchor").select(*_FOUND.names), name)
 
 
