@@ -30,6 +30,9 @@ class Lexicon:
     medium_terms: tuple[str, ...] = ()
     low_terms: tuple[str, ...] = ()
     paragraph_noise: str = "(?!)"
+    paragraph_price: str = "(?!)"
+    #: Prices in the printed pattern of titles and snippets: leading and trailing digits are two groups.
+    split_price: str = "(?!)"
     price_low: float = 30_000
     price_high: float = 250_000
     change_cap: float = 20_000
@@ -48,6 +51,8 @@ COFFEE_TITLE = Lexicon(
     high_terms=("giá cà phê", "cà phê robusta", "cà phê arabica", "đồng/kg"),
     medium_terms=("cà phê", "robusta", "arabica"),
     low_terms=("tăng", "giảm", "ổn định", "đi ngang", "đắk lắk", "lâm đồng", "tây nguyên", "gia lai", "đắk nông", "thị trường", "xuất khẩu"),
+    paragraph_price=r"(?iU)\d{2,3}[.,]\d{3}\s*(?:đồng|VNĐ|VND|đ/kg|đồng/kg)",
+    split_price=r"(?iU)\b(\d{2,3})[.,](\d{3})\s*(?:đồng|VNĐ|VND|đ/kg|đồng/kg)",
     paragraph_noise=any_of(
         "hotline", r"thời tiết.{0,5}\d+°", "VNI:", "HNX:", "UPCOM", "VN30:", "đóng cửa", "xem thêm", "bình luận", "đăng nhập", "đăng ký",
         "quảng cáo", "google play", "app store", "trang chủ", "liên hệ chúng tôi", "bản quyền", "copyright", "cookie", "chính sách bảo mật",
@@ -66,4 +71,5 @@ PROSE = Lexicon(
     up=any_word("the", "and"), down=any_word("der", "que"), stable=any_word("that", "for"), flat=any_word("in"), recover=any_word("is"),
     slump=any_word("les"), noise=any_of("all rights reserved"), place=any_of("://"), price=COFFEE_BODY.price, change=COFFEE_BODY.change,
     high_terms=("tion", "ción"), medium_terms=("the", "que"), low_terms=("and", "der", "les", "que"), paragraph_noise=any_of("all rights reserved", "copyright"),
+    paragraph_price=COFFEE_TITLE.paragraph_price, split_price=COFFEE_TITLE.split_price,
 )

@@ -43,6 +43,13 @@ def numbers(c: Column, pattern: str, low: float | None = None, high: float | Non
     return F.filter(found, lambda x: x < below) if below is not None else found
 
 
+def split_numbers(c: Column, pattern: str, low: float, high: float) -> Column:
+    """Numbers whose thousands and rest are two groups of the pattern, as doubles in a band."""
+    t = text_or_empty(c)
+    whole = F.arrays_zip(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)).alias("a"), F.regexp_extract_all(t, F.lit(pattern), F.lit(2)).alias("b"))
+    return F.filter(F.transform(whole, lambda x: F.concat(x["a"], x["b"]).cast("double")), lambda x: x.between(low, high))
+
+
 def array_mean(a: Column) -> Column:
     return F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a))
 
@@ -67,11 +74,20 @@ def entropy(*shares: Column) -> Column:
     return F.abs(F.aggregate(positive, F.lit(0.0), lambda s, p: s - p * F.log2(p)))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value computed once a row: an expression that a lambda repeats is evaluated at each repetition."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def ngrams(c: Column, n: int = 3) -> Column:
     """Runs of n lower-case words; those with a digit are left out."""
     words = F.filter(F.split(F.regexp_replace(F.lower(text_or_empty(c)), r"(?U)[^\w\s]", " "), r"(?U)\s+"), lambda w: w != "")
-    grams = F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " ")))
-    return F.filter(F.coalesce(grams, F.array().cast("array<string>")), lambda g: ~g.rlike(r"(?U)\d"))
+    none = F.array().cast("array<string>")
+
+    def grams(w: Column) -> Column:
+        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(none)
+
+    return F.filter(bound(words, grams), lambda g: ~g.rlike(r"(?U)\d"))
 
 
 def paragraph_score(p: Column, lexicon: Lexicon) -> Column:
@@ -80,7 +96,7 @@ def paragraph_score(p: Column, lexicon: Lexicon) -> Column:
     for weight, terms in ((3, lexicon.high_terms), (2, lexicon.medium_terms), (1, lexicon.low_terms)):
         for t in terms:
             score = score + F.when(low.contains(t.lower()), weight).otherwise(0)
-    return score + F.when(p.rlike(lexicon.price), 3).otherwise(0)
+    return score + F.when(p.rlike(lexicon.paragraph_price), 3).otherwise(0)
 
 
 def smart_truncate(c: Column, lexicon: Lexicon, budget: int = 1500, least: int = 50, tail: int = 100) -> Column:
@@ -91,9 +107,6 @@ def smart_truncate(c: Column, lexicon: Lexicon, budget: int = 1500, least: int =
     Without a scored paragraph the text's beginning stands.
     """
     text = text_or_empty(c)
-    kept = F.filter(F.transform(F.split(text, "\n"), stripped), lambda p: (F.length(p) > 20) & ~p.rlike(lexicon.paragraph_noise))
-    scored = F.transform(kept, lambda p, i: F.struct((-paragraph_score(p, lexicon)).alias("rank"), i.alias("i"), p.alias("p")))
-    ranked = F.array_sort(F.filter(scored, lambda s: s["rank"] < 0))
     start = F.struct(F.lit(0).alias("used"), F.lit(False).alias("over"), F.array().cast("array<string>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
@@ -103,8 +116,12 @@ def smart_truncate(c: Column, lexicon: Lexicon, budget: int = 1500, least: int =
         grown = F.struct((s["used"] + F.length(x["p"])).alias("used"), (~fits).alias("over"), F.concat(s["out"], piece).alias("out"))
         return F.when(s["over"], s).otherwise(grown)
 
-    chosen = F.aggregate(ranked, start, step)["out"]
-    return F.when(F.length(text) < least, text).when(F.size(ranked) == 0, F.substring(text, 1, budget)).otherwise(F.array_join(chosen, "\n"))
+    def chosen(kept: Column) -> Column:
+        scored = F.transform(kept, lambda p, i: F.struct((-paragraph_score(p, lexicon)).alias("rank"), i.alias("i"), p.alias("p")))
+        return bound(F.array_sort(F.filter(scored, lambda s: s["rank"] < 0)), lambda ranked: F.when(F.size(ranked) > 0, F.array_join(F.aggregate(ranked, start, step)["out"], "\n")))
+
+    kept = F.filter(F.transform(F.split(text, "\n"), stripped), lambda p: (F.length(p) > 20) & ~p.rlike(lexicon.paragraph_noise))
+    return F.when(F.length(text) < least, text).otherwise(F.coalesce(bound(kept, chosen), F.substring(text, 1, budget)))
 
 
 def unfenced(c: Column) -> Column:

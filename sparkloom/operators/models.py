@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Fixed grids of the estimators.
-LASSO_ALPHAS = (0.001, 0.01, 0.1, 1.0, 10.0)
-RIDGE_ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)
+# Fixed grids of the linear estimators: (alpha, share of the L1 part).
+LASSO_GRID = tuple((a, 1.0) for a in (0.0001, 0.001, 0.01, 0.1, 1.0))
+RIDGE_GRID = tuple((a, 0.0) for a in (0.0001, 0.001, 0.01, 0.1, 1.0, 10.0))
+ELASTIC_GRID = tuple((a, l1) for a in (0.0001, 0.001, 0.01, 0.1, 1.0) for l1 in (0.2, 0.5, 0.8))
 
 
 def split_by_date(df: DataFrame, last_train: str, first_test: str) -> tuple[DataFrame, DataFrame]:
@@ -45,27 +49,108 @@ def linear(alpha: float, l1: float, train: DataFrame, label: str, penalised: boo
     return LinearRegression(featuresCol="scaled", labelCol=label, regParam=reg, elasticNetParam=share, standardization=False, solver="l-bfgs", maxIter=500, tol=1e-9)
 
 
-def scaled(features: Sequence[str]) -> list:
-    return [VectorAssembler(inputCols=list(features), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True)]
+def scaled(features: Sequence[str], n: int) -> list:
+    """Stages that standardise by the deviation of the n training rows as a population; Spark's scaler takes a sample's."""
+    factor = math.sqrt(n / (n - 1)) if n > 1 else 1.0
+    return [VectorAssembler(inputCols=list(features), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="standard", withMean=True),
+            ElementwiseProduct(scalingVec=Vectors.dense([factor] * len(features)), inputCol="standard", outputCol="scaled")]
 
 
 def fit_linear(train: DataFrame, features: Sequence[str], label: str, alpha: float, l1: float) -> PipelineModel:
-    return Pipeline(stages=[*scaled(features), linear(alpha, l1, train, label)]).fit(train)
+    return Pipeline(stages=[*scaled(features, train.count()), linear(alpha, l1, train, label)]).fit(train)
 
 
 def fit_boosted(train: DataFrame, features: Sequence[str], label: str, trees: int = 20, depth: int = 3, rate: float = 0.1) -> PipelineModel:
-    return Pipeline(stages=[*scaled(features), GBTRegressor(featuresCol="scaled", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=rate, seed=42)]).fit(train)
+    return Pipeline(stages=[*scaled(features, train.count()), GBTRegressor(featuresCol="scaled", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=rate, seed=42)]).fit(train)
 
 
-def grid_search(train: DataFrame, features: Sequence[str], label: str, grid: Sequence[tuple[float, float]], k: int = 5) -> tuple[float, float]:
-    """The (alpha, l1) of least mean absolute error over expanding folds."""
-    error = RegressionEvaluator(labelCol=label, metricName="mae")
-    folds = [(a.cache(), b.cache()) for a, b in expanding_folds(train, k)]
-    scores = {g: sum(error.evaluate(fit_linear(a, features, label, *g).transform(b)) for a, b in folds) / k for g in grid}
-    for a, b in folds:
-        a.unpersist()
-        b.unpersist()
-    return min(scores, key=lambda g: (scores[g], g))
+@dataclass(frozen=True)
+class Gram:
+    """Sums from which every linear model of some rows follows: n, means, and centred products of the features and, last, the label."""
+
+    n: int
+    means: np.ndarray
+    products: np.ndarray
+
+    def __add__(self, other: Gram) -> Gram:
+        n = self.n + other.n
+        gap = other.means - self.means
+        return Gram(n, self.means + gap * other.n / max(n, 1), self.products + other.products + np.outer(gap, gap) * self.n * other.n / max(n, 1))
+
+
+def grams(df: DataFrame, features: Sequence[str], label: str, by: str) -> dict[int, Gram]:
+    """A Gram a value of `by`, in two passes over the rows: the means of all, then products around them, which are shifted."""
+    names = [*features, label]
+    center = df.agg(*(F.avg(c).cast("double").alias(c) for c in names)).first()
+    centred = df.select(F.col(by).alias("_by"), *((F.col(c).cast("double") - F.lit(center[c] or 0.0)).alias(f"_{i}") for i, c in enumerate(names)))
+    d = range(len(names))
+    rows = centred.groupBy("_by").agg(
+        F.count("*").alias("n"), F.array(*(F.sum(f"_{i}") for i in d)).alias("s"), F.array(*(F.sum(F.col(f"_{i}") * F.col(f"_{j}")) for i in d for j in d)).alias("p")).collect()
+    base = np.array([center[c] or 0.0 for c in names])
+    out = {}
+    for r in rows:
+        m = np.array(r.s) / r.n
+        out[r["_by"]] = Gram(r.n, base + m, np.array(r.p).reshape(len(names), -1) - r.n * np.outer(m, m))
+    return out
+
+
+def solved(g: Gram, alpha: float, l1: float, rounds: int = 10_000, tol: float = 1e-10) -> tuple[float, np.ndarray, np.ndarray]:
+    """(intercept, coefficients of the features as they are, coefficients of the standardised ones).
+
+    l1 = 0 is ridge, |y - Xw|^2 + alpha |w|^2; else |y - Xw|^2 / 2n + alpha (l1 |w|_1 + (1 - l1) / 2 |w|^2) by coordinate descent, on features standardised by the population's deviation.
+    """
+    sd = np.sqrt(np.diag(g.products)[:-1] / g.n)
+    sd[sd == 0] = 1.0
+    a, c = g.products[:-1, :-1] / np.outer(sd, sd), g.products[:-1, -1] / sd
+    if not l1:
+        w = np.linalg.solve(a + max(alpha, 1e-12) * np.eye(len(sd)), c)
+    else:
+        a, c = a / g.n, c / g.n
+        w = np.zeros(len(sd))
+        for _ in range(rounds):
+            moved = 0.0
+            for k in range(len(w)):
+                rest = c[k] - a[k] @ w + a[k, k] * w[k]
+                new = np.sign(rest) * max(abs(rest) - alpha * l1, 0.0) / (a[k, k] + alpha * (1 - l1) or 1.0)
+                moved, w[k] = max(moved, abs(new - w[k])), new
+            if moved <= tol * max(1.0, np.abs(w).max()):
+                break
+    plain = w / sd
+    return float(g.means[-1] - g.means[:-1] @ plain), plain, w
+
+
+def predicted(features: Sequence[str], intercept: float, coefficients: np.ndarray) -> Column:
+    out = F.lit(float(intercept))
+    for f, w in zip(features, coefficients):
+        out = out + F.col(f).cast("double") * F.lit(float(w))
+    return out
+
+
+def grid_search(train: DataFrame, features: Sequence[str], label: str, grid: Sequence[tuple[float, float]], k: int = 5, order: str = "date") -> tuple[float, float]:
+    """The (alpha, l1) of least mean absolute error over expanding folds.
+
+    All folds and grid points share two passes over the rows for their sums and one for their errors: no model is fitted by a job of its own.
+    """
+    n = train.count()
+    size = n // (k + 1)
+    place = F.row_number().over(Window.partitionBy().orderBy(order)) - 1
+    # Block 0 precedes all tests; blocks 1 .. k are the tests in turn.
+    block = F.greatest(F.floor((place - (n - k * size)) / size) + 1, F.lit(0)).cast("int")
+    placed = train.select(block.alias("_block"), label, *features)
+    sums = grams(placed, features, label, "_block")
+    errors, so_far = [], sums[0]
+    for fold in range(1, k + 1):
+        for i, g in enumerate(grid):
+            b0, b, _ = solved(so_far, *g)
+            errors.append(F.avg(F.when(F.col("_block") == fold, F.abs(F.col(label) - predicted(features, b0, b)))).alias(f"e{i}_{fold}"))
+        so_far = so_far + sums[fold]
+    found = placed.agg(*errors).first()
+    score = [sum(found[f"e{i}_{fold}"] for fold in range(1, k + 1)) / k for i in range(len(grid))]
+    return min(zip(score, grid))[1]
+
+
+def fit_gram(train: DataFrame, features: Sequence[str], label: str, alpha: float, l1: float) -> tuple[float, np.ndarray, np.ndarray]:
+    return solved(grams(train.withColumn("_all", F.lit(0)), features, label, "_all")[0], alpha, l1)
 
 
 def metrics(df: DataFrame, label: str = "y", prediction: str = "prediction", order: str = "date", keys: Sequence[str] = (), digits: int = 6) -> DataFrame:
@@ -81,13 +166,25 @@ def metrics(df: DataFrame, label: str = "y", prediction: str = "prediction", ord
         F.round(1 - F.sum(e * e) / F.nullif(F.var_pop(label) * F.count("*"), F.lit(0.0)), digits).alias("r2"), F.round(F.avg("_hit"), digits).alias("da"))
 
 
-def permutation_importance(model: PipelineModel, test: DataFrame, features: Sequence[str], label: str, seed: int = 42) -> dict[str, float]:
-    """Rise of the mean absolute error when a feature's values are dealt anew among the rows."""
-    error = RegressionEvaluator(labelCol=label, metricName="mae")
-    base = error.evaluate(model.transform(test))
-    placed = test.withColumn("_k", F.row_number().over(Window.partitionBy().orderBy("date")))
-    out = {}
-    for i, f in enumerate(features):
-        dealt = test.select(f, F.row_number().over(Window.partitionBy().orderBy(F.xxhash64(F.lit(seed + i), "date"))).alias("_k"))
-        out[f] = error.evaluate(model.transform(placed.drop(f).join(dealt, "_k"))) - base
-    return out
+def permutation_importance(predict: Callable[[DataFrame], DataFrame], test: DataFrame, features: Sequence[str], label: str, order: str = "date", repeats: int = 10, seed: int = 42) -> DataFrame:
+    """feature, importance: mean rise of the mean absolute error when a feature's values are dealt anew among the rows, `repeats` times.
+
+    Every (feature, repeat) is a copy of the test rows in one plan: places and dealt places are numbers within a copy.
+    """
+    copies = test.sparkSession.range(len(features) * repeats).select((F.col("id") % len(features)).cast("int").alias("_f"), F.floor(F.col("id") / len(features)).cast("int").alias("_r"))
+    # Bounded by the arguments.
+    all_rows = test.crossJoin(F.broadcast(copies))
+    own, dealt = Window.partitionBy("_f", "_r").orderBy(order), Window.partitionBy("_f", "_r").orderBy(F.xxhash64(F.lit(seed), "_f", "_r", order), order)
+    chosen = F.get(F.array(*(F.col(f).cast("double") for f in features)), F.col("_f"))
+    rows = all_rows.withColumns({"_k": F.row_number().over(own), "_d": F.row_number().over(dealt)})
+    values = rows.select("_f", "_r", F.col("_d").alias("_k"), chosen.alias("_v"))
+    mixed = rows.drop("_d").join(values, ["_f", "_r", "_k"]).withColumns({f: F.when(F.col("_f") == i, F.col("_v")).otherwise(F.col(f).cast("double")) for i, f in enumerate(features)})
+    error = F.avg(F.abs(F.col(label) - F.col("prediction")))
+    base = predict(test).agg(error.alias("base"))
+    names = F.array(*(F.lit(f) for f in features))
+    return predict(mixed).groupBy("_f").agg(error.alias("mae")).crossJoin(F.broadcast(base)).select(F.get(names, F.col("_f")).alias("feature"), (F.col("mae") - F.col("base")).alias("importance"))
+
+
+def reconstructed(df: DataFrame, current: str, moved: str, relative: bool = False) -> DataFrame:
+    """df with price: the current one moved by a predicted difference, or by a predicted return."""
+    return df.withColumn("price", F.col(current) * (1 + F.col(moved)) if relative else F.col(current) + F.col(moved))

@@ -41,6 +41,21 @@ def with_key_suffix(df: DataFrame, keys: Sequence[str], suffix: str) -> DataFram
     return df.select(*keys, *(F.col(c).alias(f"{c}{suffix}") for c in df.columns if c not in keys))
 
 
-def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows by a seeded hash of the key: the same whatever the partitions."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
+    """n rows, or n of each group, by a seeded digest of the key: the same whatever the partitions and the engine."""
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    if not by:
+        return df.orderBy(draw, key).limit(n)
+    return keep_first(df, by, (draw, F.col(key))) if n == 1 else (
+        df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(draw, key))).filter(F.col("_n") <= n).drop("_n"))
+
+
+def join_on(left: DataFrame, right: DataFrame, pairs: dict[str, str], how: str = "left") -> DataFrame:
+    """A join on keys that are called differently on the two sides; the right side's keys are dropped."""
+    on = [left[a] == right[b] for a, b in pairs.items()]
+    return left.join(right, on, how).drop(*(right[b] for b in pairs.values()))
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without the columns of these names, as far as it has them."""
+    return df.drop(*names)

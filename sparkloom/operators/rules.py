@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -62,3 +62,16 @@ def pattern(antecedents: Sequence[str]) -> Column:
     for a in antecedents:
         out = out & (F.col(a) == 1)
     return F.coalesce(out, F.lit(False)).cast("int")
+
+
+def pattern_features(rows: DataFrame, items: Sequence[str], found: DataFrame, up: str, k: int = 10) -> DataFrame:
+    """rows with pattern and hit for each of the k best rules: 1 where all its antecedents hold.
+
+    A pattern is named by its place, the direction it predicts and its confidence. k rules of some items each are broadcast.
+    """
+    w = Window.orderBy(F.desc("lift"), F.desc("confidence"), F.desc("support"), F.array_join("antecedents", ","), F.array_join("consequents", ","))
+    name = F.format_string("pat_%02d_%s_c%dp", F.row_number().over(w) - 1, F.when(F.array_contains("consequents", up), "up").otherwise("down"), F.round(F.col("confidence") * 100).cast("int"))
+    best = top_rules(found, k).select(name.alias("pattern"), "antecedents")
+    held = F.array_compact(F.array(*(F.when(F.col(i) == 1, F.lit(i)) for i in items)))
+    hit = F.size(F.array_except("antecedents", held)) == 0
+    return rows.crossJoin(F.broadcast(best)).withColumn("hit", hit.cast("int")).drop("antecedents")

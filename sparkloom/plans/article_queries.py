@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
 from ..functions import text as X
-from ..functions.lexicon import COFFEE_BODY, PROSE
+from ..functions.lexicon import COFFEE_BODY, COFFEE_TITLE, PROSE
 from ..operators import relational as R
 from ..operators import signals as S
 from ..operators.stats import unpivoted
@@ -195,8 +195,33 @@ def seeded_sample(s: SparkSession, d: str) -> DataFrame:
     return R.seeded_sample(A.articles(s, d).select("doc_id", "url_hash"), "doc_id", 5)
 
 
+def seeded_per_domain(s: SparkSession, d: str) -> DataFrame:
+    """One article of each domain."""
+    return R.seeded_sample(A.articles(s, d).select("domain", "doc_id"), "doc_id", 1, by=("domain",))
+
+
+def snippet_prices(s: SparkSession, d: str) -> DataFrame:
+    """Prices whose thousands and rest are two groups of the pattern: their median, if one lies in the band."""
+    p = X.split_numbers(F.col("content"), COFFEE_TITLE.split_price, COFFEE_TITLE.price_low, COFFEE_TITLE.price_high)
+    return _priced(s, d).select("p_partkey", X.array_median(p).alias("ts_price"), (F.size(p) > 0).alias("ts_has_price"))
+
+
+def text_flags(s: SparkSession, d: str) -> DataFrame:
+    """Place and noise flags, and whether either a keyword or noise is there."""
+    c = F.col("content")
+    return A.articles(s, d).select(
+        "url_hash", X.flag(c, PROSE.place).alias("has_place"), X.flag(c, PROSE.noise).alias("has_noise"), (X.flag(c, PRESENCE["digit"]) | X.flag(c, PROSE.noise)).alias("has_either"))
+
+
+def facts_by_key(s: SparkSession, d: str) -> DataFrame:
+    """Articles with extracted facts, whose key has another name; absent ones stay null."""
+    a = A.articles(s, d).select("url_hash", "domain")
+    facts = R.without(A.article_facts(s, d), "title", "no_such_column").filter("doc_id % 4 <> 0").select(F.col("url_hash").alias("article_hash"), "n_up", "price")
+    return R.join_on(a, facts, {"url_hash": "article_hash"})
+
+
 QUERIES = {f.__name__: f for f in (
-    article_features, article_prices, rule_extraction, link_dedup, link_merge, resume_pending, link_content_join, two_versions_join, keyword_rates, ngram_top, smart_truncate,
+    seeded_per_domain, snippet_prices, text_flags, facts_by_key, article_features, article_prices, rule_extraction, link_dedup, link_merge, resume_pending, link_content_join, two_versions_join, keyword_rates, ngram_top, smart_truncate,
     bin_fixed, describe_pct, crosstab_margins, top_domains, json_extract, extraction_status, consistency, date_mismatch, band_filter, url_parts, date_parse, query_grid, html_pages, seeded_sample)}
 
 _PRICED = r"""
@@ -258,6 +283,22 @@ SQL = {
 }
 from .daily_queries import MENTION, POOLED  # noqa: E402
 
+_STRIP = r"regexp_replace({}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+_SCORE = " + ".join(f"CASE WHEN contains(lower(p), '{t}') THEN {w} ELSE 0 END" for w, terms in ((3, PROSE.high_terms), (2, PROSE.medium_terms), (1, PROSE.low_terms)) for t in terms)
+SQL["smart_truncate"] = rf"""WITH {A.ARTICLES}, pa AS (SELECT url_hash, i, {_STRIP.format("ps[i]")} AS p FROM (SELECT url_hash, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT url_hash, string_split(content, chr(10)) AS ps FROM art))),
+  sc AS (SELECT url_hash, i, p, {_SCORE} + CASE WHEN regexp_matches(p, '(?i)\d{{2,3}}[.,]\d{{3}}\s*(?:đồng|VNĐ|VND|đ/kg|đồng/kg)') THEN 3 ELSE 0 END AS score FROM pa WHERE length(p) > 20 AND NOT regexp_matches(p, '(?i)all rights reserved|copyright')),
+  cu AS (SELECT *, sum(length(p)) OVER (PARTITION BY url_hash ORDER BY score DESC, i ROWS UNBOUNDED PRECEDING) - length(p) AS used FROM sc WHERE score > 0),
+  pt AS (SELECT url_hash, score, i, CASE WHEN used + length(p) <= 600 THEN p WHEN used <= 600 AND 600 - used > 100 THEN substr(p, 1, CAST(600 - used AS INTEGER)) END AS piece FROM cu),
+  jo AS (SELECT url_hash, coalesce(string_agg(piece, chr(10) ORDER BY score DESC, i), '') AS kept FROM pt GROUP BY url_hash)
+  SELECT url_hash, CASE WHEN length(content) < 50 THEN content ELSE coalesce(kept, substr(content, 1, 600)) END AS kept FROM art LEFT JOIN jo USING (url_hash)"""
+SQL["seeded_sample"] = f"WITH {A.ARTICLES} SELECT doc_id, url_hash FROM art ORDER BY md5('42:' || doc_id), doc_id LIMIT 5"
+SQL["seeded_per_domain"] = f"WITH {A.ARTICLES} SELECT domain, doc_id FROM art QUALIFY row_number() OVER (PARTITION BY domain ORDER BY md5('42:' || doc_id), doc_id) = 1"
+SQL["snippet_prices"] = rf"""WITH {_PRICED}, x AS (SELECT p_partkey, list_filter(list_transform(regexp_extract_all(content, '(?i)\b(\d{{2,3}}[.,]\d{{3}})\s*(?:đồng|VNĐ|VND|đ/kg|đồng/kg)', 1),
+  lambda x: CAST(regexp_replace(x, '[.,]', '', 'g') AS DOUBLE)), lambda x: x BETWEEN 30000 AND 250000) AS p FROM pr) SELECT p_partkey, CAST(list_median(p) AS DOUBLE) AS ts_price, len(p) > 0 AS ts_has_price FROM x"""
+SQL["text_flags"] = f"""WITH {A.ARTICLES} SELECT url_hash, contains(content, '://') AS has_place, contains(lower(content), 'all rights reserved') AS has_noise,
+  regexp_matches(content, '[0-9]') OR contains(lower(content), 'all rights reserved') AS has_either FROM art"""
+SQL["facts_by_key"] = f"WITH {A.FACTS} SELECT a.url_hash, a.domain, f.n_up, f.price FROM art a LEFT JOIN (SELECT * FROM facts WHERE doc_id % 4 <> 0) f ON a.url_hash = f.url_hash"
+
 SQL["two_versions_join"] = f"""SELECT p.date, p.n_articles, o.n_articles AS n_articles_old, o.dir_score AS dir_score_old, l.n_articles AS n_articles_llm, l.dir_score AS dir_score_llm
   FROM (WITH {POOLED} SELECT * FROM md) p LEFT JOIN (WITH {MENTION} SELECT * FROM md) o ON o.date = p.date AND o.target = 'arabica'
   LEFT JOIN (WITH {MENTION} SELECT * FROM md) l ON l.date = p.date AND l.target = 'robusta'"""

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
+from ..operators import boosting as B
 from ..operators import models as M
 from ..operators import relational as R
 from ..operators import rules as U
 from ..operators import signals as S
 from ..operators import stats as T
 from ..operators import windows as W
+from ..sources.scratch import scratch_path
 from . import adapters as A
 from .daily_queries import MENTION, POOLED, SQL as DAILY_SQL, mention_daily, mention_daily_pooled, notebook_daily
 
@@ -113,7 +116,7 @@ SIGNALS = ("SIG_MAJORITY_UP", "SIG_MAJORITY_DOWN", "SIG_SPLIT", "SIG_NEUTRAL", "
 
 
 def welch(s: SparkSession, d: str) -> DataFrame:
-    return T.welch(S.mention_signals(_joined(s, d)), SIGNALS, "next_day_ret", least=2)
+    return T.welch(S.mention_signals(_joined(s, d)), SIGNALS, "next_day_ret", least=5)
 
 
 def welch_p(s: SparkSession, d: str) -> DataFrame:
@@ -208,31 +211,102 @@ def _model_input(s: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
     return df, ["price", "price_lag1", "price_lag2", "price_lag3", "price_roll7"]
 
 
-def _scored(model, test: DataFrame, name: str) -> DataFrame:
-    return M.metrics(model.transform(test), "target_price").withColumn("model", F.lit(name))
+def _split(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    df, features = _model_input(s, d)
+    return *M.split_by_date(df, "1999-12-31", "2000-01-01"), features
+
+
+LINEAR = {"lasso": M.LASSO_GRID, "ridge": M.RIDGE_GRID, "elastic_net": M.ELASTIC_GRID}
 
 
 def model_linear(s: SparkSession, d: str) -> DataFrame:
-    df, features = _model_input(s, d)
-    train, test = M.split_by_date(df, "1999-12-31", "2000-01-01")
-    train = train.cache()
-    out = None
-    for name, grid in (("lasso", ((1.0, 1.0), (10.0, 1.0))), ("ridge", ((1.0, 0.0), (100.0, 0.0))), ("elastic_net", ((1.0, 0.5),))):
-        best = M.grid_search(train, features, "target_price", grid, k=3) if len(grid) > 1 else grid[0]
-        one = _scored(M.fit_linear(train, features, "target_price", *best), test, name)
-        out = one if out is None else out.unionByName(one)
-    return out.orderBy("rmse")
+    """Errors of each linear estimator at its best grid point."""
+    train, test, features = _split(s, d)
+    scored = None
+    for name, grid in LINEAR.items():
+        alpha, l1 = M.grid_search(train, features, "target_price", grid)
+        b0, b, _ = M.fit_gram(train, features, "target_price", alpha, l1)
+        one = test.select("date", "target_price", M.predicted(features, b0, b).alias("prediction"), F.lit(name).alias("model"), F.lit(alpha).alias("alpha"), F.lit(l1).alias("l1_ratio"))
+        scored = one if scored is None else scored.unionByName(one)
+    return M.metrics(scored, "target_price", keys=("model", "alpha", "l1_ratio")).orderBy("rmse")
+
+
+def _boosted(s: SparkSession, d: str, name: str, grid: tuple) -> DataFrame:
+    train, test, features = _split(s, d)
+    best = B.best_setting(train, features, "target_price", grid)
+    scored = B.predict(test, features, B.fit(train, features, "target_price", best))
+    m = M.metrics(scored, "target_price").withColumn("model", F.lit(name))
+    return m.withColumns({n: F.lit(getattr(best, n)) for n in ("n_estimators", "max_depth", "learning_rate", "subsample", "num_leaves")})
 
 
 def model_boosted(s: SparkSession, d: str) -> DataFrame:
-    df, features = _model_input(s, d)
-    train, test = M.split_by_date(df, "1999-12-31", "2000-01-01")
-    return _scored(M.fit_boosted(train, features, "target_price"), test, "boosted")
+    """Errors of trees grown by level at the best of 36 settings."""
+    return _boosted(s, d, "by_level", B.BY_LEVEL)
+
+
+def model_boosted_leaves(s: SparkSession, d: str) -> DataFrame:
+    """Errors of trees grown by leaf at the best of 36 settings."""
+    return _boosted(s, d, "by_leaf", B.BY_LEAF)
+
+
+def model_importances(s: SparkSession, d: str) -> DataFrame:
+    """Features by the trees' gain and splits, by the size of standardised coefficients, and by permutation."""
+    train, test, features = _split(s, d)
+    kinds = {"gain": B.fit(train, features, "target_price", B.BY_LEVEL[0]).importances(), "splits": B.fit(train, features, "target_price", B.BY_LEAF[0]).importances()}
+    b0, b, standard = M.fit_gram(train, features, "target_price", 1.0, 0.0)
+    kinds["coefficient"] = abs(standard)
+    rows = [(k, f, float(v)) for k, values in kinds.items() for f, v in zip(features, values)]
+    permuted = M.permutation_importance(lambda df: df.withColumn("prediction", M.predicted(features, b0, b)), test, features, "target_price")
+    out = s.createDataFrame(rows, "kind string, feature string, importance double").unionByName(permuted.select(F.lit("permutation").alias("kind"), "feature", "importance"))
+    return out.select("kind", "feature", F.round("importance", 6).alias("importance")).orderBy("kind", F.desc("importance"))
+
+
+def model_saved(s: SparkSession, d: str) -> DataFrame:
+    """Errors of a fitted pipeline that was stored and loaded again."""
+    train, test, features = _split(s, d)
+    path = scratch_path(s, "model")
+    M.fit_linear(train, features, "target_price", 1.0, 0.0).write().overwrite().save(path)
+    return M.metrics(PipelineModel.load(path).transform(test), "target_price", digits=3)
+
+
+def price_reconstruction(s: SparkSession, d: str) -> DataFrame:
+    """Prices from the current one and a predicted difference, or a predicted return: half of the last change."""
+    p = A.prices(s, d).select("date", "price", F.lag("price").over(series()).alias("before")).filter("before is not null").withColumnRenamed("price", "current")
+    moved = p.withColumns({"delta": (F.col("current") - F.col("before")) / 2, "ret": F.when(F.col("before") != 0, (F.col("current") / F.col("before") - 1) / 2)})
+    by_ret = M.reconstructed(moved, "current", "ret", relative=True).select("date", F.round("price", 6).alias("by_return"))
+    return M.reconstructed(moved, "current", "delta").select("date", "current", F.round("price", 6).alias("by_difference")).join(by_ret, "date")
+
+
+def pattern_rules(s: SparkSession, d: str) -> DataFrame:
+    """Mined rules as 0/1 features: a row a day and pattern."""
+    rows = U.pattern_features(_transactions(s, d), ITEMS, U.predicting(_rules(s, d), LABELS), "PRICE_UP")
+    return rows.select("target", "date", "pattern", "hit")
+
+
+def positive_variation(s: SparkSession, d: str) -> DataFrame:
+    """Correlation of the price variation with the return over the days that have one."""
+    rows = _joined(s, d).filter("price_cv > 0 and next_day_ret is not null")
+    return rows.groupBy("target").agg(F.count("*").alias("n"), F.round(F.avg("price_cv"), 6).alias("cv_mean"), F.round(F.corr("price_cv", "next_day_ret"), 6).alias("r"))
+
+
+def joinable_days(s: SparkSession, d: str) -> DataFrame:
+    """Days with features, days with a price beside them, and the articles a day: mean and deviation."""
+    m = mention_daily(s, d).filter("n_articles > 0")
+    p = A.mention_prices(s, d).select("date", F.lit(1).alias("priced"))
+    return m.join(p, "date", "left").groupBy("target").agg(
+        F.count("*").alias("days"), F.count("priced").alias("joinable"), F.round(F.avg("n_articles"), 1).alias("mean"), F.round(F.stddev_samp("n_articles"), 1).alias("std"))
+
+
+def spearman_p(s: SparkSession, d: str) -> DataFrame:
+    """A rank correlation with its p-value."""
+    r = spearman(s, d)
+    return r.withColumn("p", F.round(T.p_value(T.pearson_t(F.col("rho"), F.col("n")), (F.col("n") - 2).cast("double")), 6))
 
 
 QUERIES = {f.__name__: f for f in (
     price_returns, price_sma, ohlc_spread, top_moves, market_clean, feature_price_join, corr_rank, corr_p, lead_lag, best_feature, ols_line, spearman, welch, welch_p, signal_rates,
-    bin_quantile, coverage_gaps, coverage_stats, itemsets, rules, top_price_rules, rule_features, model_metrics, directional_accuracy, model_linear, model_boosted)}
+    bin_quantile, coverage_gaps, coverage_stats, itemsets, rules, top_price_rules, rule_features, model_metrics, directional_accuracy, model_linear, model_boosted,
+    model_boosted_leaves, model_importances, model_saved, price_reconstruction, pattern_rules, positive_variation, joinable_days, spearman_p)}
 
 _J = f"""jo AS (SELECT m.*, p.price, p.next_day_ret FROM md m JOIN (SELECT date, price, round(CASE WHEN price <> 0 THEN (lead(price) OVER (ORDER BY date) / price - 1) * 100 END, 6) AS next_day_ret FROM mpx) p USING (date))"""
 _JOINED = f"WITH {MENTION}, {A.MENTION_PRICES}, {_J}"
@@ -249,16 +323,21 @@ _LAGGED = [f"{f}_lag{k}" for f in FEATURES for k in (1, 2, 3)]
 _SIG = DAILY_SQL["mention_signals"].split(" FROM md")[0].rsplit("SELECT target, date, ", 1)[1]
 _SIGGED = _JOINED + f", sg AS (SELECT next_day_ret, target, date, {_SIG} FROM jo), ls AS (UNPIVOT (SELECT next_day_ret, {', '.join(SIGNALS)} FROM sg) ON {', '.join(SIGNALS)} INTO NAME signal VALUE value)"
 _BASE_NB = DAILY_SQL["notebook_signals"]
-_TX = f"""WITH sn AS ({_BASE_NB}), tx AS (SELECT *, CAST(((date - DATE '2023-03-11') * 7) % 5 < 2 AS INTEGER) AS PRICE_UP, CAST(((date - DATE '2023-03-11') * 7) % 5 >= 2 AS INTEGER) AS PRICE_DOWN FROM sn),
-it AS (SELECT r, item FROM (UNPIVOT (SELECT row_number() OVER () AS r, * EXCLUDE (target, date) FROM tx) ON COLUMNS(* EXCLUDE r) INTO NAME item VALUE v) WHERE v = 1),
-fs AS (SELECT [item] AS items, count(*) AS n FROM it GROUP BY ALL
-  UNION ALL SELECT [a.item, b.item], count(*) FROM it a JOIN it b ON a.r = b.r AND a.item < b.item GROUP BY ALL
-  UNION ALL SELECT [a.item, b.item, c.item], count(*) FROM it a JOIN it b ON a.r = b.r AND a.item < b.item JOIN it c ON b.r = c.r AND b.item < c.item GROUP BY ALL),
-fq AS (SELECT items, n, n / CAST((SELECT count(*) FROM tx) AS DOUBLE) AS support FROM fs WHERE n / CAST((SELECT count(*) FROM tx) AS DOUBLE) >= 0.05)"""
-_RU = _TX + """, sp AS (SELECT a.items AS antecedents, list_filter(f.items, lambda x: NOT list_contains(a.items, x)) AS consequents, f.support, a.support AS sa
-  FROM fq f JOIN fq a ON len(a.items) < len(f.items) AND list_has_all(f.items, a.items)),
-ru AS (SELECT antecedents, consequents, round(sp.support, 6) AS support, round(sp.support / sa, 6) AS confidence, round(sp.support / sa / c.support, 6) AS lift
-  FROM sp JOIN fq c ON c.items = sp.consequents WHERE round(sp.support / sa, 6) >= 0.55)"""
+_TX = f"""WITH sn AS ({_BASE_NB}), tx AS MATERIALIZED (SELECT *, CAST(((date - DATE '2023-03-11') * 7) % 5 < 2 AS INTEGER) AS PRICE_UP, CAST(((date - DATE '2023-03-11') * 7) % 5 >= 2 AS INTEGER) AS PRICE_DOWN FROM sn),
+it AS (SELECT r, list(item ORDER BY item) AS a FROM (UNPIVOT (SELECT row_number() OVER () AS r, * EXCLUDE (target, date) FROM tx) ON COLUMNS(* EXCLUDE r) INTO NAME item VALUE v) WHERE v = 1 GROUP BY r),
+p1 AS (SELECT a, i, [a[i]] AS items FROM (SELECT a, unnest(range(1, len(a) + 1)) AS i FROM it)),
+p2 AS (SELECT a, j AS i, list_append(items, a[j]) AS items FROM (SELECT a, items, unnest(range(i + 1, len(a) + 1)) AS j FROM p1)),
+p3 AS (SELECT list_append(items, a[j]) AS items FROM (SELECT a, items, unnest(range(i + 1, len(a) + 1)) AS j FROM p2)),
+fs AS (SELECT items, count(*) AS n FROM (SELECT items FROM p1 UNION ALL SELECT items FROM p2 UNION ALL SELECT items FROM p3) GROUP BY items),
+fq AS MATERIALIZED (SELECT items, n, n / CAST((SELECT count(*) FROM tx) AS DOUBLE) AS support FROM fs WHERE n / CAST((SELECT count(*) FROM tx) AS DOUBLE) >= 0.05)"""
+_RU = _TX + """, sp AS (SELECT u.a AS antecedents, u.c AS consequents, support FROM (
+    SELECT support, unnest(CASE len(items) WHEN 2 THEN [{'a': [items[1]], 'c': [items[2]]}, {'a': [items[2]], 'c': [items[1]]}]
+      WHEN 3 THEN [{'a': [items[1]], 'c': items[2:3]}, {'a': [items[2]], 'c': [items[1], items[3]]}, {'a': [items[3]], 'c': items[1:2]},
+        {'a': items[1:2], 'c': [items[3]]}, {'a': [items[1], items[3]], 'c': [items[2]]}, {'a': items[2:3], 'c': [items[1]]}] END) AS u FROM fq WHERE len(items) > 1)),
+ru AS MATERIALIZED (SELECT antecedents, consequents, round(sp.support, 6) AS support, round(sp.support / a.support, 6) AS confidence, round(sp.support / a.support / c.support, 6) AS lift
+  FROM sp JOIN fq a ON a.items = sp.antecedents JOIN fq c ON c.items = sp.consequents WHERE round(sp.support / a.support, 6) >= 0.55)"""
+_TOP = """WHERE list_has_any(consequents, ['PRICE_UP', 'PRICE_DOWN']) AND NOT list_has_any(antecedents, ['PRICE_UP', 'PRICE_DOWN'])
+      ORDER BY lift DESC, confidence DESC, support DESC, array_to_string(ru.antecedents, ','), array_to_string(ru.consequents, ',')"""
 _FC = f"WITH {A.PRICES}, fc AS (SELECT date, price AS y, round(l1 + (l1 - l2) / 2, 6) AS prediction FROM (SELECT *, lag(price) OVER (ORDER BY date) AS l1, lag(price, 2) OVER (ORDER BY date) AS l2 FROM px) WHERE l2 IS NOT NULL)"
 
 SQL = {
@@ -287,7 +366,7 @@ SQL = {
     "welch": f"""{_SIGGED}, g AS (SELECT signal, count(*) FILTER (value = 1) AS n1, count(*) FILTER (value = 0) AS n0, avg(next_day_ret) FILTER (value = 1) AS m1, avg(next_day_ret) FILTER (value = 0) AS m0,
       var_samp(next_day_ret) FILTER (value = 1) / count(*) FILTER (value = 1) AS s1, var_samp(next_day_ret) FILTER (value = 0) / count(*) FILTER (value = 0) AS s0 FROM ls WHERE next_day_ret IS NOT NULL GROUP BY signal)
       SELECT signal, n1, n0, round(m1, 6) AS mean1, round(m0, 6) AS mean0, round(m1 - m0, 6) AS diff, round(CASE WHEN s1 + s0 > 0 THEN (m1 - m0) / sqrt(s1 + s0) END, 6) AS t,
-      round(CASE WHEN s1 + s0 > 0 THEN (s1 + s0) * (s1 + s0) / (s1 * s1 / (n1 - 1) + s0 * s0 / (n0 - 1)) END, 6) AS df FROM g WHERE n1 > 2 AND n0 > 2""",
+      round(CASE WHEN s1 + s0 > 0 THEN (s1 + s0) * (s1 + s0) / (s1 * s1 / (n1 - 1) + s0 * s0 / (n0 - 1)) END, 6) AS df FROM g WHERE n1 > 5 AND n0 > 5""",
     "signal_rates": f"{_SIGGED} SELECT signal, round(avg(value), 6) AS rate, round(avg(next_day_ret) FILTER (value = 1), 6) AS mean_ret FROM ls GROUP BY signal",
     "bin_quantile": f"""WITH {A.BARS}, e AS (SELECT list_sort(list_distinct(list_transform(quantile_cont(volume, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]), lambda x: round(x, 6)))) AS ed FROM bars),
       b AS (SELECT volume, close, ed[k] AS lo, ed[k + 1] AS hi FROM (SELECT *, greatest(len(list_filter(ed, lambda x: x < round(volume, 6))), 1) AS k FROM bars, e))
@@ -307,4 +386,13 @@ SQL = {
       round(1 - sum((y - prediction) ** 2) / (var_pop(y) * count(*)), 1) AS r2, round(avg(CASE WHEN b IS NOT NULL THEN CAST(sign(y - b) = sign(prediction - b) AS INTEGER) END), 1) AS da FROM h GROUP BY model""",
     "directional_accuracy": f"""{_FC}, h AS (SELECT *, year(date) AS year, lag(y) OVER (PARTITION BY year(date) ORDER BY date) AS b FROM fc)
       SELECT year, count(*) AS n, round(avg(CASE WHEN b IS NOT NULL THEN CAST(sign(y - b) = sign(prediction - b) AS INTEGER) END), 6) AS da FROM h GROUP BY year""",
+    "price_reconstruction": f"""WITH {A.PRICES}, x AS (SELECT date, price AS current, lag(price) OVER (ORDER BY date) AS before FROM px)
+      SELECT date, current, round(current + (current - before) / 2, 6) AS by_difference, round(CASE WHEN before <> 0 THEN current * (1 + (current / before - 1) / 2) END, 6) AS by_return FROM x WHERE before IS NOT NULL""",
+    "pattern_rules": f"""{_RU}, tp AS (SELECT *, row_number() OVER () - 1 AS k FROM (SELECT * FROM ru {_TOP} LIMIT 10)),
+      na AS (SELECT printf('pat_%02d_%s_c%dp', k, CASE WHEN list_contains(consequents, 'PRICE_UP') THEN 'up' ELSE 'down' END, CAST(round(confidence * 100) AS INTEGER)) AS pattern, antecedents FROM tp),
+      hd AS (SELECT target, date, list_filter([{", ".join(f"CASE WHEN {x} = 1 THEN '{x}' END" for x in ITEMS)}], lambda x: x IS NOT NULL) AS held FROM tx)
+      SELECT target, date, pattern, CAST(list_has_all(held, antecedents) AS INTEGER) AS hit FROM hd, na""",
+    "positive_variation": f"{_JOINED} SELECT target, count(*) AS n, round(avg(price_cv), 6) AS cv_mean, round(corr(price_cv, next_day_ret), 6) AS r FROM jo WHERE price_cv > 0 AND next_day_ret IS NOT NULL GROUP BY target",
+    "joinable_days": f"""WITH {MENTION}, {A.MENTION_PRICES} SELECT target, count(*) AS days, count(p.date) AS joinable, round(avg(n_articles), 1) AS mean, round(stddev_samp(n_articles), 1) AS std
+      FROM md LEFT JOIN mpx p USING (date) WHERE n_articles > 0 GROUP BY target""",
 }

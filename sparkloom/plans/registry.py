@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import article_queries, daily_queries, market_queries
+from . import article_queries, daily_queries, market_queries, source_queries
 
-MODULES = (article_queries, daily_queries, market_queries)
+MODULES = (article_queries, daily_queries, market_queries, source_queries)
 
 
 def queries() -> dict:

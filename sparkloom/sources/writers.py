@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,15 +13,16 @@ def by_target(df: DataFrame, path: str, kind: str = "parquet", key: str = "targe
     df.write.mode("overwrite").partitionBy(key).option("maxRecordsPerFile", 5_000_000).option("header", True).format(kind).save(path)
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table in a folder, if it is there."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder)
+    return spark.read.parquet(path) if there else None
+
+
 def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
     """Append the rows whose keys are not stored yet."""
-    spark = df.sparkSession
-    try:
-        stored = spark.read.parquet(path)
-    except Exception as e:  # nothing stored yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        stored = None
+    stored = _stored(df.sparkSession, path)
     fresh = df.dropDuplicates(keys) if stored is None else df.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
     fresh.write.mode("append").parquet(path)
 
@@ -30,7 +31,7 @@ def report(df: DataFrame, path: str, line: Column | None = None) -> None:
     """JSON rows, and text lines if a line is given."""
     df.write.mode("overwrite").json(f"{path}/json")
     if line is not None:
-        df.select(line.alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/text")
+        df.select(line.alias("value")).write.mode("overwrite").text(f"{path}/text")
 
 
 def texts_by_path(df: DataFrame, path: str, name: str = "path", text: str = "text") -> None:
@@ -42,10 +43,7 @@ def resume(work: DataFrame, path: str, key: str, run: Callable[[DataFrame], Data
     """Run work that has no stored `ok` result, in batches by a hash of the key; each batch is stored before the next starts."""
     for k in range(batches):
         part = work.filter(F.pmod(F.xxhash64(key), F.lit(batches)) == k)
-        try:
-            stored = work.sparkSession.read.parquet(path)
+        stored = _stored(work.sparkSession, path)
+        if stored is not None:
             part = part.join(stored.filter("status = 'ok'").select(key), key, "left_anti")
-        except Exception as e:  # nothing stored yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
         run(part).write.mode("append").parquet(path)

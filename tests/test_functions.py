@@ -85,6 +85,17 @@ def test_truncation_matches_plain_python(spark):
         assert got == {i: reference_truncation(t, PROSE, budget) for i, t in enumerate(texts)}
 
 
+def test_paragraph_prices_need_no_word_bound(spark):
+    line = "so 1234.567 đồng stands in a line"
+    text = "\n".join(["x" * 30, line, "y" * 30])
+    assert one(spark, X.smart_truncate(F.col("t"), COFFEE_TITLE), X.paragraph_score(F.lit(line), COFFEE_TITLE), t=text) == (line, 3)
+
+
+def test_split_prices(spark):
+    p = X.split_numbers(F.col("t"), COFFEE_TITLE.split_price, 30_000, 250_000)
+    assert one(spark, p, t="57.600 đồng, 95,000 đ/kg; 12.345 VND; 7.000 đồng") == ([57600.0, 95000.0],)
+
+
 def test_fences_domains_keys(spark):
     got = one(spark, X.unfenced(F.lit('```json\n{"a": 1}\n```')), X.unfenced(F.lit(" {b ")), X.url_domain(F.lit("https://a.b/c")), X.url_domain(F.lit("a.b/c")),
               X.masked_key(F.lit("abcdefghwxyz")), X.first_line(F.lit("  one \ntwo")), X.excluding(F.lit("q"), ["a", "b"]))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators import daily as D
+from sparkloom.operators import boosting as B
 from sparkloom.operators import models as M
 from sparkloom.operators import relational as R
 from sparkloom.operators import rules as U
@@ -128,15 +129,106 @@ def test_folds_and_metrics(spark):
     assert m.da == pytest.approx(2 / 3, abs=1e-6) and m.mae == 3.0
 
 
-def test_lasso_and_ridge_penalties(spark):
+def regression(spark, n=60):
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(60, 2))
-    y = x @ [3.0, -2.0] + rng.normal(size=60)
-    df = spark.createDataFrame([(i, float(a), float(b), float(c)) for i, ((a, b), c) in enumerate(zip(x, y))], "date int, a double, b double, y double")
-    model = M.fit_linear(df, ["a", "b"], "y", 10.0, 0.0).stages[-1]
-    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    x = rng.normal(size=(n, 2)) * [1.0, 50.0] + [3.0, -7.0]
+    y = x @ [3.0, -0.2] + rng.normal(size=n)
+    return x, y, spark.createDataFrame([(i, float(a), float(b), float(c)) for i, ((a, b), c) in enumerate(zip(x, y))], "date int, a double, b double, y double")
+
+
+def test_ridge_scales_by_the_population(spark):
+    x, y, df = regression(spark)
+    z = (x - x.mean(0)) / x.std(0)
     exact = np.linalg.solve(z.T @ z + 10 * np.eye(2), z.T @ (y - y.mean()))
-    assert model.coefficients.toArray() == pytest.approx(exact, rel=1e-4)
+    assert M.fit_linear(df, ["a", "b"], "y", 10.0, 0.0).stages[-1].coefficients.toArray() == pytest.approx(exact, rel=1e-4)
+    b0, plain, standard = M.fit_gram(df, ["a", "b"], "y", 10.0, 0.0)
+    assert standard == pytest.approx(exact, rel=1e-9) and b0 + x @ plain == pytest.approx(y.mean() + z @ exact, rel=1e-9)
+
+
+def test_lasso_and_elastic_net_meet_their_conditions(spark):
+    x, y, df = regression(spark)
+    z = (x - x.mean(0)) / x.std(0)
+    for alpha, l1 in ((0.5, 1.0), (0.5, 0.5), (5.0, 0.8), (100.0, 1.0)):
+        _, _, w = M.fit_gram(df, ["a", "b"], "y", alpha, l1)
+        slope = z.T @ (y - y.mean() - z @ w) / len(y) - alpha * (1 - l1) * w
+        assert all(abs(g - np.sign(c) * alpha * l1) < 1e-7 if c else abs(g) <= alpha * l1 + 1e-7 for g, c in zip(slope, w))
+
+
+def test_grid_search_equals_separate_fits(spark):
+    x, y, df = regression(spark)
+    grid = [*M.LASSO_GRID, *M.RIDGE_GRID, *M.ELASTIC_GRID, (5.0, 1.0)]
+    assert [len(g) for g in (M.LASSO_GRID, M.RIDGE_GRID, M.ELASTIC_GRID)] == [5, 6, 15]
+
+    def error(g):
+        out = []
+        for a, b in M.expanding_folds(df):
+            b0, w, _ = M.fit_gram(a, ["a", "b"], "y", *g)
+            rows = np.array([(r.a, r.b, r.y) for r in b.collect()])
+            out.append(np.abs(b0 + rows[:, :2] @ w - rows[:, 2]).mean())
+        return np.mean(out)
+
+    best = M.grid_search(df, ["a", "b"], "y", grid)
+    assert error(best) <= min(error(g) for g in (grid[0], grid[7], grid[-1], grid[12])) + 1e-9
+
+
+def test_boosted_trees():
+    x = np.array([[float(i), 0.0] for i in range(40)])
+    y = np.where(x[:, 0] < 13, 2.0, 5.0)
+    for setting in (B.Setting(1, 1, 1.0, penalty=0.0), B.Setting(1, -1, 1.0, 1.0, 2, 0.0)):
+        m = B.Boosted(setting).fit(x, y)
+        assert m.predict(x) == pytest.approx(y) and m.importances()[0] > 0 == m.importances()[1]
+    # A penalised leaf: the sum of its residuals over its rows and the penalty.
+    m = B.Boosted(B.Setting(1, 1, 0.5, penalty=1.0)).fit(x, y)
+    assert m.predict(x[:1])[0] == pytest.approx(y.mean() + 0.5 * (2.0 - y.mean()) * 13 / 14)
+    assert len(B.BY_LEVEL) == len(B.BY_LEAF) == 36
+    noisy = y + np.random.default_rng(1).normal(size=40) * 0.1
+    deep = B.Boosted(B.Setting(50, -1, 0.3, 1.0, 5, 0.0, 5)).fit(x, noisy)
+    assert all(sum(n[0] < 0 for n in t) <= 5 for t in deep.trees) and np.abs(deep.predict(x) - noisy).mean() < 0.1
+
+
+def test_boosted_grid(spark):
+    x, y, df = regression(spark)
+    grid = (B.Setting(1, 1, 0.01), B.Setting(30, 2, 0.3))
+    errors = {r.setting: r.mae for r in B.grid_errors(df, ["a", "b"], "y", grid, k=2).collect()}
+    folds = [(a.toPandas().sort_values("date"), b.toPandas()) for a, b in M.expanding_folds(df, 2)]
+    want = np.mean([np.abs(B.Boosted(grid[1]).fit(a[["a", "b"]].to_numpy(), a.y.to_numpy()).predict(b[["a", "b"]].to_numpy()) - b.y.to_numpy()).mean() for a, b in folds])
+    assert errors[1] == pytest.approx(want) and errors[1] < errors[0]
+    best = B.best_setting(df, ["a", "b"], "y", grid, k=2)
+    assert best == grid[1] and B.predict(df, ["a", "b"], B.fit(df, ["a", "b"], "y", best)).filter("prediction is null").isEmpty()
+
+
+def test_permutation_and_reconstruction(spark):
+    x, y, df = regression(spark)
+    got = {r.feature: r.importance for r in M.permutation_importance(lambda d: d.withColumn("prediction", F.col("a") * 3 - F.col("b") * 0.2), df, ["a", "b", "date"], "y").collect()}
+    assert got["b"] > got["a"] > 0.5 and got["date"] == pytest.approx(0, abs=1e-9)
+    row = spark.createDataFrame([(100.0, 5.0, 0.1)], "c double, delta double, ret double")
+    assert M.reconstructed(row, "c", "delta").first().price == 105.0 and M.reconstructed(row, "c", "ret", True).first().price == pytest.approx(110.0)
+
+
+def test_samples_and_named_joins(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(20)], "k int, g string")
+    one, two = (R.seeded_sample(df.repartition(n), "k", 3, by=("g",)).collect() for n in (1, 5))
+    assert sorted(one) == sorted(two) and len(one) == 6
+    assert R.seeded_sample(df, "k", 1, by=("g",)).count() == 2
+    right = spark.createDataFrame([(1, "x")], "other int, v string")
+    assert [tuple(r) for r in R.join_on(df.filter("k < 2"), right, {"k": "other"}).orderBy("k").collect()] == [(0, "a", None), (1, "b", "x")]
+    assert R.without(df, "g", "none").columns == ["k"] and R.columns_like(df, "k") == ["k"]
+
+
+def test_pattern_features(spark):
+    df = spark.createDataFrame([(1, 1, 1), (1, 1, 0), (1, 0, 1), (0, 0, 0)], "A int, B int, PRICE_UP int")
+    found = U.predicting(U.rules(U.itemsets(df, ["A", "B", "PRICE_UP"], 0.25), 0.6), ["PRICE_UP"])
+    assert [(r.A, r.pattern, r.hit) for r in U.pattern_features(df, ["A", "B"], found, "PRICE_UP").collect()] == [(a, "pat_00_up_c67p", a) for a in (1, 1, 1, 0)]
+
+
+def test_config_is_plain_json(tmp_path):
+    (tmp_path / "c.json").write_text('{"query_templates": [{"id": "t1"}]}')
+    assert readers.config(str(tmp_path / "c.json"))["query_templates"][0]["id"] == "t1"
+
+
+def test_cost(spark):
+    r = extract.cost(spark.createDataFrame([(100,), (300,)], "tokens_used int"), 2.0).first()
+    assert (r.n, r.tokens, r.mean_tokens, r.cost) == (2, 400, 200.0, pytest.approx(0.0008))
 
 
 def test_extraction(spark):
