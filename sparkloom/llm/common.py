@@ -3,42 +3,18 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local_scratch: dict[str, str] = {}
-
+from ..sources.scratch import scratch_dir, scratch_path
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only a local master without that setting gets a folder of its own (tests);
-    a cluster without it is an error, as machine-local files would be lost.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    sc = spark.sparkContext
-    own = sc._jsc.sc().getCheckpointDir()
-    if own.isDefined():
-        return own.get().rstrip("/")
-    if not sc._jsc.sc().isLocal():
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    return _local_scratch.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="sparkloom-"))
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/sparkloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all that this application has written to the scratch folder, when its results have been read."""
     _delete(spark, f"{scratch_dir(spark)}/sparkloom/{spark.sparkContext.applicationId}")
@@ -66,15 +42,16 @@ def _released(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_CLEANUP, before)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the shared scratch folder and read it back.
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write a table in the shared scratch folder, in a folder a value of `by` if that is given, and read it back.
 
     Cuts lineage: what follows survives lost executors without recomputing df, whose shuffle files go at once.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     with _released(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
