@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, read_table
+from .common import bucketed, connected_components, drop_bucketed, drop_scratch, materialize, read_table
 from .hashing import mixed, stretches
 
 SHINGLE = 5
@@ -107,7 +107,7 @@ def _signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(1).to_pylist():
             hashes = shingle_set(text)
             sizes.append(len(hashes))
-            digests.append(xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None)
+            digests.append(_digest(hashes))
             bands.append(band_keys(hashes) if len(hashes) else np.zeros(0, np.int64))
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in bands])]).astype(np.int32)
         yield pa.RecordBatch.from_arrays([
@@ -116,73 +116,85 @@ def _signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ], names=["doc_id", "n_shingles", "digest", "bands"])
 
 
+def _digest(hashes: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
+        sets = [x for x in map(shingle_set, batch.column(0).to_pylist()) if len(x)]
         maps = [bitmap(x) for x in sets]
         yield pa.RecordBatch.from_arrays([
-            batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary()),
+            pa.array([_digest(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary()),
             pa.array(maps, pa.list_(pa.int64())), pa.array([len(x) - int(np.bitwise_count(m.view(np.uint64)).sum()) for x, m in zip(sets, maps)], pa.int64()),
-            pa.array([band_keys(x) if len(x) else None for x in sets], pa.list_(pa.int64()))], names=["id", "hashes", "bitmap", "hidden", "bands"])
+            ], names=["digest", "hashes", "bitmap", "hidden"])
 
 
-def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs u, v whose hash sets meet the similarity."""
-    for batch in batches:
-        keep = []
-        for a, b in zip(batch.column(2), batch.column(3)):
-            a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-            both = np.sort(np.concatenate([a, b]), kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * common >= PERCENT * (len(a) + len(b) - common))
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+def _common(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs u, v whose hash sets meet the similarity."""
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                both = np.sort(np.concatenate([a, b]), kind="stable")
+                common = int((both[1:] == both[:-1]).sum())
+                keep.append(100 * common >= percent * (len(a) + len(b) - common))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
+    return run
 
-def _sizes_fit(a: Column, b: Column) -> Column:
+
+def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     """No pair reaches the similarity unless its set sizes are near enough."""
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _may_link(a: str, b: str, n: Column, m: Column, hidden_n: Column, hidden_m: Column) -> Column:
+def _may_link(a: str, b: str, n: Column, m: Column, hidden_n: Column, hidden_m: Column, percent: int) -> Column:
     """False only for pairs that cannot reach the similarity: a set has no more hashes in common than the bits both
     bitmaps have and its hashes beyond one a bit."""
     common = F.least(hidden_n, hidden_m)
     for k in range(SKETCH // 64):
         common = common + F.bit_count(F.col(a)[k].bitwiseAND(F.col(b)[k]))
-    return (100 + PERCENT) * common >= PERCENT * (n + m)
+    return (100 + percent) * common >= percent * (n + m)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs(u, v) that are similar by their full shingle sets."""
-    left = sets.select(F.col("id").alias("u"), F.col("hashes").alias("a"))
-    right = sets.select(F.col("id").alias("v"), F.col("hashes").alias("b"))
-    rows = pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "a", "b")
-    return materialize(rows.mapInArrow(_common, "u long, v long"), "confirmed")
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs(u, v) that are similar by their full shingle sets; sets lie bucketed by node, so only one side's move, and once."""
+    left = sets.select(F.col("node").alias("u"), F.col("hashes").alias("a"))
+    right = sets.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
+    rows = pairs.select("u", "v").join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "a", "b")
+    return materialize(rows.mapInArrow(_common(percent), "u long, v long"), "confirmed")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs.
 
-    Documents with equal shingle sets form one class, and only its least id goes on.
+    Documents with equal shingle sets form one class, whose digest is its key; only classes go on.
     Classes meet in banded buckets of their densified signatures; each bucket proposes a
     star from its class that meets most others, so a bucket of n proposes n - 1 pairs. Proposals are confirmed on
     full sets: first one hub for every class, then the hubs that are still in another
     component. Buckets that hold several components after that get the rest: each class outside the bucket's largest
     component against the classes of other components, so no pair that shares a bucket goes
-    unexamined unless it is connected already or the bitmaps of its sets rule it out. A pair at the threshold shares no bucket with probability 2e-9.
+    unexamined unless it is connected already or the bitmaps of its sets rule it out. A pair at a similarity of 85 shares
+    no bucket with probability 2e-9, one at 80 with 3e-6.
 
     Null and empty texts have no shingles and stand alone. Rows that repeat an id are one
-    document: they share its component. A null id stands alone with a null component and is kept. An
+    document, linked with all that one of them is like: they share its component. A null id stands alone with a null component and is kept. An
     empty table gives an empty result; other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialize(texts.mapInArrow(_signer, "doc_id long, n_shingles long, digest binary, bands array<long>"), "signed")
     filled = signed.filter("digest is not null and doc_id is not null")
-    classes = filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    alike = filled.select("doc_id", "digest").join(classes.filter("n > 1"), "digest").filter("doc_id <> rep").select("doc_id", "rep").distinct()
-    # A class is represented by the row of its least id.
-    heads = filled.join(classes.select(F.col("digest").alias("g"), "rep"), (F.col("digest") == F.col("g")) & (F.col("doc_id") == F.col("rep")), "left_semi")
-    rows = heads.select(F.col("doc_id").alias("u"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    # Equal digests have equal sets, so any of their rows gives the size and the bands; the table also lets joins with a very common class be split.
+    classes = filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    placed_rows = materialize(filled.select("doc_id", "digest").join(classes.select("digest", "node"), "digest").select("doc_id", "node"), "members")
+    # Texts under one id are one document.
+    several = placed_rows.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("most")).filter("v < most").select("doc_id", "v")
+    same = materialize(placed_rows.join(several, "doc_id").filter("node > v").select(F.col("node").alias("u"), "v"), "same")
+
+    rows = classes.select(F.col("node").alias("u"), "n", F.explode("bands").alias("key"))
     # Only rows of buckets with several classes are kept from here on.
     shared = rows.groupBy("key").agg(F.min("u").alias("lo"), F.max("u").alias("hi"), F.count("*").alias("size")).filter("lo <> hi")
     met = materialize(rows.join(shared.select("key", "size"), "key").dropDuplicates(["key", "u"]), "buckets")
@@ -191,15 +203,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranked = met.join(weight, "u")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("weight", F.negative("u").alias("minus"), "n")).alias("hub"))
     hubs = hubs.select("key", F.negative("hub.minus").alias("v"), F.col("hub.n").alias("m"), F.col("hub.weight").alias("weight"))
-    stars = met.join(hubs, "key").filter("u <> v").filter(_sizes_fit(F.col("n"), F.col("m")))
+    stars = met.join(hubs, "key").filter("u <> v").filter(_sizes_fit(F.col("n"), F.col("m"), percent))
     stars = materialize(stars.groupBy("u", "v").agg(F.max("weight").alias("weight")), "stars")
-    wanted = met.select(F.col("u").alias("doc_id")).distinct()
-    sets = materialize(
-        texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, hashes binary, bitmap array<long>, hidden long, bands array<long>").dropDuplicates(["id"]), "sets")
+    meeting = materialize(met.select(F.col("u").alias("node")).distinct().join(classes.select("node", "digest", "rep"), "node"), "meeting")
+    # One plan at every size: the texts of a corpus are never on a side that might be broadcast.
+    wanted = texts.join(meeting.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi").select("text")
+    found = wanted.mapInArrow(_sets, "digest binary, hashes binary, bitmap array<long>, hidden long").dropDuplicates(["digest"])
+    sets = found.join(meeting.select("digest", "node").hint("merge"), "digest").drop("digest").dropDuplicates(["node"])
+    sets = bucketed(sets, "node", "sets")
 
     tried = stars.groupBy("u").agg(F.max(F.struct("weight", F.negative("v").alias("minus"))).alias("hub")).select("u", F.negative("hub.minus").alias("v"))
-    links = _confirmed(tried, sets)
-    parts = connected_components(links)
+    links = same.union(_confirmed(tried, sets, percent))
+    parts = materialize(connected_components(links), "parts")
 
     def apart(pairs: DataFrame) -> DataFrame:
         """The pairs whose ends are not connected yet."""
@@ -208,13 +223,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return ends.filter(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
 
     rest = stars.join(tried, ["u", "v"], "left_anti")
-    links = links.union(_confirmed(apart(rest), sets))
+    links = links.union(_confirmed(apart(rest), sets, percent))
     parts = materialize(connected_components(links), "parts")
 
     placed = met.select("key", "u", "n").join(parts.select(F.col("node").alias("u"), "component"), "u", "left")
     placed = placed.withColumn("component", F.coalesce("component", "u"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    bitmaps = sets.select(F.col("id").alias("u"), "bitmap", "hidden", "bands")
+    bitmaps = sets.select(F.col("node").alias("u"), "bitmap", "hidden").join(classes.select(F.col("node").alias("u"), "bands"), "u")
     placed = materialize(placed.join(mixed, "key", "left_semi").join(bitmaps, "u"), "placed")
     # Largest component of a bucket: most classes, then least id.
     largest = placed.groupBy("key", "component").count().groupBy("key").agg(F.max(F.struct("count", F.negative("component").alias("c"))).alias("top"))
@@ -222,20 +237,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other = placed.select("key", F.col("u").alias("v"), F.col("n").alias("m"), F.col("component").alias("cv"), F.col("bitmap").alias("other"), F.col("hidden").alias("unseen"), F.col("bands").alias("met"))
     strays = (
         outside.select("key", "u", "n", "component", "main", "bitmap", "hidden", "bands").join(other, "key").filter("component <> cv")
-        .filter((F.col("cv") == F.col("main")) | (F.col("u") > F.col("v"))).filter(_sizes_fit(F.col("n"), F.col("m")))
-        .filter(_may_link("bitmap", "other", F.col("n"), F.col("m"), F.col("hidden"), F.col("unseen")))
+        .filter((F.col("cv") == F.col("main")) | (F.col("u") > F.col("v"))).filter(_sizes_fit(F.col("n"), F.col("m"), percent))
+        .filter(_may_link("bitmap", "other", F.col("n"), F.col("m"), F.col("hidden"), F.col("unseen"), percent))
         .filter(F.array_min(F.array_intersect("bands", "met")) == F.col("key"))  # once, though they share more buckets
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         .join(stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti")
     )
-    links = links.union(_confirmed(strays, sets))
+    links = links.union(_confirmed(strays, sets, percent))
     parts = connected_components(links)
 
-    reps = alike.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "rep").alias("component"))
-    # An id whose rows differ in text is a node of several classes; the least component stands.
-    final = parts.union(reps).groupBy("node").agg(F.min("component").alias("component"))
-    out = signed.select("doc_id", "n_shingles").join(final, F.col("doc_id") == F.col("node"), "left")
-    component = F.coalesce("component", "doc_id")
+    # A component is called by the least id of its classes.
+    of = classes.select("node", "rep").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    named = of.groupBy("part").agg(F.min("rep").alias("component_id"))
+    members = materialize(of.select("node", "part").join(named, "part").select("node", "component_id"), "named")
+    drop_bucketed(sets)
+    drop_scratch(met, stars, placed)
+    final = materialize(placed_rows.join(members, "node").groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "final")
+    out = signed.select("doc_id", "n_shingles").join(final, "doc_id", "left")
+    component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 

@@ -193,7 +193,7 @@ def test_bitmaps_rule_out_no_link(spark):
         maps = [minhash.bitmap(s) for s in (a, b)]
         rows.append((*(m.tolist() for m in maps), len(a), len(b), *(len(s) - int(np.bitwise_count(m.view(np.uint64)).sum()) for s, m in zip((a, b), maps))))
     df = spark.createDataFrame(rows, "a array<long>, b array<long>, n long, m long, x long, y long")
-    may = minhash._may_link("a", "b", *(df[c] for c in "nmxy"))
+    may = minhash._may_link("a", "b", *(df[c] for c in "nmxy"), minhash.PERCENT)
     assert df.filter(may).count() == len(rows)
     unlike = df.withColumn("b", F.array(*[F.lit(0)] * 32).cast("array<long>")).filter("n < 100")
     assert unlike.filter(may).count() == 0
@@ -205,6 +205,26 @@ def test_minhash_edges(spark):
     assert sorted(map(tuple, minhash.near_duplicates(df.union(df)).collect()), key=str) == [(7, 1, 7, True)] * 2 + [(None, 1, None, True)] * 2
 
 
+def test_minhash_of_repeated_ids_and_very_long_texts(spark):
+    """Texts under one id are one document, linked with what either is like; texts beyond a piece are read whole."""
+    rng = random.Random(8)
+    a, b, long = prose(rng, 100), prose(rng, 100), prose(rng, 190_000)
+    assert len(long) > 1 << 20
+    rows = [(1, a), (1, b), (2, a + " tail"), (3, b + " tail"), (4, long), (5, long[:-40] + " other end"), (6, long[: len(long) // 2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 4):
+        got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df.repartition(parts)).collect())
+        assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (5, 4, False), (6, 6, True)]
+
+
+def test_minhash_at_another_similarity(spark):
+    rng = random.Random(9)
+    base = prose(rng, 104).split()
+    near = [*base[:50], "x", *base[51:]]  # 95 of 105 shingles
+    df = docs(spark, [" ".join(base), " ".join(near)])
+    assert [sorted(r.component_id for r in minhash.near_duplicates(df, percent=p).collect()) for p in (90, 91)] == [[1, 1], [1, 2]]
+
+
 def test_signature_densifies_and_estimates():
     rng = np.random.default_rng(2)
     x = rng.permutation(np.unique(rng.integers(0, (1 << 64) - 1, 400, np.uint64)))
