@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +25,8 @@ def _delete(spark: SparkSession, name: str) -> None:
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: Scratch tables that are not deleted yet, in the order of their making.
+_made: list[str] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -52,9 +54,20 @@ def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     with _released(spark):
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(by) if by else writer).parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finished(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make() returns as a scratch table; all other scratch that was written for it goes."""
+    before = len(_made)
+    out = materialize(make(), name)
+    for path in _made[before:-1]:
+        _delete(out.sparkSession, path)
+    del _made[before:-1]
+    return out
+
+
 def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     """Like materialize, in as many buckets of key as a shuffle has partitions: joins on key do not move the table again.
 
@@ -65,6 +78,7 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     table = f"sparkloom_{name}_{uuid.uuid4().hex}"
     with _released(spark):
         df.write.option("compression", "zstd").bucketBy(n, key).format("parquet").saveAsTable(table, path=path)
+    _made.append(path)
     return spark.table(table)
 
 

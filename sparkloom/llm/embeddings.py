@@ -61,11 +61,20 @@ def _code_products(codes: np.ndarray, turned: np.ndarray) -> np.ndarray:
     return (signs @ turned.T.astype(np.float32)) / np.float32(math.sqrt(dim))
 
 
-def links_between(a: np.ndarray, b: np.ndarray | None, threshold: float, epsilon: float | None) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (i, j) of rows of a and b with cosine >= threshold in double precision; i < j if b is None."""
-    unit = lambda x: x / np.sqrt((x * x).sum(1))[:, None]
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, which changes no digit, so that their squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def links_between(a: np.ndarray, b: np.ndarray | None, threshold: float, epsilon: float | None, coded: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (i, j) of rows of a and b with cosine >= threshold in double precision; i < j if b is None. coded: codes and factors of a."""
+    unit = _unit
     other = a if b is None else b
-    codes, factors = encode(unit(a))
+    codes, factors = encode(unit(a)) if coded is None else coded
     products = _code_products(codes, unit(other) @ rotation(a.shape[1]))
     # The estimate is the product over the factor; 1e-4 covers its single precision.
     least = (bound(factors, a.shape[1], threshold, epsilon) * factors).astype(np.float32) - np.float32(1e-4)
@@ -79,14 +88,14 @@ def links_between(a: np.ndarray, b: np.ndarray | None, threshold: float, epsilon
     return i[sure], j[sure]
 
 
-def bucket_tables(largest: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
+def bucket_tables(largest: int, threshold: float = THRESHOLD, miss: float = MISS, bucket: int | None = BUCKET) -> tuple[int, int]:
     """(code bits, tables) that spread a label of so many classes over buckets.
 
     A bit differs between two vectors with probability angle / pi, so a pair at the
     threshold shares a bucket of some table but with probability `miss`. Labels that fit in one bucket
-    get one table of no bits: all pairs, exactly.
+    get one table of no bits: all pairs, exactly; so do all if bucket is None.
     """
-    bits = max(0, math.ceil(math.log2(max(1, largest) / BUCKET)))
+    bits = max(0, math.ceil(math.log2(max(1, largest) / bucket))) if bucket else 0
     if not bits:
         return 0, 1
     alike = (1 - math.acos(threshold) / math.pi) ** bits
@@ -102,6 +111,13 @@ def _bucket_keys(unit: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return out
 
 
+def _by_length(v: pd.Series) -> Iterator[tuple[list[int], np.ndarray]]:
+    """Places and scaled rows of the vectors of each length."""
+    for dim in set(map(len, v)):
+        where = [k for k, x in enumerate(v) if len(x) == dim]
+        yield where, scaled(np.array([v.iloc[k] for k in where], np.float64))
+
+
 def _least_linked(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Least index of each index's component under the links i-j."""
     low = np.arange(n)
@@ -120,7 +136,7 @@ def _compare(threshold: float, epsilon: float | None):
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """One block, or two against each other: each vector's links here and a vector it is connected to."""
         first = rows.side.to_numpy() == 0
-        vectors = np.array(rows.vector.tolist(), np.float64)
+        vectors = scaled(np.array(rows.vector.tolist(), np.float64))
         keys = np.array(rows["keys"].tolist(), np.int64)
         ids, copies, table = rows.vec_id.to_numpy(), rows.copies.to_numpy(), int(rows.table.iloc[0])
         at = np.flatnonzero(first)
@@ -128,10 +144,12 @@ def _compare(threshold: float, epsilon: float | None):
         to = at if alone else np.flatnonzero(~first)
         if not len(at) or not len(to):
             return pd.DataFrame({"vec_id": [], "n": [], "to": []})
-        i, j = links_between(vectors[at], None if alone else vectors[to], threshold, epsilon)
+        codes = np.frombuffer(b"".join(rows.code.iloc[at]), np.uint8).reshape(len(at), -1)
+        i, j = links_between(vectors[at], None if alone else vectors[to], threshold, epsilon, (codes, rows.factor.to_numpy()[at]))
         i, j = at[i], to[j]
         if table:  # a pair counts in the first table in which it meets
-            new = ~(keys[i, :table] == keys[j, :table]).any(1)
+            new = [~(keys[i[k : k + _PAIRS], :table] == keys[j[k : k + _PAIRS], :table]).any(1) for k in range(0, len(i), _PAIRS)]
+            new = np.concatenate([*new, np.zeros(0, bool)])
             i, j = i[new], j[new]
         n = np.bincount(i, copies[j], len(rows)) + np.bincount(j, copies[i], len(rows))
         order = np.argsort(ids, kind="stable")
@@ -144,7 +162,7 @@ def _compare(threshold: float, epsilon: float | None):
     return compare
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, epsilon: float | None = None,
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, epsilon: float | None = None, bucket: int | None = BUCKET, miss: float = MISS,
                     id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id and kept for every row.
 
@@ -155,8 +173,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, epsilon: f
     with all rows of the classes linked to it. Rows that repeat an id are vectors of
     their own that share a component. An empty table gives an empty result.
 
-    Classes of a label meet in buckets (bucket_tables) that are cut into
-    blocks of BLOCK; each pair of blocks is a task in which codes with their correction factors
+    Finite vectors whose squares overflow or vanish are compared by their direction like others.
+
+    Codes and correction factors are computed once a class and stored with it. Classes of a label meet in buckets
+    (bucket_tables; bucket=None compares all pairs of a label, however many) that are cut into
+    blocks of BLOCK; each pair of blocks is a task in which the stored codes and factors of the one and the turned vectors of the other
     pick the pairs to compute exactly. A task returns a row a vector, its number of links and a
     least connected vector, so a group of n near copies never emits its pairs.
     """
@@ -166,36 +187,44 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, epsilon: f
     sound = F.coalesce((peak > 0) & (peak < float("inf")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
     able = rows.filter(sound)
     copies = able.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    classes = materialize(copies.select(F.monotonically_increasing_id().alias("class"), "label", "vector", "rep", "copies"), "classes")
-    member = able.join(classes, ["label", "vector"]).select("vec_id", "class", "rep", "copies")
+
+    @F.pandas_udf("code binary, factor double")
+    def coded(v: pd.Series) -> pd.DataFrame:
+        out: list = [None] * len(v)
+        for where, x in _by_length(v):
+            for k, code, factor in zip(where, *encode(_unit(x))):
+                out[k] = (code.tobytes(), factor)
+        return pd.DataFrame(out, columns=["code", "factor"])
+
+    classes = copies.select(F.monotonically_increasing_id().alias("class"), "label", "vector", "rep", "copies", coded("vector").alias("coded"))
+    classes = materialize(classes.select("class", "label", "vector", "rep", "copies", "coded.code", "coded.factor"), "classes")
+    member = able.join(classes.drop("code", "factor"), ["label", "vector"]).select("vec_id", "class", "rep", "copies")
     member = materialize(member, "member")
 
     sizes = classes.withColumn("dim", F.size("vector")).groupBy("label", "dim").count()
-    bits, tables = bucket_tables(sizes.agg(F.max("count")).first()[0] or 0, threshold)
+    bits, tables = bucket_tables(sizes.agg(F.max("count")).first()[0] or 0, threshold, miss, bucket)
 
     @F.pandas_udf("array<long>")
     def keys(v: pd.Series) -> pd.Series:
         out: list = [None] * len(v)
-        for dim in set(map(len, v)):
-            where = [k for k, x in enumerate(v) if len(x) == dim]
-            x = np.array([v.iloc[k] for k in where], np.float64)
-            for k, found in zip(where, _bucket_keys(x / np.sqrt((x * x).sum(1))[:, None], bits, tables)):
+        for where, x in _by_length(v):
+            for k, found in zip(where, _bucket_keys(_unit(x), bits, tables)):
                 out[k] = found
         return pd.Series(out)
 
-    keyed = classes.select(F.col("class").alias("vec_id"), "label", "vector", F.size("vector").alias("dim"), "copies", keys("vector").alias("keys"))
+    keyed = classes.select(F.col("class").alias("vec_id"), "label", "vector", F.size("vector").alias("dim"), "copies", "code", "factor", keys("vector").alias("keys"))
     placed = keyed.select("*", F.posexplode("keys").alias("table", "key"))
-    bucket = ["label", "dim", "table", "key"]
-    held = placed.groupBy(*bucket).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    placed = placed.join(held, bucket)
+    at = ["label", "dim", "table", "key"]
+    held = placed.groupBy(*at).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = placed.join(held, at)
     mine = F.pmod(F.xxhash64("vec_id", "table"), "blocks").alias("mine")
     # Each vector goes to the pairs (low, high) of blocks that its own is part of.
     dealt = placed.select("*", mine).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select(
-        *bucket, "vec_id", "vector", "copies", "keys", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"),
+        *at, "vec_id", "vector", "copies", "code", "factor", "keys", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"),
         (F.col("mine") > F.col("other")).cast("int").alias("side"), (F.col("mine") == F.col("other")).alias("alone"))
     found = materialize(
-        dealt.groupBy(*bucket, "low", "high").applyInPandas(_compare(threshold, epsilon), "vec_id long, n long, to long"), "links")
+        dealt.groupBy(*at, "low", "high").applyInPandas(_compare(threshold, epsilon), "vec_id long, n long, to long"), "links")
 
     totals = found.groupBy(F.col("vec_id").alias("class")).agg(F.sum("n").alias("n"))
     names = classes.select("class", "rep")

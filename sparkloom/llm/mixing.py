@@ -15,6 +15,8 @@ MAX_EPOCHS = 3
 SEED = "mix-0"
 #: Leading hex digits of the draw that name its slice; 4096 slices a source.
 SLICE_DIGITS = 3
+#: Sources whose rows of four numbers and a name are broadcast.
+MOST_SOURCES = 1 << 16
 
 
 def word_count(text: Column) -> Column:
@@ -64,8 +66,10 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED,
     are ordered by size; a null id draws as the empty string. An empty table gives an empty
     result. Other columns are ignored.
 
-    The running sum needs no sort of a source: sums per slice of the draw, written
-    once, give each slice its start, and rows are ordered within their slice.
+    No source is sorted and no text is moved: sums per slice of the draw, written once, tell in which slice a source
+    ends. Rows of the slices before it are taken, those behind it not; only the rows of the one
+    slice on which a source ends, one in some thousands, are ordered. What a source needs is one
+    row, broadcast up to MOST_SOURCES of them and joined by shuffle beyond.
     """
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
@@ -79,11 +83,18 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED,
     goal = goal.withColumn("rest", F.floor("target") - F.col("whole") * F.col("source_size"))
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = slices.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    goal = starts.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(
-        F.col("source").alias("s"), F.col("slice").alias("k"), "source_size", "target", "whole", (F.col("rest") - F.col("start")).alias("left"))
-    rows = rows.join(goal, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("k")))
-    run = Window.partitionBy("source", "slice").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn("extra", F.least(F.col("size"), F.greatest(F.lit(0), F.col("left") - F.coalesce(F.sum("size").over(run), F.lit(0)))))
+    ends = starts.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    # The first slice of a source that is not wholly taken, and the words that it still gives.
+    stop = F.min(F.when(F.col("start") + F.col("size") > F.col("rest"), F.struct("slice", (F.col("rest") - F.col("start")).alias("left"))))
+    per = ends.groupBy(F.col("source").alias("s")).agg(*(F.first(c).alias(c) for c in ("source_size", "target", "whole")), stop.alias("stop"))
+    per = materialize(per.select("s", "source_size", "target", "whole", F.col("stop.slice").alias("stop"), F.col("stop.left").alias("left")), "goal")
+    per = F.broadcast(per) if per.count() <= MOST_SOURCES else per
+    rows = rows.join(per, F.col("source").eqNullSafe(F.col("s")))
+    at_end = F.coalesce(F.col("slice") == F.col("stop"), F.lit(False))
+    run = Window.partitionBy("source").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.least(F.col("size"), F.greatest(F.lit(0), F.col("left") - F.coalesce(F.sum("size").over(run), F.lit(0))))
+    clear = rows.filter(~at_end).withColumn("extra", F.when(F.col("slice") < F.col("stop"), F.col("size")).otherwise(0))
+    out = clear.unionByName(rows.filter(at_end).withColumn("extra", last))
     return out.select(
         "doc_id", *(c for c in keep if c not in ("doc_id", "size")), "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"),
         (F.col("whole") + F.when(F.col("extra") * 2 > F.col("size"), 1).otherwise(0)).cast("int").alias("repeats"))

@@ -37,13 +37,14 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
     return at
 
 
-def shard_column(key: Column, shards: int) -> Column:
-    """Shard of an integer key column; a null key counts as 0."""
+def shard_column(key: Column, *shards: int) -> Column:
+    """A struct of the shards s0, s1, ... of an integer key column for each number of shards; a null key counts as 0."""
 
-    @F.pandas_udf("int")
-    def jump(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(", ".join(f"s{k} int" for k in range(len(shards))))
+    def jump(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            yield pd.Series(jump_hash(x.to_numpy(np.int64).view(np.uint64), shards).astype(np.int32))
+            keys = x.to_numpy(np.int64).view(np.uint64)
+            yield pd.DataFrame({f"s{k}": jump_hash(keys, n).astype(np.int32) for k, n in enumerate(shards)})
 
     return jump(F.coalesce(key.cast("long"), F.lit(0)))
 
@@ -68,10 +69,10 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id",
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
     rows = rows.select(
-        "*", F.lit("key").alias("law"), shard_column(F.col("doc_id"), shards).alias("shard"),
-        shard_column(F.col("doc_id"), shards + 1).alias("grown_shard"),
+        "*", shard_column(F.col("doc_id"), shards, shards + 1).alias("at"),
         F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(SLICES)).cast("int").alias("slice"),
     )
+    rows = rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("at.s0").alias("shard"), F.col("at.s1").alias("grown_shard"), "slice")
     before = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     # At most shards x SLICES rows: a size fixed by the arguments.
     starts = rows.groupBy("shard", "slice").count().select(

@@ -70,13 +70,12 @@ def embedding_rows(seed=0, n=160):
     return rows + [(1000 + k, v, 0) for k, v in enumerate(odd)] + [(2000, rows[0][1], None), (2001, [2 * x for x in rows[0][1]], rows[0][2])]
 
 
-@pytest.mark.parametrize("block, bucket", [(2048, 8192), (7, 8192), (16, 20)])
+@pytest.mark.parametrize("block, bucket", [(2048, 8192), (7, None), (16, 20)])
 def test_embeddings_equal_brute_force(spark, monkeypatch, block, bucket):
     monkeypatch.setattr(embeddings, "BLOCK", block)
-    monkeypatch.setattr(embeddings, "BUCKET", bucket)
     rows = embedding_rows()
     df = clashing(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df, bucket=bucket).collect()}
     assert got == brute_embeddings(rows)
 
 
@@ -93,6 +92,13 @@ def test_embedding_bounds_hold():
     assert at.any() and (est[at] >= embeddings.bound(factors, 64)[at] - 1e-4).all()
 
 
+def test_embeddings_of_any_scale(spark):
+    """Squares that overflow or vanish change no cosine."""
+    rows = [(k, [x * f for x in v], 0) for k, (f, v) in enumerate(((1e200, (1.0, 2.0)), (1e-200, (1.0, 2.01)), (1.0, (1.0, 2.02)), (1e300, (-2.0, 1.0))))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()) == [(0, 2, 0), (1, 2, 0), (2, 2, 0), (3, 0, 3)]
+
+
 def test_embeddings_of_an_empty_table(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
@@ -148,6 +154,14 @@ def test_mix_of_repeated_rows(spark):
     assert len(got) == 3 and sum(r.taken for r in got) == 9
 
 
+def test_mix_of_more_sources_than_are_broadcast(spark, monkeypatch):
+    rng = random.Random(6)
+    df = docs(spark, [(prose(rng, rng.randint(0, 30)), "en", rng.choice(["a", "b", None])) for _ in range(60)])
+    want = sorted(map(tuple, mixing.mix(df, keep=("text",)).collect()), key=str)
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 1)
+    assert sorted(map(tuple, mixing.mix(df, keep=("text",)).collect()), key=str) == want
+
+
 def test_mix_plan_is_native(spark):
     plan = mixing.mix(docs(spark, ["a b"]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
@@ -555,6 +569,11 @@ def test_contamination_edges_and_cutting(spark):
 def test_scratch_is_cleared(spark):
     from sparkloom.llm import common
 
+    def make():
+        return common.materialize(spark.range(5), "on-the-way").filter("id > 2")
+
+    df = common.finished(make, "some")
+    assert df.count() == 2 and "on-the-way" not in " ".join(os.listdir(os.path.dirname(df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0])))
     df = common.materialize(spark.range(3), "some")
     folder = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
     assert os.path.isdir(folder) and df.count() == 3
