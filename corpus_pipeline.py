@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import decontaminate, language, minhash, mixing, tokenids
-from sparkloom.llm.common import materialize, read_table
+from sparkloom.llm.common import drop_scratch, finished, materialize, read_table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -21,12 +21,20 @@ def _kept_columns(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> D
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; `und` (no text, no letter) goes."""
+    """Documents whose language can be told; `und` goes.
+
+    Null and empty texts and texts without a letter are `und`. Whole texts are read, however long. Every row is judged by itself,
+    so rows that repeat an id or a text fare alike; a null id is a row like others. An empty table stays empty; further columns pass, whatever they are called.
+    """
     return _kept_columns(docs, lambda d: language.identify(d, keep=tuple(d.columns)).filter(F.col("lang_pred") != language.UNDETERMINED))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that of the least id; of rows that repeat an id, any one."""
+    """One document of each group of near copies (85 % of the shingles): that of the least id.
+
+    Null and empty texts are like nothing and stay. Of rows that repeat an id one stays, any one, as they are one document;
+    rows without an id are grouped with nothing and all stay. Texts are read whole. An empty table stays empty; further columns pass, whatever they are called.
+    """
     found = materialize(minhash.near_duplicates(docs).filter("doc_id is not null"), "duplicates")
     gone = found.filter(~F.col("kept")).select("doc_id").distinct()
     # One plan at every size: what goes grows with the corpus, so it is never broadcast.
@@ -39,13 +47,21 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by benchmark items."""
+    """Documents that are not contaminated by benchmark items: fewer than 5 % of the words lie in item windows.
+
+    Null and empty texts have no words and stay. Every row is judged by itself, over its whole text; rows that repeat an id or a text fare
+    alike, and a null id is a row like others. An empty table, or an empty benchmark, changes nothing; further columns pass, whatever they are called.
+    """
     items = read_table(spark, sf_dir, "benchmark")
     return _kept_columns(docs, lambda d: decontaminate.find_contamination(d, items, keep=tuple(d.columns)).filter(~F.col("contaminated")))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them: up to three rows of each, or none.
+
+    Null and empty texts have no words and go. The null source is one of the sources. Ties of the draw (repeated ids, null ids) are
+    ordered by size; rows that are equal in both are interchangeable. Whole texts are counted. An empty table stays empty; further columns pass, whatever they are called.
+    """
     def repeated(d: DataFrame) -> DataFrame:
         mixed = mixing.mix(d, keep=tuple(d.columns)).filter("repeats > 0")
         return mixed.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
@@ -54,7 +70,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token blocks of the mix, as read back: doc_id, start, n_tokens, ids_crc32."""
+    """Token blocks of the mix, as read back: doc_id, start, n_tokens, ids_crc32.
+
+    Null and empty texts are the end id alone. Rows follow their ids, a null one first; rows that repeat an id each have ids of their own, in any order
+    if their texts differ. Whole texts are encoded. An empty table gives an empty result; further columns are not read.
+    """
     return tokenids.token_ids(docs)
 
 
@@ -71,7 +91,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        # What a stage wrote on the way goes when its result is stored, and so does its input.
+        docs = finished(lambda: stage(spark, docs, sf_dir), f"stage-{name}")  # noqa: B023
+        if before is not None:
+            drop_scratch(before)
+        before = docs
     return docs
