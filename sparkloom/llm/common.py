@@ -6,6 +6,7 @@ import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,6 +101,13 @@ def drop_scratch(*tables: DataFrame) -> None:
                 _delete(df.sparkSession, name)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows: what a worker holds as Python objects at once is a part of an Arrow batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges(u, v); component is the least node reachable.
 

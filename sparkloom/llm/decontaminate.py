@@ -15,7 +15,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import materialize, pieces, read_table
 
 WINDOW = 13
 #: Text bytes of the items in one automaton, about 60 MB of it in each Python worker; more items make more automata, and a pass over the documents each.
@@ -217,7 +217,7 @@ def _judged(batch: pa.RecordBatch, texts: list, hits: list[tuple[list[tuple[int,
 def _scanner(name: str, items: Broadcast, window: int, share: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(name, items, window)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(batch.schema.names.index("text")).to_pylist()
             yield _judged(batch, texts, [_hits(automaton, fold(t or "").split()) for t in texts], share)
 
@@ -228,7 +228,7 @@ def _part(name: str, items: Broadcast, window: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What one block of items hits in (key, text)."""
         automaton = _automaton(name, items, window)
-        for batch in batches:
+        for batch in pieces(batches):
             hits = [(key, *_hits(automaton, fold(t or "").split())) for key, t in zip(*(batch.column(k).to_pylist() for k in range(2)))]
             hits = [h for h in hits if h[1]]
             yield pa.RecordBatch.from_arrays([
@@ -241,7 +241,7 @@ def _part(name: str, items: Broadcast, window: int):
 def _joiner(share: int):
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows with the parts that all blocks of items gave."""
-        for batch in batches:
+        for batch in pieces(batches):
             parts = batch.column(batch.schema.names.index("parts")).to_pylist()
             hits = [(merged([(r["start"], r["end"]) for p in x or () for r in p["ranges"]]), sorted({n for p in x or () for n in p["items"]})) for x in parts]
             rest = batch.drop_columns(["key", "parts"])
@@ -291,7 +291,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
 def remove_spans(found: DataFrame) -> DataFrame:
     """The texts of find_contamination's result without the hit spans."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             t, s = (batch.schema.names.index(n) for n in ("text", "spans"))
             texts = []
             for text, spans in zip(batch.column(t).to_pylist(), batch.column(s).to_pylist()):

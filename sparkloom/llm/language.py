@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import pieces, read_table
 
 #: Length of a hypervector.
 DIM = 1024
@@ -86,7 +86,7 @@ def bounded_sample(rows: DataFrame, id_col: str, most: int) -> DataFrame:
 def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Integer sums of unit bundles by language, as (lang, place, total): the same in any order."""
     total: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in pieces(batches):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             v = profile(text)
             if v is not None and (norm := float(np.sqrt((v.astype(np.float64) ** 2).sum()))):
@@ -119,7 +119,7 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, keep: tup
     names = np.array([*langs, UNDETERMINED], dtype=object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             best, score = [], []
             for text in batch.column(batch.schema.names.index("text")).to_pylist():
                 v = profile(text) if langs else None

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucketed, connected_components, drop_bucketed, drop_scratch, materialize, read_table
+from .common import bucketed, connected_components, drop_bucketed, drop_scratch, materialize, pieces, read_table
 from .hashing import mixed, stretches
 
 SHINGLE = 5
@@ -102,7 +102,7 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def _signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         sizes, digests, bands = [], [], []
         for text in batch.column(1).to_pylist():
             hashes = shingle_set(text)
@@ -121,7 +121,7 @@ def _digest(hashes: np.ndarray) -> bytes | None:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         sets = [x for x in map(shingle_set, batch.column(0).to_pylist()) if len(x)]
         maps = [bitmap(x) for x in sets]
         yield pa.RecordBatch.from_arrays([
@@ -133,7 +133,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _common(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs u, v whose hash sets meet the similarity."""
-        for batch in batches:
+        for batch in pieces(batches):
             keep = []
             for a, b in zip(batch.column(2), batch.column(3)):
                 a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)

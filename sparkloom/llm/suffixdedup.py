@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucketed, drop_bucketed, drop_scratch, materialize, read_table
+from .common import bucketed, drop_bucketed, drop_scratch, materialize, pieces, read_table
 from .hashing import hash_sums, mixed
 from .induced import Column, sorted_suffixes
 
@@ -63,7 +63,7 @@ _FOUND_SQL = "doc binary, copies long, anchor long, passage long, first long, la
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         owners, parts = [], []
         for k, text in enumerate(batch.column(1).to_pylist()):
             for p in passages(text.encode("utf-8", "surrogatepass")):
@@ -86,7 +86,7 @@ def _blocks(starts: int):
         Blocks lie at fixed distances from the anchor's place, so equal windows fall into blocks of equal deals.
         """
         rows: dict[str, list] = {n: [] for n in _FOUND.names}
-        for batch in batches:
+        for batch in pieces(batches):
             for doc, text, copies, cut in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 data = text.encode("utf-8", "surrogatepass")
                 for w in cut:
@@ -111,7 +111,7 @@ _CUT = pa.schema([(n, pa.int64()) for n in ("anchor", "passage", "weight")] + [(
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes of the wanted passages of each (text, passages)."""
-    for batch in batches:
+    for batch in pieces(batches):
         rows: dict[str, list] = {n: [] for n in _CUT.names}
         for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             data = text.encode("utf-8", "surrogatepass")
@@ -170,18 +170,16 @@ def _sorted_shard(held: int):
         try:
             shard = Column(folder, "shard", np.uint8)
             columns = [Column(folder, name, np.int64) for name in ("begins", *_CUT.names[:3])]
-            for batch in batches:
-                for part in range(0, batch.num_rows, 4096):
-                    piece = batch.slice(part, 4096)
-                    data = piece.column(3)
-                    offsets = np.frombuffer(data.buffers()[1], np.int32, len(data) + 1, 4 * data.offset)
-                    raw = np.frombuffer(data.buffers()[2], np.uint8, int(offsets[-1] - offsets[0]), int(offsets[0]))
-                    ends = (offsets[1:] - offsets[0]).astype(np.int64)
-                    columns[0].add(shard.size + np.concatenate([[0], ends[:-1]]) + np.arange(len(ends)))
-                    for k, column in enumerate(columns[1:]):
-                        column.add(piece.column(k).to_numpy(zero_copy_only=False))
-                    # UTF-8 has no byte above 0xF4, so symbols 2 .. 246 and the separator 1 fit.
-                    shard.add(np.insert(raw + np.uint8(2), ends, np.uint8(1)))
+            for piece in pieces(batches, 4096):
+                data = piece.column(3)
+                offsets = np.frombuffer(data.buffers()[1], np.int32, len(data) + 1, 4 * data.offset)
+                raw = np.frombuffer(data.buffers()[2], np.uint8, int(offsets[-1] - offsets[0]), int(offsets[0]))
+                ends = (offsets[1:] - offsets[0]).astype(np.int64)
+                columns[0].add(shard.size + np.concatenate([[0], ends[:-1]]) + np.arange(len(ends)))
+                for k, column in enumerate(columns[1:]):
+                    column.add(piece.column(k).to_numpy(zero_copy_only=False))
+                # UTF-8 has no byte above 0xF4, so symbols 2 .. 246 and the separator 1 fit.
+                shard.add(np.insert(raw + np.uint8(2), ends, np.uint8(1)))
             if not shard.size:
                 return
             begins, anchor, passage, weight = (c.mapped() for c in columns)
@@ -204,7 +202,7 @@ _REMOVED = pa.schema([("doc", pa.binary()), ("n_removed", pa.int64()), ("n_spans
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What remains of texts (doc, text, hits) without the windows that start in the runs of their passages."""
-    for batch in batches:
+    for batch in pieces(batches):
         out: dict[str, list] = {n: [] for n in _REMOVED.names[1:]}
         for text, hits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             data = text.encode("utf-8", "surrogatepass")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import pieces, read_table
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Stands for the space before a word.
@@ -178,7 +178,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path)
-        for batch in batches:
+        for batch in pieces(batches, TRIE_TEXTS):
             n_words, n_tokens, scores = counter.count(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([round(x, 6) for x in scores], pa.float64())],

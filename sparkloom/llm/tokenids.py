@@ -14,14 +14,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, scratch_path
+from .common import pieces, read_table, scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 #: Ids after which a block is closed at the next document end.
 BLOCK_IDS = 1 << 15
 #: Words kept in a worker's newer and older word table each.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 
 MAGIC = b"TPK1"
 #: magic, bits per id, documents, ids, ids of the shard before this block.
@@ -227,7 +227,7 @@ def _packer(path: str, end_id: int, block_ids: int):
             parts.clear()
             return row
 
-        for batch in batches:
+        for batch in pieces(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 docs.append(doc_id)
                 parts.append(encoder(text) + end)
@@ -257,7 +257,7 @@ def write_token_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = E
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         for shard, data in zip(batch.column(0).to_pylist(), batch.column(1)):
             block = Block(data.as_py())
             n = len(block.doc_ids)

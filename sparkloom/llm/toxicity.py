@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import materialize, pieces, read_table
 from .hashing import stretches
 from .language import bounded_sample, fold
 
@@ -104,7 +104,7 @@ class FactorizationMachine:
 
 
 def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         found = [terms(t) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["toxic", "terms"])
 
@@ -129,7 +129,7 @@ def learn(rows: DataFrame, train_rows: int = TRAIN_ROWS, held_terms: int = TERMS
     held = known.sparkSession.sparkContext.broadcast(machine)
 
     def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             at = [held.value.places(np.asarray(t.values)) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int64()))], names=["toxic", "terms"])
 
@@ -143,7 +143,7 @@ def score(docs: DataFrame, machine: FactorizationMachine, threshold: float = THR
     held = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = [held.value.score(terms(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(found, pa.float64()), pa.array([int(x >= threshold) for x in found], pa.int32())], names=["doc_id", "score", "predicted"])
