@@ -18,7 +18,7 @@ GRAM = 3
 #: Letter classes: 0 for what is no letter, a-z, and the other letters dealt over 13.
 OTHERS = 13
 CLASSES = 27 + OTHERS
-#: At most about so many labelled rows are learned from, drawn by hash.
+#: At most about so many labelled rows are learned from, drawn by hash, of each language as many or all it has.
 TRAIN_ROWS = 20_000
 UNDETERMINED = "und"
 _SCALE = 1 << 20
@@ -75,12 +75,27 @@ def fold(id_col: Column, folds: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % folds
 
 
-def bounded_sample(rows: DataFrame, id_col: str, most: int) -> DataFrame:
-    """All rows if they are few; else about `most`, by a hash of the id that falls below a share."""
-    n = rows.count()
-    if n <= most:
-        return rows
-    return rows.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+def even_shares(sizes: dict, most: int) -> dict:
+    """The share of each label's rows that is drawn: all labels get the same number of rows at most, so that about `most` are drawn; a label of fewer rows is drawn whole."""
+    left, shares = most, {}
+    for k, (label, n) in enumerate(sorted(sizes.items(), key=lambda x: x[1])):
+        share = min(1.0, left / (len(sizes) - k) / n)
+        shares[label] = share
+        left -= share * n
+    return shares
+
+
+def bounded_sample(rows: DataFrame, id_col: str, by: str, most: int) -> tuple[DataFrame, dict]:
+    """All rows if they are few; else about `most`, by a hash of the id that falls below the share of the row's label in column `by`. Also the shares.
+
+    Labels are not null and so few that the driver can count the rows of each.
+    """
+    sizes = {label: n for label, n in rows.groupBy(by).count().toLocalIterator()}
+    shares = even_shares(sizes, most)
+    if all(x == 1.0 for x in shares.values()):
+        return rows, shares
+    limit = F.create_map(*(F.lit(x) for label, share in shares.items() for x in (label, int(share * (1 << 30)))))
+    return rows.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 30)) < limit[F.col(by)]), shares
 
 
 def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,8 +115,8 @@ def learn_prototypes(rows: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str
 
     The result has DIM numbers a language, whatever the input's size.
     """
-    sample = bounded_sample(rows.filter("lang is not null"), id_col, train_rows).select("lang", "text")
-    sums = sample.mapInArrow(_bundles, "lang string, place int, total long").groupBy("lang", "place").agg(F.sum("total").alias("total"))
+    sample, _ = bounded_sample(rows.filter("lang is not null"), id_col, "lang", train_rows)
+    sums = sample.select("lang", "text").mapInArrow(_bundles, "lang string, place int, total long").groupBy("lang", "place").agg(F.sum("total").alias("total"))
     found: dict[str, np.ndarray] = {}
     for lang, place, total in sums.toLocalIterator():
         found.setdefault(lang, np.zeros(DIM))[place] = total
@@ -144,7 +159,7 @@ def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), train_rows: i
     """Columns of keep, held_out, lang_pred and score for every row of docs(doc_id, text, lang).
 
     Prototypes bundle rows whose crc32(doc_id) mod 4 is not 2 and whose lang is not
-    null: all of them, or about train_rows drawn by hash. Predictions see the whole text alone. A text
+    null: all of them, or about train_rows drawn by hash, the bound shared evenly by the languages so that rare ones are learned whole. Predictions see the whole text alone. A text
     that is null or has no letter, or a table without labelled rows, gives `und` and score 0; ties go to
     the first language. A null id is not held out. Repeated rows are predicted alike; an empty table gives an empty result.
     """

@@ -13,13 +13,16 @@ from .common import materialize, pieces, read_table
 from .hashing import stretches
 from .language import bounded_sample, fold
 
-#: At most about so many labelled rows are learned from, drawn by hash.
+#: At most about so many labelled rows are learned from, drawn by hash, of either label as many or all it has.
 TRAIN_ROWS = 20_000
 #: Terms are hashed to so many bits; the machine holds the most telling ones, of so
 #: many rows and so much chi-square against the label at least.
 TERM_BITS = 31
 TERMS = 1 << 14
 LEAST_ROWS, LEAST_GAIN = 4, 20.0
+#: Of so many terms, half the most telling and the rest the most common, all pairs are screened: a pair is held if
+#: either term has so much chi-square among the rows of the other.
+PAIR_TERMS, PAIR_GAIN = 1024, 40.0
 #: A word counts as a term, and so do its first 4, 5 and 6 bytes.
 PREFIXES = (4, 5, 6)
 FACTORS = 8
@@ -40,6 +43,15 @@ def terms(text: str | None) -> np.ndarray:
     return np.unique(np.concatenate(parts) >> np.uint64(64 - TERM_BITS)).astype(np.int64)
 
 
+def places(held: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Where terms stand among the sorted terms held; others are left out."""
+    if not len(held):
+        return np.zeros(0, np.int64)
+    at = np.searchsorted(held, found)
+    at[at == len(held)] = 0
+    return at[held[at] == found]
+
+
 class FactorizationMachine:
     """y = b + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j over the terms held, x 1 if a text has the term."""
 
@@ -52,11 +64,7 @@ class FactorizationMachine:
         self.vectors[-1] = 0
 
     def places(self, found: np.ndarray) -> np.ndarray:
-        if not len(self.held):
-            return np.zeros(0, np.int64)
-        at = np.searchsorted(self.held, found)
-        at[at == len(self.held)] = 0
-        return at[self.held[at] == found]
+        return places(self.held, found)
 
     def raw(self, at: np.ndarray) -> np.ndarray:
         """Scores before the logistic, of padded rows of places."""
@@ -109,20 +117,69 @@ def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["toxic", "terms"])
 
 
-def learn(rows: DataFrame, train_rows: int = TRAIN_ROWS, held_terms: int = TERMS) -> FactorizationMachine:
+def pairs_that_tell(n: np.ndarray, p: np.ndarray, gain: float = PAIR_GAIN, least: int = LEAST_ROWS) -> np.ndarray:
+    """Whether each term is in a pair that tells by its company: among the rows of either term, the other parts the labels.
+
+    n and p count rows and positive rows of each pair of terms, and of each term on the diagonal. A word that comes
+    with telling ones by chance does not part their rows, so it is not taken.
+    """
+    of = np.diag(n)[:, None].astype(np.float64)
+    rate = np.diag(p)[:, None] / np.maximum(of, 1)
+    spread = n * (1 - n / np.maximum(of, 1)) * rate * (1 - rate)
+    within = np.where(spread > 0, (p - n * rate) ** 2 / np.maximum(spread, 1e-12), 0.0)
+    # Both kinds of rows are wanted: with and without the other term.
+    told = (np.minimum(within, within.T) >= gain) & (n >= least) & (of - n >= least) & (of.T - n >= least)
+    np.fill_diagonal(told, False)
+    return told.any(1)
+
+
+def _pairs_of(known: DataFrame, terms_held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and positive rows of each pair of terms; a task gives two matrices, whatever its rows."""
+    size = len(terms_held)
+    held = known.sparkSession.sparkContext.broadcast(terms_held)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, p = np.zeros((size, size), np.int32), np.zeros((size, size), np.int32)
+        for batch in pieces(batches):
+            x = np.zeros((batch.num_rows, size), np.float32)
+            for k, t in enumerate(batch.column(1)):
+                x[k, places(held.value, np.asarray(t.values))] = 1
+            positive = x[np.asarray(batch.column(0)) == 1]
+            n += (x.T @ x).astype(np.int32)
+            p += (positive.T @ positive).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary()), pa.array([p.tobytes()], pa.binary())], names=["n", "p"])
+
+    n, p = np.zeros((size, size), np.int64), np.zeros((size, size), np.int64)
+    # The sample is bounded, so a few tasks do and a few matrices come back.
+    for row in known.coalesce(8).mapInArrow(count, "n binary, p binary").toLocalIterator():
+        n += np.frombuffer(row.n, np.int32).reshape(size, size)
+        p += np.frombuffer(row.p, np.int32).reshape(size, size)
+    return n, p
+
+
+def learn(rows: DataFrame, train_rows: int = TRAIN_ROWS, held_terms: int = TERMS, pair_terms: int = PAIR_TERMS) -> FactorizationMachine:
     """A machine learned from rows(doc_id, text, toxic), all of them or about train_rows drawn by hash.
 
-    It holds the terms of at least LEAST_ROWS rows that part the labels most (chi-square). What reaches the
-    driver is bounded by train_rows and held_terms.
+    It holds the terms of at least LEAST_ROWS rows that part the labels most (chi-square), and of pair_terms terms those
+    that part them in company only. If rows were drawn, the bias is set back to the labels' shares in all rows. What reaches
+    the driver is bounded by train_rows, held_terms and pair_terms.
     """
-    sample = bounded_sample(rows.filter("toxic is not null"), "doc_id", train_rows)
-    known = materialize(sample.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(_terms_of, "toxic int, terms array<long>"), "terms")
+    labelled = rows.filter("toxic is not null").select("doc_id", "text", F.col("toxic").cast("boolean").cast("int").alias("toxic"))
+    sample, shares = bounded_sample(labelled, "doc_id", "toxic", train_rows)
+    known = materialize(sample.select("toxic", "text").mapInArrow(_terms_of, "toxic int, terms array<long>"), "terms")
     n, positive = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     share = positive / n if n else 0.0
     counts = known.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("p"))
     gain = F.pow(F.col("p") - F.col("n") * F.lit(share), 2) / (F.col("n") * F.lit(max(share * (1 - share), 1e-12)))
-    top = counts.filter((F.col("n") >= LEAST_ROWS) & (gain >= LEAST_GAIN)).orderBy(gain.desc(), "term").limit(held_terms).select("term").collect()
-    machine = FactorizationMachine(np.sort(np.array([r[0] for r in top], np.int64)))
+    common = materialize(counts.filter(F.col("n") >= LEAST_ROWS).select("term", F.least("n", F.lit(n) - F.col("n")).alias("parted"), gain.alias("gain")), "counts")
+    told = [r[0] for r in common.filter(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "term").limit(held_terms).select("term").collect()]
+    if 0 < positive < n:
+        best = told[: pair_terms // 2]
+        often = common.orderBy(F.desc("parted"), "term").limit(pair_terms).select("term").collect()
+        tried = np.sort(np.array(list(dict.fromkeys([*best, *(r[0] for r in often)]))[:pair_terms], np.int64))
+        if len(tried):
+            told = [*told, *tried[pairs_that_tell(*_pairs_of(known, tried))].tolist()]
+    machine = FactorizationMachine(np.unique(np.array(told, np.int64)))
     if not n or not 0 < positive < n:
         machine.bias = 40.0 * (2 * share - 1) if n else -40.0
         return machine
@@ -135,6 +192,7 @@ def learn(rows: DataFrame, train_rows: int = TRAIN_ROWS, held_terms: int = TERMS
 
     data = sorted((tuple(r.terms), r.toxic) for r in known.mapInArrow(narrowed, "toxic int, terms array<long>").toLocalIterator())
     machine.fit([np.array(t, np.int64) for t, _ in data], np.array([y for _, y in data], np.float64))
+    machine.bias += float(np.log(shares[0] / shares[1]))
     return machine
 
 

@@ -431,6 +431,48 @@ def test_machine_fits_an_interaction():
     assert [round(machine.score(r)) for r in rows[:4]] == [0, 0, 1, 0]
 
 
+def test_toxicity_learns_a_label_that_only_a_pair_tells(spark):
+    rng = random.Random(29)
+    rows, labels = [], []
+    for i in range(1500):
+        words, both = prose(rng, rng.randint(5, 30)).split(), [rng.random() < 0.5 for _ in range(2)]
+        for word, there in zip(("gulfish", "xeroned"), both):
+            if there:
+                words.insert(rng.randrange(len(words)), word)
+        rows.append(" ".join(words))
+        labels.append((i + 1, int(both[0] != both[1])))
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.detect(docs(spark, rows), known).collect()}
+    assert np.mean([got[i].predicted == y for i, y in labels if got[i].held_out]) > 0.95
+
+
+def test_company_tells_by_both_sides():
+    # 0 xor 1 is the label, 2 comes with 0 by chance, 3 tells by itself.
+    rng = np.random.default_rng(5)
+    x = (rng.random((4000, 4)) < 0.5).astype(np.int64)
+    y = x[:, 0] ^ x[:, 1]
+    x[:, 3] = y & x[:, 3]
+    n, p = x.T @ x, (x * y[:, None]).T @ x
+    assert toxicity.pairs_that_tell(n, p)[:3].tolist() == [True, True, False]
+
+
+def test_labels_share_the_sample(spark):
+    assert language.even_shares({"a": 10, "b": 1000, "c": 3000}, 1010) == {"a": 1.0, "b": 0.5, "c": pytest.approx(1 / 6)}
+    assert language.even_shares({"a": 1, "b": 2}, 5) == {"a": 1.0, "b": 1.0}
+    rows = spark.range(4000).selectExpr("id", "if(id % 400 = 0, 'rare', 'often') lang")
+    sample, shares = language.bounded_sample(rows, "id", "lang", 300)
+    n = {r.lang: r["count"] for r in sample.groupBy("lang").count().collect()}
+    assert n["rare"] == 10 and shares["rare"] == 1.0 and 200 < n["often"] < 380
+
+
+def test_toxicity_of_a_drawn_sample(spark):
+    rng = random.Random(31)
+    rows = [prose(rng, 20) + (" dunce" if k % 10 == 0 else "") for k in range(2000)]
+    known = spark.createDataFrame([(k + 1, int(k % 10 == 0)) for k in range(2000)], "doc_id long, toxic int")
+    got = toxicity.detect(docs(spark, rows), known, train_rows=300).collect()
+    assert np.mean([r.predicted == (r.doc_id % 10 == 1) for r in got if r.held_out]) > 0.98
+
+
 def test_toxicity_edges(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.predicted for r in toxicity.detect(docs(spark, ["a b", None]), none).collect()] == [0, 0]
