@@ -170,12 +170,12 @@ def test_mix_plan_is_native(spark):
 # 3
 
 
-def brute_minhash(rows):
+def brute_minhash(rows, percent=85):
     sets = {}
     for i, t in rows:
         w = SPACE.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     low = components(sets, links)
     return {i: (len(s), low[i], low[i] == i) for i, s in sets.items()}
 
