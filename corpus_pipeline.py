@@ -11,6 +11,8 @@ from sparkloom.llm import decontaminate, language, minhash, mixing, tokenids
 from sparkloom.llm.common import drop_scratch, finished, materialize, read_table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Documents are near copies at 100 * common shingles >= NEAR_PERCENT * all their shingles.
+NEAR_PERCENT = 80
 
 
 def _kept_columns(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -30,20 +32,34 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (85 % of the shingles): that of the least id.
+    """One document of each group of near copies (NEAR_PERCENT of the shingles): that of the least id.
 
-    Null and empty texts are like nothing and stay. Of rows that repeat an id one stays, any one, as they are one document;
-    rows without an id are grouped with nothing and all stay. Texts are read whole. An empty table stays empty; further columns pass, whatever they are called.
+    Null and empty texts are like nothing and stay. Every row is a document: rows without an id and rows that repeat one are compared by
+    their texts like others, come after all other rows (before them if ids reach 2 ** 62) and in any order among themselves. Texts are read whole. An empty table stays empty; further columns
+    pass, whatever they are called.
     """
-    found = materialize(minhash.near_duplicates(docs).filter("doc_id is not null"), "duplicates")
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    # One plan at every size: what goes grows with the corpus, so it is never broadcast.
-    stays = docs.join(gone.hint("merge"), "doc_id", "left_anti")
-    repeated = materialize(found.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return stays.select(*docs.columns)
-    one = stays.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stays.join(repeated, "doc_id", "left_anti").unionByName(one).select(*docs.columns)
+    def one_of_each(d: DataFrame) -> DataFrame:
+        rows = _row_keys(d)
+        found = materialize(minhash.near_duplicates(rows, "row_key", percent=NEAR_PERCENT), "duplicates")
+        # One plan at every size: what goes grows with the corpus, so it is never broadcast.
+        gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("row_key"))
+        return rows.join(gone.hint("merge"), "row_key", "left_anti")
+
+    return _kept_columns(docs, one_of_each)
+
+
+def _row_keys(docs: DataFrame) -> DataFrame:
+    """Docs with a row_key: the id if no other row has it, else a number of the row's own above all ids, or below them if ids reach 2 ** 62."""
+    several = materialize(docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select("doc_id"), "several")
+    if several.isEmpty():
+        return docs.withColumn("row_key", F.col("doc_id"))
+    low, high = docs.agg(F.coalesce(F.min("doc_id"), F.lit(0)), F.coalesce(F.max("doc_id"), F.lit(0))).first()
+    own = F.monotonically_increasing_id()
+    key = F.lit(high + 1) + own if high < 1 << 62 else F.lit(low - 1) - own
+    repeated = docs.join(several.hint("merge"), "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    repeated = materialize(repeated.withColumn("row_key", key), "repeated")
+    single = docs.filter("doc_id is not null").join(several.hint("merge"), "doc_id", "left_anti")
+    return single.withColumn("row_key", F.col("doc_id")).unionByName(repeated)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
