@@ -46,15 +46,19 @@ def letter_classes(text: str) -> np.ndarray:
     return out[np.concatenate([[True], (out[1:] != 0) | (out[:-1] != 0)])]
 
 
-_tables: list[np.ndarray] = []
+_tables: list[tuple[np.ndarray, np.ndarray]] = []
 
 
-def gram_vectors() -> np.ndarray:
-    """A vector for every three letter classes: their random vectors, each rotated by its place, multiplied."""
+def letter_vectors() -> tuple[np.ndarray, np.ndarray]:
+    """A vector for every two letter classes that begin an n-gram, and one for every class that ends it.
+
+    Each letter's random vector is rotated by its place; the product of a beginning and an end is the vector of
+    the n-gram. A table of all n-grams would take 40 times as much of each worker.
+    """
     if not _tables:
-        letters = np.random.default_rng(20240613).integers(0, 2, (CLASSES, DIM), np.int8) * 2 - 1
+        letters = np.random.default_rng(20240613).integers(0, 2, (CLASSES, DIM), np.int8) * np.int8(2) - np.int8(1)
         a, b, c = (np.roll(letters, GRAM - 1 - k, 1) for k in range(GRAM))
-        _tables.append((a[:, None, None] * b[None, :, None] * c[None, None, :]).reshape(-1, DIM).astype(np.int8))
+        _tables.append(((a[:, None] * b[None, :]).reshape(-1, DIM), c))
     return _tables[0]
 
 
@@ -65,9 +69,10 @@ def profile(text: str | None) -> np.ndarray | None:
         return None
     grams, counts = np.unique((x[:-2] * CLASSES + x[1:-1]) * CLASSES + x[2:], return_counts=True)
     out = np.zeros(DIM, np.float32)
-    table = gram_vectors()
+    begins, ends = letter_vectors()
     for k in range(0, len(grams), 4096):
-        out += counts[k : k + 4096].astype(np.float32) @ table[grams[k : k + 4096]].astype(np.float32)
+        some = grams[k : k + 4096]
+        out += counts[k : k + 4096].astype(np.float32) @ (begins[some // CLASSES] * ends[some % CLASSES]).astype(np.float32)
     return out
 
 
