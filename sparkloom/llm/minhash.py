@@ -21,6 +21,8 @@ BINS, BAND_ROWS = 256, 6
 BANDS = BINS // BAND_ROWS
 #: Bits of a sketch and of a bitmap.
 SKETCH = 2048
+#: A class of more pairs than HUB_PAIRS has them dealt to SLICES parts.
+HUB_PAIRS, SLICES = 256, 256
 
 #: A-Z to a-z, the six ASCII white-space characters to space.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
@@ -159,11 +161,25 @@ def _may_link(a: str, b: str, n: Column, m: Column, hidden_n: Column, hidden_m:
     return (100 + percent) * common >= percent * (n + m)
 
 
+def _dealt(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs(u, v) with the part of v's pairs that each belongs to, and (v, part) of all parts.
+
+    A hub of at most HUB_PAIRS pairs has one part; one of more has SLICES, so that none of its
+    pairs meet in one task and its set is copied no more often than it has pairs.
+    """
+    sliced = pairs.withColumn("slice", F.pmod(F.xxhash64("u"), F.lit(SLICES)).cast("int"))
+    slices = sliced.groupBy("v", "slice").count().groupBy("v").agg(F.sum("count").alias("n"), F.collect_list("slice").alias("slices"))
+    parts = slices.select("v", F.explode("slices").alias("slice"), (F.col("n") > HUB_PAIRS).alias("dealt"))
+    parts = materialize(parts.select("v", "slice", F.when(F.col("dealt"), F.col("slice")).otherwise(0).alias("part")), "hubs")
+    return sliced.join(parts, ["v", "slice"]).select("u", "v", "part"), parts.select("v", "part").distinct()
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs(u, v) that are similar by their full shingle sets; sets lie bucketed by node, so only one side's move, and once."""
+    """The pairs(u, v) that are similar by their full shingle sets; sets lie bucketed by node, so only those of one side and of hubs move, and once."""
+    pairs, parts = _dealt(materialize(pairs.select("u", "v"), "pairs"))
     left = sets.select(F.col("node").alias("u"), F.col("hashes").alias("a"))
-    right = sets.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
-    rows = pairs.select("u", "v").join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "a", "b")
+    right = sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")).join(parts.hint("merge"), "v")
+    rows = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), ["v", "part"]).select("u", "v", "a", "b")
     return materialize(rows.mapInArrow(_common(percent), "u long, v long"), "confirmed")
 
 

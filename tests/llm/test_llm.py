@@ -187,7 +187,9 @@ def edited(rng, text, n):
     return " ".join(w)
 
 
-def test_minhash_equals_brute_force(spark):
+@pytest.mark.parametrize("hub_pairs", [256, 3])
+def test_minhash_equals_brute_force(spark, monkeypatch, hub_pairs):
+    monkeypatch.setattr(minhash, "HUB_PAIRS", hub_pairs)
     rng = random.Random(7)
     bases = [prose(rng, rng.choice([4, 6, 30, 150])) for _ in range(15)]
     texts = [edited(rng, rng.choice(bases), rng.choice([0, 0, 1, 2, 4])) for _ in range(120)]
@@ -213,6 +215,16 @@ def test_bitmaps_rule_out_no_link(spark):
     assert unlike.filter(may).count() == 0
 
 
+def test_pairs_of_a_hub_are_dealt_whole(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SLICES", 8)
+    want = {(u, 7) for u in range(1000, 1300)} | {(u, u % 5) for u in range(1000, 1020)}
+    pairs, parts = minhash._dealt(spark.createDataFrame(sorted(want), "u long, v long"))
+    got = [tuple(r) for r in pairs.collect()]
+    assert {(u, v) for u, v, _ in got} == want and len(got) == len(want)
+    assert {part for _, v, part in got if v == 7} == set(range(8)) and {part for _, v, part in got if v != 7} == {0}
+    assert sorted(map(tuple, parts.collect())) == sorted({(v, part) for _, v, part in got})
+
+
 def test_minhash_edges(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
     df = docs(spark, ["a b c", "a b c"]).selectExpr("if(doc_id = 1, null, 7L) doc_id", "text")
