@@ -90,17 +90,23 @@ def even_shares(sizes: dict, most: int) -> dict:
     return shares
 
 
-def bounded_sample(rows: DataFrame, id_col: str, by: str, most: int) -> tuple[DataFrame, dict]:
-    """All rows if they are few; else about `most`, by a hash of the id that falls below the share of the row's label in column `by`. Also the shares.
+def label_shares(rows: DataFrame, by: str, most: int) -> dict:
+    """The shares of even_shares for column `by`; labels are not null and so few that the driver can count the rows of each."""
+    return even_shares({label: n for label, n in rows.groupBy(by).count().toLocalIterator()}, most)
 
-    Labels are not null and so few that the driver can count the rows of each.
-    """
-    sizes = {label: n for label, n in rows.groupBy(by).count().toLocalIterator()}
-    shares = even_shares(sizes, most)
+
+def drawn(rows: DataFrame, id_col: str, by: str, shares: dict) -> DataFrame:
+    """The rows whose id's hash falls below the share of their label."""
     if all(x == 1.0 for x in shares.values()):
-        return rows, shares
+        return rows
     limit = F.create_map(*(F.lit(x) for label, share in shares.items() for x in (label, int(share * (1 << 30)))))
-    return rows.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 30)) < limit[F.col(by)]), shares
+    return rows.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 30)) < limit[F.col(by)])
+
+
+def bounded_sample(rows: DataFrame, id_col: str, by: str, most: int) -> tuple[DataFrame, dict]:
+    """All rows if they are few; else about `most`, drawn by label. Also the shares."""
+    shares = label_shares(rows, by, most)
+    return drawn(rows, id_col, by, shares), shares
 
 
 def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

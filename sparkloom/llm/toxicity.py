@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, pieces, read_table
 from .hashing import stretches
-from .language import bounded_sample, fold
+from .language import bounded_sample, drawn, fold, label_shares
 
 #: At most about so many labelled rows are learned from, drawn by hash, of either label as many or all it has.
 TRAIN_ROWS = 20_000
@@ -157,15 +157,16 @@ def _pairs_of(known: DataFrame, terms_held: np.ndarray) -> tuple[np.ndarray, np.
     return n, p
 
 
-def learn(rows: DataFrame, train_rows: int = TRAIN_ROWS, held_terms: int = TERMS, pair_terms: int = PAIR_TERMS) -> FactorizationMachine:
-    """A machine learned from rows(doc_id, text, toxic), all of them or about train_rows drawn by hash.
+def learn(rows: DataFrame, train_rows: int = TRAIN_ROWS, held_terms: int = TERMS, pair_terms: int = PAIR_TERMS,
+          shares: dict | None = None) -> FactorizationMachine:
+    """A machine learned from rows(doc_id, text, toxic), all of them or about train_rows drawn by hash; all if they were drawn before, by the shares given.
 
     It holds the terms of at least LEAST_ROWS rows that part the labels most (chi-square), and of pair_terms terms those
     that part them in company only. If rows were drawn, the bias is set back to the labels' shares in all rows. What reaches
     the driver is bounded by train_rows, held_terms and pair_terms.
     """
     labelled = rows.filter("toxic is not null").select("doc_id", "text", F.col("toxic").cast("boolean").cast("int").alias("toxic"))
-    sample, shares = bounded_sample(labelled, "doc_id", "toxic", train_rows)
+    sample, shares = bounded_sample(labelled, "doc_id", "toxic", train_rows) if shares is None else (labelled, shares)
     known = materialize(sample.select("toxic", "text").mapInArrow(_terms_of, "toxic int, terms array<long>"), "terms")
     n, positive = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     share = positive / n if n else 0.0
@@ -218,8 +219,14 @@ def detect(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
     labels weigh more. An empty table gives an empty result.
     """
     held_out = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
-    known = docs.select("doc_id", "text").filter(~held_out).join(labels.select("doc_id", "toxic"), "doc_id")
-    machine = learn(known, train_rows)
+    toxic = F.col("toxic").cast("boolean").cast("int").alias("toxic")
+    marks = labels.filter("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), toxic).filter(~held_out)
+    # Rows are counted and drawn without their texts.
+    shares = label_shares(marks.join(docs.select("doc_id"), "doc_id"), "toxic", train_rows)
+    some = materialize(drawn(marks, "doc_id", "toxic", shares), "drawn")
+    # Labels without a document, or of one id, can be more than the bound: these are joined by a shuffle.
+    some = F.broadcast(some) if some.count() <= 2 * train_rows else some.hint("merge")
+    machine = learn(docs.select("doc_id", "text").join(some, "doc_id"), train_rows, shares=shares)
     return score(docs, machine).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
