@@ -295,3 +295,21 @@ def test_search_rotates_keys_and_resume_skips_done(spark, tmp_path):
     writers.resume(work, path, "url_hash", lambda df: df.withColumn("status", F.when(F.col("url_hash") < 2, "error: x").otherwise("ok")), batches=2)
     writers.resume(work, path, "url_hash", lambda df: df.withColumn("status", F.lit("ok")), batches=2)
     assert spark.read.parquet(path).filter("status = 'ok'").count() == 6 and spark.read.parquet(path).count() == 8
+
+
+def test_numbers_across_partitions(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from sparkloom.operators.numbering import numbered
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", "b", None]), rng.randint(0, 50) if rng.random() < 0.9 else None, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, v int, i int").repartition(6)
+    order = [F.col("v").asc_nulls_first(), F.col("i")]
+    place = lambda r: (r[1] is not None, r[1] or 0, r[2])
+    assert {r.number: r.i for r in numbered(df, order).collect()} == {n: r[2] for n, r in enumerate(sorted(rows, key=place), 1)}
+    got = {(r.k, r.n): r.i for r in numbered(df, order, ["k"], "n").collect()}
+    assert got == {(k, n): r[2] for k in {r[0] for r in rows} for n, r in enumerate(sorted((r for r in rows if r[0] == k), key=place), 1)}
+    assert numbered(df.limit(0), order, ["k"]).collect() == []
