@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, language, minhash, mixing, prefixtrie, sharding, suffixdedup, tokencounts, tokenids, toxicity
+from . import decontaminate, divergence, embeddings, language, minhash, mixing, prefixtrie, sharding, suffixdedup, tokencounts, tokenids, toxicity
 
 
 def queries() -> dict:
@@ -17,10 +17,12 @@ def queries() -> dict:
         "op8_token_counts": tokencounts.op8_token_counts,
         "op9_sharding": sharding.op9_sharding,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op12_divergence": divergence.op12_divergence,
         "op13_prefix_trie": prefixtrie.op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_mixing": mixing.OP2_SQL, "op1_embeddings": embeddings.OP1_SQL, "op3_minhash": minhash.OP3_SQL, "op10_decontaminate": decontaminate.OP10_SQL,
-            "op13_prefix_trie": prefixtrie.OP13_SQL}
+            "op12_divergence": divergence.op12_divergence,
+        "op13_prefix_trie": prefixtrie.OP13_SQL}
