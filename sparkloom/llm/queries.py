@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, divergence, embeddings, language, minhash, mixing, prefixtrie, sharding, suffixdedup, tokencounts, tokenids, toxicity
+from . import decontaminate, divergence, embeddings, language, licences, minhash, mixing, prefixtrie, sharding, suffixdedup, tokencounts, tokenids, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_token_counts": tokencounts.op8_token_counts,
         "op9_sharding": sharding.op9_sharding,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op11_licences": licences.op11_licences,
         "op12_divergence": divergence.op12_divergence,
         "op13_prefix_trie": prefixtrie.op13_prefix_trie,
     }
@@ -24,5 +25,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_mixing": mixing.OP2_SQL, "op1_embeddings": embeddings.OP1_SQL, "op3_minhash": minhash.OP3_SQL, "op10_decontaminate": decontaminate.OP10_SQL,
-            "op12_divergence": divergence.op12_divergence,
+            "op11_licences": licences.op11_licences,
+        "op12_divergence": divergence.op12_divergence,
         "op13_prefix_trie": prefixtrie.OP13_SQL}
