@@ -14,6 +14,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 # Fixed grids of the linear estimators: (alpha, share of the L1 part).
 LASSO_GRID = tuple((a, 1.0) for a in (0.0001, 0.001, 0.01, 0.1, 1.0))
 RIDGE_GRID = tuple((a, 0.0) for a in (0.0001, 0.001, 0.01, 0.1, 1.0, 10.0))
@@ -28,7 +30,7 @@ def expanding_folds(df: DataFrame, k: int = 5, order: str = "date") -> Iterator[
     """k (train, test) pairs: the last k blocks of n // (k + 1) rows, each after all that precedes it."""
     n = df.count()
     size = n // (k + 1)
-    placed = df.withColumn("_place", F.row_number().over(Window.partitionBy().orderBy(order)) - 1)
+    placed = numbered(df, [order], name="_place").withColumn("_place", F.col("_place") - 1)
     for i in range(k):
         start = n - (k - i) * size
         yield placed.filter(F.col("_place") < start).drop("_place"), placed.filter(F.col("_place").between(start, start + size - 1)).drop("_place")
@@ -129,14 +131,14 @@ def predicted(features: Sequence[str], intercept: float, coefficients: np.ndarra
 def grid_search(train: DataFrame, features: Sequence[str], label: str, grid: Sequence[tuple[float, float]], k: int = 5, order: str = "date") -> tuple[float, float]:
     """The (alpha, l1) of least mean absolute error over expanding folds.
 
-    All folds and grid points share two passes over the rows for their sums and one for their errors: no model is fitted by a job of its own.
+    Rows are numbered across range partitions. All folds and grid points share two passes over them for their sums and one for their errors: no model is fitted by a job of its own.
     """
-    n = train.count()
+    numbers = numbered(train.select(order, label, *features), [order], name="_place")
+    n = numbers.count()
     size = n // (k + 1)
-    place = F.row_number().over(Window.partitionBy().orderBy(order)) - 1
     # Block 0 precedes all tests; blocks 1 .. k are the tests in turn.
-    block = F.greatest(F.floor((place - (n - k * size)) / size) + 1, F.lit(0)).cast("int")
-    placed = train.select(block.alias("_block"), label, *features)
+    block = F.greatest(F.floor((F.col("_place") - 1 - (n - k * size)) / size) + 1, F.lit(0)).cast("int")
+    placed = numbers.select(block.alias("_block"), label, *features)
     sums = grams(placed, features, label, "_block")
     errors, so_far = [], sums[0]
     for fold in range(1, k + 1):
@@ -169,16 +171,16 @@ def metrics(df: DataFrame, label: str = "y", prediction: str = "prediction", ord
 def permutation_importance(predict: Callable[[DataFrame], DataFrame], test: DataFrame, features: Sequence[str], label: str, order: str = "date", repeats: int = 10, seed: int = 42) -> DataFrame:
     """feature, importance: mean rise of the mean absolute error when a feature's values are dealt anew among the rows, `repeats` times.
 
-    Every (feature, repeat) is a copy of the test rows in one plan: places and dealt places are numbers within a copy.
+    Every (feature, repeat) is a copy of the test rows in one plan. Rows are numbered by order, copies by a seeded hash, both across range partitions: only place and value of a copy's rows are dealt anew.
     """
     copies = test.sparkSession.range(len(features) * repeats).select((F.col("id") % len(features)).cast("int").alias("_f"), F.floor(F.col("id") / len(features)).cast("int").alias("_r"))
+    placed = numbered(test, [order], name="_k")
     # Bounded by the arguments.
-    all_rows = test.crossJoin(F.broadcast(copies))
-    own, dealt = Window.partitionBy("_f", "_r").orderBy(order), Window.partitionBy("_f", "_r").orderBy(F.xxhash64(F.lit(seed), "_f", "_r", order), order)
+    rows = placed.crossJoin(F.broadcast(copies))
     chosen = F.get(F.array(*(F.col(f).cast("double") for f in features)), F.col("_f"))
-    rows = all_rows.withColumns({"_k": F.row_number().over(own), "_d": F.row_number().over(dealt)})
-    values = rows.select("_f", "_r", F.col("_d").alias("_k"), chosen.alias("_v"))
-    mixed = rows.drop("_d").join(values, ["_f", "_r", "_k"]).withColumns({f: F.when(F.col("_f") == i, F.col("_v")).otherwise(F.col(f).cast("double")) for i, f in enumerate(features)})
+    deal = F.xxhash64(F.lit(seed), "_f", "_r", order)
+    values = numbered(rows.select("_f", "_r", F.col("_k").alias("_own"), deal.alias("_deal"), chosen.alias("_v")), ["_deal", "_own"], ["_f", "_r"], "_k").select("_f", "_r", "_k", "_v")
+    mixed = rows.join(values, ["_f", "_r", "_k"]).withColumns({f: F.when(F.col("_f") == i, F.col("_v")).otherwise(F.col(f).cast("double")) for i, f in enumerate(features)})
     error = F.avg(F.abs(F.col(label) - F.col("prediction")))
     base = predict(test).agg(error.alias("base"))
     names = F.array(*(F.lit(f) for f in features))

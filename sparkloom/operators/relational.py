@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+from .quantiles import exact_quantiles
+
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row a key: the first by order, which should end in a tie-breaker."""
@@ -27,9 +30,10 @@ def pending(work: DataFrame, cache: DataFrame, key: str, status: str = "status",
 
 
 def fill_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Nulls of each column replaced by its exact median: one row joined back."""
-    medians = df.agg(*(F.median(c).alias(f"_m_{c}") for c in columns))
-    return df.crossJoin(F.broadcast(medians)).withColumns({c: F.coalesce(c, f"_m_{c}") for c in columns}).drop(*(f"_m_{c}" for c in columns))
+    """Nulls of each column replaced by its exact median; df is stored, as it is read for each step of the medians."""
+    df = stored(df, "filled")
+    medians = exact_quantiles(df, {c: (c, 0.5) for c in columns})
+    return df.withColumns({c: F.coalesce(c, F.lit(medians[c]).cast("double")) for c in columns})
 
 
 def columns_like(df: DataFrame, *parts: str) -> list[str]:

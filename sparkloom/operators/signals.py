@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+from .quantiles import exact_quantiles
 
-def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], by: str | None, digits: int = 6) -> DataFrame:
-    """df with exact linear quantiles joined on: name -> (column, share); per series, or over all rows."""
+
+def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], by: str, digits: int = 6) -> DataFrame:
+    """df with exact linear quantiles of each series joined on: name -> (column, share)."""
     cut = [F.round(F.percentile(c, p), digits).alias(n) for n, (c, p) in wanted.items()]
-    if by is None:
-        return df.crossJoin(F.broadcast(df.agg(*cut)))  # one row
     return df.join(df.groupBy(by).agg(*cut), by)
 
 
@@ -59,9 +60,11 @@ DISAGREEMENT_SIGNALS = (
 
 
 def disagreement_signals(daily: DataFrame) -> DataFrame:
-    """Thirteen signals; quantiles are over all targets together."""
+    """Thirteen signals; quantiles are over all targets together. daily is stored, as it is read for each step of the quantiles."""
     c = F.col
-    df = quantiles(daily, {"_hi": ("disagr_score", 0.75), "_lo": ("disagr_score", 0.25), "_c": ("cert_entropy", 0.5), "_n": ("n_articles", 0.5)}, None)
+    daily = stored(daily, "daily")
+    cut = exact_quantiles(daily, {"_hi": ("disagr_score", 0.75), "_lo": ("disagr_score", 0.25), "_c": ("cert_entropy", 0.5), "_n": ("n_articles", 0.5)})
+    df = daily.withColumns({n: F.round(F.lit(v).cast("double"), 6) for n, v in cut.items()})
     conditions = (
         c("disagr_score") > c("_hi"), c("disagr_score") < c("_lo"), c("pct_up") > 0.5, c("pct_down") > 0.5, (c("pct_up") > 0.3) & (c("pct_down") > 0.3),
         c("pct_up") > 0.75, c("pct_down") > 0.75, c("avg_certainty") <= 2.0, c("avg_certainty") >= 3.5, c("cert_entropy") > c("_c"),
@@ -79,8 +82,10 @@ def fixed_bins(c: Column, edges: Sequence[float], labels: Sequence[str]) -> Colu
 
 def quantile_bins(df: DataFrame, column: str, n: int = 5, digits: int = 6) -> DataFrame:
     """df with lo, hi: the right-closed quantile bin of column, equal edges merged; the least value belongs to the first bin."""
-    edges = F.array_distinct(F.transform(F.percentile(column, [k / n for k in range(n + 1)]), lambda x: F.round(x, digits)))
-    df = df.filter(F.col(column).isNotNull()).crossJoin(F.broadcast(df.agg(edges.alias("_edges"))))  # one row
+    df = stored(df, "binned")
+    cut = exact_quantiles(df, {str(k): (column, k / n) for k in range(n + 1)})
+    edges = F.array_distinct(F.array(*(F.round(F.lit(v).cast("double"), digits) for v in cut.values())))
+    df = df.filter(F.col(column).isNotNull()).withColumn("_edges", edges)
     x = F.round(F.col(column), digits)
     at = F.greatest(F.size(F.filter("_edges", lambda e: e < x)), F.lit(1))
     return df.withColumns({"lo": F.get("_edges", at - 1), "hi": F.get("_edges", at)}).drop("_edges")

@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import average_rank
+from ..sources.scratch import stored
+from .windows import value_ranks
 
 
 def unpivoted(df: DataFrame, columns: Sequence[str], keep: Sequence[str], name: str = "feature", value: str = "value") -> DataFrame:
@@ -31,10 +32,19 @@ def correlations(df: DataFrame, features: Sequence[str], target: str, digits: in
 
 
 def spearman(df: DataFrame, a: str, b: str, digits: int = 6) -> DataFrame:
-    """n, rho: Pearson of average ranks over the rows that have both."""
+    """n, rho: Pearson of average ranks over the rows that have both; null if either is constant.
+
+    Rows are counted by their pair of values, ranks come from running totals of the values' counts, and the mean rank, which is known, is taken off before products are summed.
+    """
     rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = rows.select(average_rank(a).alias("x"), average_rank(b).alias("y"))
-    return ranked.agg(F.count("*").alias("n"), F.round(F.corr("x", "y"), digits).alias("rho"))
+    pairs = stored(rows.groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").alias("w")), "pairs")
+    rank = lambda c: value_ranks(pairs.groupBy(c).agg(F.sum("w").alias("count")), c).select(c, F.col("rank").alias(f"r{c}"))
+    ranked = pairs.join(rank("x"), "x").join(rank("y"), "y")
+    middle = pairs.agg(((F.sum("w") + 1) / 2).alias("middle"))  # one row
+    x, y, w = F.col("rx") - F.col("middle"), F.col("ry") - F.col("middle"), F.col("w")
+    sums = ranked.crossJoin(F.broadcast(middle)).agg(F.coalesce(F.sum(w), F.lit(0)).alias("n"), F.sum(w * x * y).alias("xy"), F.sum(w * x * x).alias("xx"), F.sum(w * y * y).alias("yy"))
+    rho = F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx")) / F.sqrt(F.col("yy")))
+    return sums.select("n", F.round(rho, digits).alias("rho"))
 
 
 def line(df: DataFrame, y: str, x: str, digits: int = 6) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .numbering import running_total
+
 
 def per_series(*keys: str, order: str = "date") -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(order)
@@ -49,10 +51,22 @@ def next_label(c: str, w: WindowSpec) -> Column:
     return F.when(F.lead(c).over(w) > F.col(c), "UP").otherwise("DOWN")
 
 
-def average_rank(c: str, *keys: str) -> Column:
-    """Rank with the mean rank for ties; null for null."""
-    ties = Window.partitionBy(*keys, c)
-    return F.when(F.col(c).isNotNull(), F.rank().over(Window.partitionBy(*keys).orderBy(F.col(c).asc_nulls_last())) + (F.count("*").over(ties) - 1) / 2)
+def value_ranks(counts: DataFrame, column: str, count: str = "count", keys: Sequence[str] = ()) -> DataFrame:
+    """counts(keys, column, count) of distinct values with rank: the mean rank of a value's rows, from running totals of the counts."""
+    return running_total(counts, count, [column], keys, "_before").withColumn("rank", F.col("_before") + (F.col(count) + 1) / 2).drop("_before")
+
+
+def average_ranks(df: DataFrame, column: str, name: str, keys: Sequence[str] = ()) -> DataFrame:
+    """df with the rank of column, the mean rank for ties; null for null.
+
+    Distinct values are counted (partial aggregation, so a common value is one row), summed up in range partitions and joined back.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(*keys, column).count()
+    ranks = value_ranks(counts, column, keys=keys).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(column).alias("_value"), F.col("rank").alias(name))
+    same = F.col(column) == F.col("_value")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(ranks, same, "left").select(*df.columns, name)
 
 
 def spine(df: DataFrame, first: str, last: str, column: str = "date") -> DataFrame:

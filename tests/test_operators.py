@@ -313,3 +313,58 @@ def test_numbers_across_partitions(spark):
     got = {(r.k, r.n): r.i for r in numbered(df, order, ["k"], "n").collect()}
     assert got == {(k, n): r[2] for k in {r[0] for r in rows} for n, r in enumerate(sorted((r for r in rows if r[0] == k), key=place), 1)}
     assert numbered(df.limit(0), order, ["k"]).collect() == []
+
+
+def test_running_totals_across_partitions(spark):
+    import random
+
+    from sparkloom.operators.numbering import running_total
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot", "hot", "a", None]), i, rng.randint(-5, 9)) for i in rng.sample(range(1000), 300)]
+    df = spark.createDataFrame(rows, "k string, i int, n long").repartition(5)
+    place = sorted(rows, key=lambda r: r[1])
+    assert {r.i: r.before for r in running_total(df, "n", ["i"]).collect()} == {r[1]: sum(x[2] for x in place if x[1] < r[1]) for r in rows}
+    assert {r.i: r.before for r in running_total(df, "n", ["i"], ["k"]).collect()} == {r[1]: sum(x[2] for x in place if x[1] < r[1] and x[0] == r[0]) for r in rows}
+
+
+def test_exact_quantiles_of_any_shape(spark):
+    import random
+
+    from sparkloom.operators.quantiles import exact_quantiles
+
+    rng = random.Random(9)
+    shapes = {
+        "even": [rng.random() for _ in range(3000)], "tied": [float(rng.choice([1, 1, 1, 2])) for _ in range(3000)], "two": [0.0] * 1500 + [1.0] * 1500,
+        "middle": [0.0] * 1490 + [rng.random() for _ in range(20)] + [1.0] * 1490, "wide": [rng.choice([-1, 1]) * 10.0 ** rng.randint(-200, 200) for _ in range(3000)],
+        "one": [5.0] * 3000, "gaps": [rng.random() if i % 3 else None for i in range(3000)], "none": [None] * 3000}
+    df = spark.createDataFrame(list(zip(*shapes.values())), ", ".join(f"{c} double" for c in shapes)).repartition(3)
+    shares = (0.0, 0.1, 0.25, 0.4999, 0.5, 0.75, 0.999, 1.0)
+    wanted = {f"{c}_{p}": (c, p) for c in shapes for p in shares}
+    for held in (1 << 16, 7):
+        got = exact_quantiles(df, wanted, held)
+        for c, values in shapes.items():
+            there = sorted(x for x in values if x is not None)
+            for p in shares:
+                want = float(np.percentile(there, 100 * p)) if there else None
+                assert got[f"{c}_{p}"] == (want if want is None else pytest.approx(want, rel=1e-9, abs=1e-12)), (c, p, held)
+    assert exact_quantiles(df.limit(0), {"x": ("even", 0.5)}) == {"x": None}
+    odd = spark.createDataFrame([(float("nan"),), (2.0,), (None,), (float("inf"),), (-1.0,)], "x double")
+    assert exact_quantiles(odd, {"m": ("x", 0.5)}) == {"m": 2.0}
+
+
+def test_average_ranks_of_ties_and_groups(spark):
+    import random
+
+    from sparkloom.operators import windows as W
+
+    rng = random.Random(10)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 1, 1, 1, 2, 3, 4]), i) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, x int, i int").repartition(4)
+
+    def rank(x, among):
+        there = [v for v in among if v is not None]
+        return None if x is None else sum(v < x for v in there) + (sum(v == x for v in there) + 1) / 2
+
+    assert {r.i: r.r for r in W.average_ranks(df, "x", "r").collect()} == {i: rank(x, [y for _, y, _ in rows]) for _, x, i in rows}
+    assert {r.i: r.r for r in W.average_ranks(df, "x", "r", ["k"]).collect()} == {i: rank(x, [y for g, y, _ in rows if g == k]) for k, x, i in rows}
