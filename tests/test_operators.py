@@ -368,3 +368,28 @@ def test_average_ranks_of_ties_and_groups(spark):
 
     assert {r.i: r.r for r in W.average_ranks(df, "x", "r").collect()} == {i: rank(x, [y for _, y, _ in rows]) for _, x, i in rows}
     assert {r.i: r.r for r in W.average_ranks(df, "x", "r", ["k"]).collect()} == {i: rank(x, [y for g, y, _ in rows if g == k]) for k, x, i in rows}
+
+
+@pytest.mark.parametrize(("width", "block"), [(300, 1 << 16), (40, 16)])
+def test_itemsets_of_wide_rows(spark, monkeypatch, width, block):
+    from itertools import combinations
+
+    from sparkloom.operators import rules as U
+
+    monkeypatch.setattr(U, "BLOCK_ROWS", block)
+    rng = np.random.default_rng(width)
+    held = (rng.random((150, width)) < rng.choice([0.1, 0.3, 0.9], width)).astype(int)
+    held[:20] = 1
+    held[20:60] = held[20]
+    names = [f"i{k:03d}" for k in range(width)]
+    df = spark.createDataFrame([tuple(int(x) or None for x in r) for r in held], ", ".join(f"{n} int" for n in names)).repartition(3)
+    got = {tuple(r["items"]): (r.n, r.support) for r in U.itemsets(df, names, 0.85).collect()}
+    want = {}
+    often = [k for k in range(width) if held[:, k].mean() >= 0.85]
+    for size in (1, 2, 3):
+        for some in combinations(often, size):
+            n = int(held[:, list(some)].all(axis=1).sum())
+            if n / len(held) >= 0.85:
+                want[tuple(names[k] for k in some)] = (n, n / len(held))
+    assert len(want) > width / 10 and got == want
+    assert U.itemsets(df.limit(0), names).collect() == []
