@@ -5,8 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,38 +67,47 @@ def welch(df: DataFrame, signals: Sequence[str], target: str, least: int = 5, di
         F.round(F.when(s > 0, s * s / (F.col("s1") ** 2 / (F.col("n1") - 1) + F.col("s0") ** 2 / (F.col("n0") - 1))), digits).alias("df"))
 
 
-def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Continued fraction of the incomplete beta function, by Lentz's method."""
-    tiny = 1e-300
-    c, d = np.ones_like(x), 1 / np.where(np.abs(1 - (a + b) * x / (a + 1)) < tiny, tiny, 1 - (a + b) * x / (a + 1))
-    h = d.copy()
-    for m in range(1, 400):
-        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + term * d
-            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-            c = 1 + term / np.where(np.abs(c) < tiny, tiny, c)
-            h = h * c * d
-    return h
+# Lanczos' approximation of the gamma function with g = 7 and nine terms.
+_LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
 
 
-def student_p(t: np.ndarray, df: np.ndarray) -> np.ndarray:
-    """Two-sided p-values of Student's t: the regularised incomplete beta function at df / (df + t^2)."""
-    t, df = np.asarray(t, float), np.asarray(df, float)
-    a, b = df / 2, np.full_like(df, 0.5)
-    x = np.clip(df / (df + t * t), 1e-15, 1 - 1e-15)
-    log = np.vectorize(math.lgamma)
-    front = np.exp(log(a + b) - log(a) - log(b) + a * np.log(x) + b * np.log1p(-x))
-    direct = x < (a + 1) / (a + b + 2)
-    return np.where(direct, front * _beta_fraction(a, b, x) / a, 1 - front * _beta_fraction(b, a, 1 - x) / b)
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function, for x of at least 0.5."""
+    z = x - 1
+    total = F.lit(_LANCZOS[0])
+    for k, c in enumerate(_LANCZOS[1:], 1):
+        total = total + F.lit(c) / (z + k)
+    t = z + 7.5
+    return F.lit(0.5 * math.log(2 * math.pi)) + (z + 0.5) * F.log(t) - t + F.log(total)
 
 
-def p_value(t: Column, df: Column) -> Column:
-    """Two-sided p-value of t: Spark has no t distribution, so Arrow batches go to numpy."""
-    @F.pandas_udf("double")
-    def run(t: pd.Series, df: pd.Series) -> pd.Series:
-        return pd.Series(student_p(t.to_numpy(), df.to_numpy())).where(t.notna() & df.notna())
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """The continued fraction of the incomplete beta function, folded from its far end; its terms settle after some square root of a and b."""
+    depth = (F.lit(200) + F.ceil(F.lit(8) * F.sqrt(F.greatest(a, b)))).cast("int")
+    at = F.struct(a.alias("a"), b.alias("b"), x.alias("x"))
+
+    def folded(p: Column) -> Column:
+        a, b, x = p["a"], p["b"], p["x"]
+
+        def term(j: Column) -> Column:
+            m = F.floor(j / 2)
+            return F.when(j % 2 == 0, m * (b - m) * x / ((a + j - 1) * (a + j))).otherwise(-(a + m) * (a + b + m) * x / ((a + j - 1) * (a + j)))
+
+        return F.aggregate(F.sequence(depth, F.lit(1)), F.lit(1.0), lambda rest, j: F.lit(1.0) + term(j) / rest)
 
-    return run(t, df)
+    return F.lit(1.0) / F.get(F.transform(F.array(at), folded), 0)
+
+
+def p_value(t: Column, df: Column) -> Column:
+    """Two-sided p-value of Student's t, the regularised incomplete beta function at df / (df + t^2), by expressions alone; null for null and for df that is not positive."""
+    t, df = t.cast("double"), F.when(df > 0, df.cast("double"))
+    a, b = df / 2, F.lit(0.5)
+    x = F.least(F.greatest(df / (df + t * t), F.lit(1e-300)), F.lit(1 - 1e-16))
+    y = F.least(F.greatest(t * t / (df + t * t), F.lit(1e-300)), F.lit(1 - 1e-16))
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - F.lit(0.5 * math.log(math.pi)) + a * F.log(x) + b * F.log(y))
+    # Each side's fraction converges fast on its own half; x and y = 1 - x are computed apart, so neither loses digits.
+    p = F.when(x < (a + 1) / (a + b + 2), front * _beta_fraction(a, b, x) / a).otherwise(F.lit(1.0) - front * _beta_fraction(b, a, y) / b)
+    return F.when(t.isNotNull() & df.isNotNull(), p)
 
 
 def pearson_t(r: Column, n: Column) -> Column:

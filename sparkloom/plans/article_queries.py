@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
+from ..functions import html as H
 from ..functions import text as X
 from ..functions.lexicon import COFFEE_BODY, COFFEE_TITLE, PROSE
 from ..operators import relational as R
 from ..operators import signals as S
 from ..operators.stats import unpivoted
 from ..sources.extract import by_rules, parsed
-from ..sources.readers import html_text, table
+from ..sources.readers import table
 from . import adapters as A
 
 LENGTH_EDGES = (0, 200, 500, 1000, 3000, 10_000, 999_999)
@@ -187,7 +188,7 @@ def query_grid(s: SparkSession, d: str) -> DataFrame:
 
 
 def html_pages(s: SparkSession, d: str) -> DataFrame:
-    t = table(s, d, "pages").select("page_id", html_text(F.col("html")).alias("text"))
+    t = table(s, d, "pages").select("page_id", H.visible_text(F.col("html")).alias("text"))
     return t.select("page_id", "text", ((F.length("text") >= 200) & X.flag(F.col("text"), r"(?iU)\bthe\b")).alias("kept"))
 
 
@@ -302,3 +303,6 @@ SQL["facts_by_key"] = f"WITH {A.FACTS} SELECT a.url_hash, a.domain, f.n_up, f.pr
 SQL["two_versions_join"] = f"""SELECT p.date, p.n_articles, o.n_articles AS n_articles_old, o.dir_score AS dir_score_old, l.n_articles AS n_articles_llm, l.dir_score AS dir_score_llm
   FROM (WITH {POOLED} SELECT * FROM md) p LEFT JOIN (WITH {MENTION} SELECT * FROM md) o ON o.date = p.date AND o.target = 'arabica'
   LEFT JOIN (WITH {MENTION} SELECT * FROM md) l ON l.date = p.date AND l.target = 'robusta'"""
+
+SQL["html_pages"] = rf"""WITH t AS (SELECT page_id, {H.visible_text_sql("html")} AS text FROM pages)
+  SELECT page_id, text, length(text) >= 200 AND list_contains(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}\p{{M}}_]+'), 'the') AS kept FROM t"""

@@ -396,3 +396,23 @@ SQL = {
     "joinable_days": f"""WITH {MENTION}, {A.MENTION_PRICES} SELECT target, count(*) AS days, count(p.date) AS joinable, round(avg(n_articles), 1) AS mean, round(stddev_samp(n_articles), 1) AS std
       FROM md LEFT JOIN mpx p USING (date) WHERE n_articles > 0 GROUP BY target""",
 }
+
+
+def _p(t: str, df: str) -> str:
+    """Two-sided p-value by Simpson's rule: one minus the density of t = sqrt(df) tan(u) between its ends."""
+    steps, end = 4000, f"atan(abs({t}) / sqrt({df}))"
+    weights = f"CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    area = f"list_sum(list_transform(range(0, {steps + 1}), lambda i: ({weights}) * CAST(pow(cos({end} * i / {steps}), {df} - 1) AS DOUBLE))) * {end} / {steps} / 3"
+    return f"round(1 - 2 * exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt(pi()) * {area}, 6)"
+
+
+def _with_p(rows: str, t: str, df: str, stars: bool = True) -> str:
+    """rows with p, and its stars."""
+    graded = "CASE WHEN p < 0.01 THEN '***' WHEN p < 0.05 THEN '**' WHEN p < 0.1 THEN '*' ELSE '' END AS stars"
+    return f"SELECT * EXCLUDE (tt, ff){', ' + graded if stars else ''} FROM (SELECT *, {_p('tt', 'ff')} AS p FROM (SELECT *, {t} AS tt, {df} AS ff FROM ({rows})))"
+
+
+_PEARSON = "CASE WHEN n > 2 AND abs({0}) < 1 THEN {0} * sqrt((n - 2) / (1 - {0} * {0})) END"
+SQL["corr_p"] = _with_p(f"{_CORR} SELECT * FROM cr", _PEARSON.format("r"), "CASE WHEN n > 2 THEN CAST(n - 2 AS DOUBLE) END")
+SQL["welch_p"] = _with_p(SQL["welch"], "t", "df")
+SQL["spearman_p"] = _with_p(SQL["spearman"], _PEARSON.format("rho"), "CASE WHEN n > 2 THEN CAST(n - 2 AS DOUBLE) END", stars=False)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
+from ..functions.html import visible_text, visible_text_sql
 from ..operators import relational as R
-from ..sources import readers, schemas, writers
+from ..sources import extract, filetree, merging, readers, schemas, search, writers
 from ..sources.scratch import scratch_path
 from . import adapters as A
 
@@ -82,26 +84,100 @@ def report_lines(s: SparkSession, d: str) -> DataFrame:
 
 
 def appended(s: SparkSession, d: str) -> DataFrame:
-    """Two overlapping batches appended by key, then work resumed in batches: every key once, done."""
+    """Two overlapping batches merged by key, one of them twice, then work resumed in batches: every key once, done."""
     path, done = scratch_path(s, "appended"), scratch_path(s, "done")
     c = readers.table(s, d, "supplier").select("s_suppkey", "s_nationkey")
-    writers.append_new(c.filter("s_suppkey <= 60"), path, ["s_suppkey"])
-    writers.append_new(c.filter("s_suppkey > 40"), path, ["s_suppkey"])
-    stored = s.read.parquet(path)
+    merging.merge_new(c.filter("s_suppkey <= 60"), path, ["s_suppkey"])
+    merging.merge_new(c.filter("s_suppkey > 40"), path, ["s_suppkey"])
+    merging.merge_new(c.filter("s_suppkey > 40"), path, ["s_suppkey"])
+    stored = merging.merged(s, path)
     writers.resume(stored, done, "s_suppkey", lambda df: df.withColumn("status", F.when(F.col("s_suppkey") % 5 == 0, "error: x").otherwise("ok")), batches=2)
     writers.resume(stored, done, "s_suppkey", lambda df: df.withColumn("status", F.lit("ok")), batches=2)
     return s.read.parquet(done).filter("status = 'ok'")
 
 
 def texts_beside_pages(s: SparkSession, d: str) -> DataFrame:
-    """Texts keyed by the path of their page."""
+    """The visible text of every page in a file of its own at the page's path, read back with the paths."""
     path = scratch_path(s, "texts")
-    pages = readers.table(s, d, "pages").select(F.concat(F.lit("site/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.length("html").cast("string").alias("text"))
-    writers.texts_by_path(pages, path)
-    return s.read.parquet(path)
+    i = F.col("page_id").cast("string")
+    pages = readers.table(s, d, "pages").select(F.concat(F.lit("site "), F.substring(i, -1, 1), F.lit("/p"), i, F.lit(".html")).alias("path"), visible_text(F.col("html")).alias("text"))
+    filetree.write_files(pages, path)
+    return filetree.read_files(s, path)
 
 
-QUERIES = {f.__name__: f for f in (csv_links, csv_by_target, csv_quoted, csv_split, jsonl_raw, jsonl_discovered, report_lines, appended, texts_beside_pages)}
+class _Killed(Exception):
+    pass
+
+
+def stream_appended(s: SparkSession, d: str) -> DataFrame:
+    """Files of overlapping orders streamed into a keyed table; the query dies when a batch is stored but not committed, and is started again."""
+    source, path, checkpoint = scratch_path(s, "orders"), scratch_path(s, "keyed"), scratch_path(s, "progress")
+    o = readers.table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    o.filter("o_orderkey % 3 <> 0").coalesce(1).write.parquet(source)
+    o.filter("o_orderkey % 3 <> 1").coalesce(1).write.mode("append").parquet(source)
+    stream = s.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+    def die(number: int) -> None:
+        if number == 1:
+            raise _Killed(str(number))
+
+    for after in (die, None):
+        query = merging.keyed_stream(stream, path, checkpoint, ["o_orderkey"], after=after)
+        try:
+            query.awaitTermination()
+        except StreamingQueryException as e:
+            if "_Killed" not in str(e):
+                raise
+    return merging.merged(s, path)
+
+
+TEMPLATES = tuple(f"price t{k} {{day}}/{{month}}/{{year}}" for k in range(4))
+
+
+def search_source(s: SparkSession, d: str) -> DataFrame:
+    """Pages as a search service's answers, read by day and access key; one of three keys is always refused, and one template has no answers."""
+    path = scratch_path(s, "answers")
+    i, day = F.col("page_id"), F.date_add(F.lit("2024-02-27").cast("date"), (F.col("page_id") % 5).cast("int"))
+    query = F.concat(F.lit("price t"), (F.floor(i / 5) % 3).cast("string"), F.date_format(day, " d/M/y"))
+    pages = readers.table(s, d, "pages").select(
+        day.alias("day"), query.alias("query"), "url", F.concat(F.lit("page "), i.cast("string")).alias("title"), F.lit(None).cast("string").alias("snippet"), F.date_format(day, "MMM dd, yyyy").alias("date"))
+    # `query` is a column of the files too, as slots may be shared.
+    search.write_answers(pages, path)
+    found = search.read_links(s, "sparkloom.sources.search:answers", "2024-02-27", "2024-03-02", TEMPLATES, ["k1", "k2", "k3"], calls=7, wait=0, answers=path, refused='["k2"]')
+    return search.links(found, F.col("day")).drop("snippet")
+
+
+def suggested(s: SparkSession, d: str) -> DataFrame:
+    """Distinct suggestions of an offline autocomplete for every part's name."""
+    def client(seed: str) -> list[str]:
+        first, _, rest = seed.partition(" ")
+        return [f"{first} price", f"{first} today", f"{rest} price"]
+
+    return search.suggestions(readers.table(s, d, "part").select(F.col("p_name").alias("seed")), client)
+
+
+def model_answers(s: SparkSession, d: str) -> DataFrame:
+    """An offline model's answers to a prompt an article: some calls fail at first, some always, some answers are no JSON."""
+    directions = ("UP", "DOWN", "STABLE", "MIXED", "NONE")
+
+    def client():
+        failed = set()
+
+        def ask(prompt: str) -> tuple[str, int]:
+            n = len(prompt)
+            if n % 17 == 0 or (n % 4 == 1 and prompt not in failed):
+                failed.add(prompt)
+                raise TimeoutError("busy")
+            return ("{bad" if n % 10 == 3 else f'```json\n{{"is_coffee_price": true, "direction": "{directions[n % 5]}", "certainty": {n % 5 + 1}}}\n```'), n
+
+        return ask
+
+    asked = extract.prompts(A.articles(s, d), "Title: {title}\nText: {content}", limit=500)
+    got = extract.call_model(asked, client(), attempts=2, wait=0)
+    return extract.parsed(got).select("url_hash", "is_coffee_price", "direction", "certainty", "tokens_used", "_status")
+
+
+QUERIES = {f.__name__: f for f in (csv_links, csv_by_target, csv_quoted, csv_split, jsonl_raw, jsonl_discovered, report_lines, appended, texts_beside_pages, stream_appended, search_source, suggested, model_answers)}
 
 SQL = {
     "csv_links": f"""WITH {A.ARTICLES} SELECT url_hash, 'q,1' AS query_id, 'say "' || doc_id || '",' || chr(10) || 'end' AS title, CAST(date AS VARCHAR) AS published FROM art""",
@@ -113,5 +189,15 @@ SQL = {
     "jsonl_discovered": "SELECT DATE '2024-03-05' AS date, 'q' || (page_id % 7) AS query, CAST(page_id % 10 AS INTEGER) AS rank, url, 't' || page_id AS title FROM pages",
     "report_lines": "SELECT o_orderstatus, count(*) AS n, o_orderstatus || ': ' || count(*) AS line FROM orders GROUP BY o_orderstatus",
     "appended": "SELECT s_suppkey, s_nationkey, 'ok' AS status FROM supplier",
-    "texts_beside_pages": "SELECT 'site/' || page_id || '.txt' AS path, CAST(length(html) AS VARCHAR) AS text FROM pages",
+    "texts_beside_pages": f"SELECT 'site ' || (page_id % 10) || '/p' || page_id || '.txt' AS path, {visible_text_sql('html')} AS text FROM pages",
+    "stream_appended": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders",
+    "search_source": """WITH p AS (SELECT *, DATE '2024-02-27' + CAST(page_id % 5 AS INTEGER) AS day FROM pages)
+      SELECT sha256(url) AS url_hash, CASE WHEN contains(url, '://') THEN split_part(url, '/', 3) ELSE '' END AS domain, url, 'page ' || page_id AS title,
+      'price t' || (page_id // 5 % 3) || ' ' || day(day) || '/' || month(day) || '/' || year(day) AS query, day, day AS published_date FROM p""",
+    "suggested": """SELECT DISTINCT suggestion FROM (SELECT split_part(p_name, ' ', 1) AS f, CASE WHEN contains(p_name, ' ') THEN substr(p_name, strpos(p_name, ' ') + 1) ELSE '' END AS r FROM part) x,
+      LATERAL (SELECT unnest([f || ' price', f || ' today', r || ' price']) AS suggestion)""",
+    "model_answers": f"""WITH {A.ARTICLES}, n AS (SELECT url_hash, length('Title: ' || title || chr(10) || 'Text: ' || substr(content, 1, 500)) AS n FROM art),
+      t AS (SELECT *, CASE WHEN n % 17 = 0 THEN 'error: busy' WHEN n % 10 = 3 THEN 'json_error' ELSE 'ok' END AS _status FROM n)
+      SELECT url_hash, _status = 'ok' AS is_coffee_price, CASE WHEN _status = 'ok' THEN ['UP', 'DOWN', 'STABLE', 'MIXED', 'NONE'][n % 5 + 1] ELSE 'NONE' END AS direction,
+      CAST(CASE WHEN _status = 'ok' THEN n % 5 + 1 ELSE 5 END AS INTEGER) AS certainty, CAST(CASE WHEN n % 17 = 0 THEN 0 ELSE n END AS INTEGER) AS tokens_used, _status FROM t""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -26,17 +27,22 @@ def prompts(articles: DataFrame, template: str, text: str = "content", limit: in
     return articles.select("url_hash", filled.alias("prompt"))
 
 
-def call_model(rows: DataFrame, client: Client, at_once: int = 8) -> DataFrame:
-    """url_hash, raw, status, tokens_used: the client called on at most at_once partitions at a time."""
+def call_model(rows: DataFrame, client: Client, at_once: int = 8, attempts: int = 1, wait: float = 0.5) -> DataFrame:
+    """url_hash, raw, status, tokens_used: the client called on at most at_once partitions at a time; a failed call is tried again after a pause that doubles."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for key, prompt in zip(batch.url_hash, batch.prompt):
-                try:
-                    raw, used = client(prompt)
-                    out.append((key, raw, "ok", used))
-                except Exception as e:
-                    out.append((key, None, f"error: {str(e)[:50]}", 0))
+                for attempt in range(attempts):
+                    try:
+                        raw, used = client(prompt)
+                        row = key, raw, "ok", used
+                        break
+                    except Exception as e:
+                        row = key, None, f"error: {str(e)[:50]}", 0
+                        if attempt + 1 < attempts:
+                            time.sleep(wait * 2**attempt)
+                out.append(row)
             yield pd.DataFrame(out, columns=["url_hash", "raw", "status", "tokens_used"])
 
     return rows.repartition(at_once).mapInPandas(run, RESULT)

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import importlib
+import json
+import time
+import zlib
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
 from ..functions.cleaning import printed_date
 from ..functions.text import url_domain
@@ -68,3 +76,108 @@ def suggestions(seeds: DataFrame, client: Callable[[str], list[str]]) -> DataFra
             yield pd.DataFrame({"suggestion": [s for seed in batch.seed for s in client(seed)]}, dtype=object)
 
     return seeds.select("seed").mapInPandas(run, "suggestion string").distinct()
+
+
+@dataclass
+class Asked(InputPartition):
+    """The queries of one day that go out under one key."""
+
+    day: dt.date
+    key: int
+    queries: list[str]
+
+
+class SearchReader(DataSourceReader):
+    """Plans a partition a (day, key) and asks the service in it."""
+
+    def __init__(self, options: dict[str, str]):
+        self.options = dict(options)
+        self.keys = json.loads(options["keys"])
+        self.attempts, self.wait = int(options.get("attempts", 3)), float(options.get("wait", 0.5))
+        if not self.keys or self.attempts < 1:
+            raise ValueError("a search needs access keys and at least one attempt")
+
+    def partitions(self) -> list[Asked]:
+        first, last = (dt.date.fromisoformat(self.options[k]) for k in ("first", "last"))
+        calls, asked, n = int(self.options.get("calls", 900)), [], 0
+        for k in range((last - first).days + 1):
+            day = first + dt.timedelta(k)
+            for template in json.loads(self.options["templates"]):
+                query = template.replace("{day}", str(day.day)).replace("{month}", str(day.month)).replace("{year}", str(day.year))
+                # The next key after `calls` queries, in turn.
+                key = n // calls % len(self.keys)
+                if not asked or (asked[-1].day, asked[-1].key) != (day, key):
+                    asked.append(Asked(day, key, []))
+                asked[-1].queries.append(query)
+                n += 1
+        return asked
+
+    def read(self, partition: Asked) -> Iterator[tuple]:
+        module, name = self.options["client"].split(":")
+        client: SearchClient = getattr(importlib.import_module(module), name)(self.options)
+        at = partition.key
+        for query in partition.queries:
+            code, results = 0, []
+            for attempt in range(self.attempts):
+                code, results = client(self.keys[at], query, str(partition.day))
+                if code not in REFUSED:
+                    break
+                # Refused: the next key, after a pause that doubles.
+                at = (at + 1) % len(self.keys)
+                if attempt + 1 < self.attempts:
+                    time.sleep(self.wait * 2**attempt)
+            if code in REFUSED or not results:
+                yield partition.day, query, code, None, None, None, None
+            else:
+                for r in results:
+                    yield partition.day, query, code, r.get("url"), r.get("title"), r.get("snippet"), r.get("date")
+
+
+class SearchSource(DataSource):
+    """spark.read.format("link_search"): a search service as a table of links, a row a result and one without a URL for a query that has none or was refused to the last.
+
+    Options: client ("module:factory", called with the options on the executors and giving a SearchClient), first and last (days), templates and keys (JSON lists; {day}, {month} and {year}
+    are filled in), calls (queries under a key before the next one is used), attempts and wait (seconds before a second attempt, doubled for each further one). A partition is a (day, key).
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "link_search"
+
+    def schema(self) -> str:
+        return "day date, query string, code int, url string, title string, snippet string, printed string"
+
+    def reader(self, schema: StructType) -> SearchReader:
+        return SearchReader(dict(self.options))
+
+
+def read_links(spark: SparkSession, client: str, first: str, last: str, templates: Sequence[str], keys: Sequence[str], **options) -> DataFrame:
+    spark.dataSource.register(SearchSource)
+    given = {"client": client, "first": first, "last": last, "templates": json.dumps(list(templates)), "keys": json.dumps(list(keys))}
+    return spark.read.format("link_search").options(**given, **{k: str(v) for k, v in options.items()}).load()
+
+
+def answers(options: dict[str, str]) -> SearchClient:
+    """The offline stand-in: answers that write_answers() stored in the folder `answers`; keys that the option `refused` (a JSON list) names are refused."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(options["answers"])
+    refused = json.loads(options.get("refused", "[]"))
+
+    def ask(key: str, query: str, day: str) -> tuple[int, list[dict]]:
+        if key in refused:
+            return 429, []
+        folder = fs.FileSelector(f"{root}/day={day}/slot={zlib.crc32(query.encode())}", allow_not_found=True)
+        found: list[dict] = []
+        for info in sorted(store.get_file_info(folder), key=lambda x: x.path):
+            if info.path.endswith(".json"):
+                with store.open_input_stream(info.path) as f:
+                    found += [json.loads(line) for line in f.read().decode().splitlines()]
+        return 200, [r for r in found if r["query"] == query]
+
+    return ask
+
+
+def write_answers(found: DataFrame, path: str) -> None:
+    """Store results (day, query, url, title, snippet, date) where answers() finds those of a query."""
+    found.withColumn("slot", F.crc32(F.col("query").cast("binary"))).write.partitionBy("day", "slot").json(path)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import exists
+
 
 def by_target(df: DataFrame, path: str, kind: str = "parquet", key: str = "target") -> None:
     """A folder a target: rows of one target and a bounded number of rows a file."""
@@ -15,16 +17,7 @@ def by_target(df: DataFrame, path: str, kind: str = "parquet", key: str = "targe
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     """The table in a folder, if it is there."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder)
-    return spark.read.parquet(path) if there else None
-
-
-def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Append the rows whose keys are not stored yet."""
-    stored = _stored(df.sparkSession, path)
-    fresh = df.dropDuplicates(keys) if stored is None else df.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
-    fresh.write.mode("append").parquet(path)
+    return spark.read.parquet(path) if exists(spark, path) else None
 
 
 def report(df: DataFrame, path: str, line: Column | None = None) -> None:
@@ -34,11 +27,6 @@ def report(df: DataFrame, path: str, line: Column | None = None) -> None:
         df.select(line.alias("value")).write.mode("overwrite").text(f"{path}/text")
 
 
-def texts_by_path(df: DataFrame, path: str, name: str = "path", text: str = "text") -> None:
-    """Texts keyed by the path of their page, .txt for .html, as a table."""
-    df.select(F.regexp_replace(name, r"\.html$", ".txt").alias("path"), F.col(text).alias("text")).write.mode("overwrite").parquet(path)
-
-
 def resume(work: DataFrame, path: str, key: str, run: Callable[[DataFrame], DataFrame], batches: int = 10) -> None:
     """Run work that has no stored `ok` result, in batches by a hash of the key; each batch is stored before the next starts."""
     for k in range(batches):

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import math
+import os
+from html.parser import HTMLParser
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -10,8 +12,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import cleaning as C
 from sparkloom.functions import text as X
+from sparkloom.functions.html import visible_text
 from sparkloom.functions.lexicon import COFFEE_BODY, COFFEE_TITLE, PROSE
-from sparkloom.sources.readers import visible_text
 
 
 def one(spark, *columns, **values):
@@ -120,6 +122,50 @@ def test_consistency(spark):
     assert [one(spark, X.consistency(F.lit(d), F.lit(c).cast("int")))[0] for d, c, _ in cases] == [w for *_, w in cases]
 
 
-def test_visible_text():
-    assert visible_text("<head><title>t</title></head><p>a  b</p><script>x</script>c<br>d &amp; e") == "a b\nc\nd & e"
-    assert visible_text(None) == "" and visible_text("<p>open") == "open"
+class Visible(HTMLParser):
+    HIDDEN = {"script", "style", "head", "title", "noscript", "template"}
+    BREAKS = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "table", "ul", "ol", "blockquote", "pre"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.parts: list[str] = []
+        self.hidden = 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in self.HIDDEN
+        if tag in self.BREAKS:
+            self.parts.append("\n")
+
+    def handle_endtag(self, tag):
+        if tag in self.HIDDEN and self.hidden:
+            self.hidden -= 1
+        if tag in self.BREAKS:
+            self.parts.append("\n")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.parts.append(data)
+
+
+def read_text(html: str | None) -> str:
+    if not html:
+        return ""
+    parser = Visible()
+    parser.feed(html)
+    parser.close()
+    lines = (" ".join(x.split()) for x in "".join(parser.parts).split("\n"))
+    return "\n".join(x for x in lines if x)
+
+
+def test_visible_text_equals_a_parser(spark):
+    d = "/root/testdata/sf0.01/pages.parquet"
+    html = [r.html for r in spark.read.parquet(d).collect()] if os.path.isdir(os.path.dirname(d)) else []
+    html += [
+        None, "", "plain  text", "<p>open", "<head><title>t</title></head><p>a  b</p><script>x</script>c<br>d &amp; e", "a<!-- <p>hidden</p> -->b", "x<script>if (a<b) '<!--'</script>y<style>p{}",
+        "<STYLE>a</STYLE><DIV>Up</DIV>down<li>one<li>two", "&#8364;&#x20AC; &euro; &eacute;t&Eacute; &lt;p&gt; &nosuch; &amp &copy x & y &", "<p>a&nbsp;b\u3000c\x0bd</p>\n\n <p> </p>", "<noscript>n</noscript><template><p>t</p></template>z",
+        "<header>keeps</header><bold>this</bold>", "5 < 6 and 7 > 3", "<p " + "x='1' " * 30_000 + ">long", "<div>" * 50_000 + "deep" + "&amp;" * 20_000]
+    rows = spark.createDataFrame(list(enumerate(html)), "i int, html string").select("i", visible_text(F.col("html")).alias("t")).collect()
+    assert {r.i: r.t for r in rows} == {i: read_text(h) for i, h in enumerate(html)}
+    edge = ["&#0;&#xD800;&#1114112;", "<!doctype html>a<?php x ?>b", "a<p", "a<!-- open <b>", "<title>never closed", '<a title="1 > 0">link</a>']
+    got = spark.createDataFrame(list(enumerate(edge)), "i int, html string").orderBy("i").select(visible_text(F.col("html")).alias("t")).collect()
+    assert [r.t for r in got] == ["\ufffd\ufffd\ufffd", "ab", "a", "a", "", '0">link']
