@@ -38,31 +38,43 @@ class Lexicon:
     change_cap: float = 20_000
 
 
-# Fixed values of the coffee-price domain: they decide what is counted.
+#: Flags of the published patterns that ignore case: with Unicode letters, digits and word bounds.
+ANY_CASE = "(?iU)"
+
+# Fixed values of the coffee-price domain, as published; each pattern stands with the flags that it is used with.
 COFFEE_TITLE = Lexicon(
-    up=any_of(r"\btăng\b", "tăng vọt", "cao hơn"),
-    down=any_of(r"\bgiảm\b", "sụt", "lao dốc"),
-    stable=any_of("ổn định", "đi ngang", "giữ nguyên"),
-    flat=any_of("đi ngang"), recover=any_of("phục hồi"), slump=any_of("sụt", "lao dốc"),
-    noise=any_of("mua ngay", "đặt hàng online", r"hotline.*:\s*\d"),
-    place=any_of(r"đắk\s*lắk", r"tây\s*nguyên"),
-    price=r"(?iU)\b(\d{2,3}[.,]\d{3})\s*(?:đồng|VNĐ|VND|đ/kg|đồng/kg)",
-    change=r"(?iU)(?:tăng|giảm)\s+(\d{1,3}[.,]\d{3})\s*(?:đồng|VNĐ|đ)?",
+    up=ANY_CASE + r"\btăng\b|tăng vọt|cao hơn",
+    down=ANY_CASE + r"\bgiảm\b|sụt|lao dốc",
+    stable=ANY_CASE + r"ổn định|đi ngang|giữ nguyên",
+    flat=ANY_CASE + r"đi ngang",
+    recover=ANY_CASE + r"phục hồi",
+    slump=ANY_CASE + r"sụt|lao dốc",
+    noise=ANY_CASE + r"mua ngay|đặt hàng online|hotline.*:\s*\d",
+    # Place names have the case that they are written with.
+    place="(?U)" + r"[Đđ]ắk\s*[Ll]ắk" + "|" + r"[Tt]ây\s*[Nn]guyên",
+    price=ANY_CASE + r"\b(\d{2,3}[.,]\d{3})\s*(?:đồng|VNĐ|VND|đ/kg|đồng/kg)",
+    change=ANY_CASE + r"(?:tăng|giảm)\s+(\d{1,3}[.,]\d{3})\s*(?:đồng|VNĐ|đ)?",
     high_terms=("giá cà phê", "cà phê robusta", "cà phê arabica", "đồng/kg"),
     medium_terms=("cà phê", "robusta", "arabica"),
-    low_terms=("tăng", "giảm", "ổn định", "đi ngang", "đắk lắk", "lâm đồng", "tây nguyên", "gia lai", "đắk nông", "thị trường", "xuất khẩu"),
-    paragraph_price=r"(?iU)\d{2,3}[.,]\d{3}\s*(?:đồng|VNĐ|VND|đ/kg|đồng/kg)",
-    split_price=r"(?iU)\b(\d{2,3})[.,](\d{3})\s*(?:đồng|VNĐ|VND|đ/kg|đồng/kg)",
-    paragraph_noise=any_of(
-        "hotline", r"thời tiết.{0,5}\d+°", "VNI:", "HNX:", "UPCOM", "VN30:", "đóng cửa", "xem thêm", "bình luận", "đăng nhập", "đăng ký",
-        "quảng cáo", "google play", "app store", "trang chủ", "liên hệ chúng tôi", "bản quyền", "copyright", "cookie", "chính sách bảo mật",
-        "youtube", "facebook", "twitter", "instagram", "tiktok", "tin cùng chuyên mục", "tin liên quan", "bài viết khác", "đọc thêm", "tags?:",
-        "theo dõi chúng tôi", "tải ứng dụng", r"VOV\d", "nhảy đến nội dung"),
+    low_terms=("tăng", "giảm", "ổn định", "đi ngang", "Đắk Lắk", "Lâm Đồng", "Tây Nguyên", "Gia Lai", "Đắk Nông", "thị trường", "xuất khẩu"),
+    paragraph_price=ANY_CASE + r"\d{2,3}[.,]\d{3}\s*(?:đồng|VNĐ|VND|đ/kg|đồng/kg)",
+    split_price=ANY_CASE + r"\b(\d{2,3})[.,](\d{3})\s*(?:đồng|VNĐ|VND|đ/kg|đồng/kg)",
+    paragraph_noise=ANY_CASE + (
+        r"hotline|thời tiết.{0,5}\d+°|VNI:|HNX:|UPCOM|VN30:|đóng cửa|xem thêm|bình luận|đăng nhập|đăng ký|quảng cáo|google play|app store|trang chủ|liên hệ chúng tôi|"
+        r"bản quyền|copyright|cookie|chính sách bảo mật|youtube|facebook|twitter|instagram|tiktok|tin cùng chuyên mục|tin liên quan|bài viết khác|đọc thêm|tags?:|"
+        r"theo dõi chúng tôi|tải ứng dụng|VOV\d|nhảy đến nội dung"),
 )
 COFFEE_BODY = Lexicon(
-    up=any_word("tăng"), down=any_word("giảm"), stable=any_of("ổn định"), flat=any_of("đi ngang"), recover=any_of("phục hồi"),
-    slump=any_of("sụt", "lao dốc"), noise=COFFEE_TITLE.noise, place=COFFEE_TITLE.place,
-    price=r"(?iU)\b(\d{2,3}[.,]\d{3})\s*(?:đồng|VNĐ|VND|vnđ)", change=COFFEE_TITLE.change,
+    up=ANY_CASE + r"\btăng\b",
+    down=ANY_CASE + r"\bgiảm\b",
+    stable=ANY_CASE + r"ổn định",
+    flat=ANY_CASE + r"đi ngang",
+    recover=ANY_CASE + r"phục hồi",
+    slump=ANY_CASE + r"sụt|lao dốc",
+    noise=COFFEE_TITLE.noise,
+    place=COFFEE_TITLE.place,
+    price=ANY_CASE + r"\b(\d{2,3}[.,]\d{3})\s*(?:đồng|VNĐ|VND|vnđ)",
+    change=COFFEE_TITLE.change,
 )
 RELEVANT = ("coffee", "caffeine", "espresso", "latte", "cappuccino", "cà phê", "robusta", "arabica")
 

@@ -64,18 +64,23 @@ def text_daily(articles: DataFrame, digits: int = 6) -> DataFrame:
         "dir_score_ts_d": _r(u - v, digits), "dir_entropy_d": _r(entropy(u, v, w), digits)}).drop("u", "v", "w")
 
 
-def mention_daily(facts: DataFrame, first: str, last: str, by_target: bool = True, digits: int = 6) -> DataFrame:
-    """Every day of a calendar, from extracted facts: direction, price, price_change, certainty, relevant.
+def mention_daily(facts: DataFrame, first: str | None = None, last: str | None = None, by_target: bool = True, digits: int = 6) -> DataFrame:
+    """Every day of a calendar, by default from the first to the last day of the facts, from extracted facts: direction, price, price_change, certainty, relevant.
 
     Shares are among the relevant rows, articles and sources among all; a day without relevant rows has shares of 0 and
     null prices, changes and certainties. Not by_target pools all rows, those without a target included.
     """
-    facts = facts.filter(F.col("date").between(F.to_date(F.lit(first)), F.to_date(F.lit(last))))
+    ends = facts.agg(F.coalesce(F.to_date(F.lit(first)), F.min("date")).alias("_first"), F.coalesce(F.to_date(F.lit(last)), F.max("date")).alias("_last"))  # one row
+    if first is not None:
+        facts = facts.filter(F.col("date") >= F.to_date(F.lit(first)))
+    if last is not None:
+        facts = facts.filter(F.col("date") <= F.to_date(F.lit(last)))
+    facts = facts.filter("date is not null")
     if by_target:
         facts = facts.filter("target is not null")
-        keys, days = ["target", "date"], spine(facts.select("target").distinct(), first, last)
+        keys, days = ["target", "date"], spine(facts.select("target").distinct(), ends)
     else:
-        keys, days = ["date"], spine(facts.sparkSession.range(1).select(), first, last)
+        keys, days = ["date"], spine(facts.sparkSession.range(1).select(), ends)
     rel = lambda c: F.when(F.col("relevant"), c)
     count = lambda c: F.count_if(F.col("relevant") & c)
     price = rel(F.col("price"))

@@ -69,6 +69,7 @@ def average_ranks(df: DataFrame, column: str, name: str, keys: Sequence[str] = (
     return df.join(ranks, same, "left").select(*df.columns, name)
 
 
-def spine(df: DataFrame, first: str, last: str, column: str = "date") -> DataFrame:
-    """Every day from first to last, once for each row of df."""
-    return df.select("*", F.explode(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last)), F.expr("interval 1 day"))).alias(column))
+def spine(df: DataFrame, ends: DataFrame, column: str = "date") -> DataFrame:
+    """Every day from _first to _last, of the one row of ends, once for each row of df."""
+    days = F.sequence("_first", "_last", F.expr("interval 1 day"))
+    return df.crossJoin(F.broadcast(ends)).withColumn(column, F.explode(days)).drop("_first", "_last")

@@ -9,9 +9,6 @@ from ..functions import text as X
 from ..functions.lexicon import PROSE
 from ..sources.readers import table
 
-FIRST, LAST = "2024-01-01", "2024-01-31"
-
-
 def articles(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").select("doc_id", "lang", "source", "text")
     content = X.text_or_empty(F.col("text"))
@@ -134,11 +131,34 @@ BARS = """bars AS (SELECT CAST(l_shipdate AS DATE) AS date, min(l_extendedprice)
 
 
 def mention_prices(spark: SparkSession, d: str) -> DataFrame:
-    """A price for each day of the events, next-day returns included: order days moved onto them in order."""
-    w = Window.orderBy("date")
-    p = prices(spark, d).withColumn("n", F.row_number().over(w)).filter("n <= 31")
-    return p.select(F.date_add(F.lit(FIRST).cast("date"), F.col("n") - 1).alias("date"), "price")
+    """A price a day from the first day of the events on: the days of the orders moved onto the calendar in order."""
+    first = table(spark, d, "events").agg(F.min(F.to_date("ts")).alias("first"))  # one row
+    p = prices(spark, d).withColumn("n", F.row_number().over(Window.orderBy("date")))
+    return p.crossJoin(F.broadcast(first)).select(F.date_add("first", F.col("n") - 1).alias("date"), "price")
+
+
+MENTION_PRICES = PRICES + """,
+mpx AS (SELECT (SELECT min(CAST(ts AS DATE)) FROM events) + CAST(n - 1 AS INTEGER) AS date, price FROM (SELECT *, row_number() OVER (ORDER BY date) AS n FROM px))"""
+
+
+#: Paragraphs of made-up coffee news, with the domain's words in several cases, places that are spelt as names and not, prices, and lines that are noise.
+PARAGRAPHS = (
+    "Giá cà phê hôm nay tăng vọt, thị trường ổn định hơn tuần trước", "Tại Đắk Lắk giá cà phê robusta giảm nhẹ so với hôm qua", "ĐẮK LẮK VÀ TÂY NGUYÊN: NÔNG DÂN GIỮ HÀNG CHỜ GIÁ", "Cà phê Arabica đi ngang, giữ nguyên mức cũ",
+    "Giá TĂNG mạnh, Tăng thêm 1.200 đồng rồi lại giảm 300 đồng mỗi ký", "Robusta phục hồi sau khi sụt sâu, xuất khẩu cao hơn", "Hotline đặt hàng: 0900 và mua ngay hôm nay để nhận ưu đãi", "Thu mua ở mức 57.600 đồng/kg tại Tây Nguyên, có nơi 58,100 VND",
+    "Xem thêm tin liên quan và bình luận của bạn đọc ở cuối trang", "Lao dốc trên sàn London, thị trường tăng giảm thất thường và chưa ổn định", "đắk lắk và lâm đồng được mùa, gia lai mất mùa vì mưa", "Ngắn quá", "Tây  nguyên vào vụ, Đắk\u00a0Lắk cũng vậy, người dân phấn khởi",
+)
+
+
+def coffee_articles(spark: SparkSession, d: str) -> DataFrame:
+    """Articles of the domain's language, put together from PARAGRAPHS by the keys of the parts: p_partkey, title, content."""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    lines = F.array(*(F.lit(x) for x in PARAGRAPHS))
+    picked = F.transform(F.sequence(F.lit(0), (k % 7).cast("int")), lambda j: F.get(lines, ((k * (j + 3) + z * j + j * j) % len(PARAGRAPHS)).cast("int")))
+    content = F.array_join(picked, "\n")
+    return table(spark, d, "part").select("p_partkey", X.first_line(content).alias("title"), content.alias("content"))
 
 
-MENTION_PRICES = PRICES + f""",
-mpx AS (SELECT DATE '{FIRST}' + CAST(n - 1 AS INTEGER) AS date, price FROM (SELECT *, row_number() OVER (ORDER BY date) AS n FROM px) WHERE n <= 31)"""
+COFFEE = f"""
+cl AS (SELECT p_partkey, list_transform(range(0, p_partkey % 7 + 1), lambda j: [{", ".join(f"'{x}'" for x in PARAGRAPHS)}][(p_partkey * (j + 3) + p_size * j + j * j) % {len(PARAGRAPHS)} + 1]) AS ps FROM part),
+ca AS (SELECT p_partkey, ps, ps[1] AS title, array_to_string(ps, chr(10)) AS content FROM cl),
+cw AS (SELECT *, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+') AS w, regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+') AS tw FROM ca)"""

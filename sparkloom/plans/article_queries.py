@@ -12,7 +12,7 @@ from ..functions.lexicon import COFFEE_BODY, COFFEE_TITLE, PROSE
 from ..operators import relational as R
 from ..operators import signals as S
 from ..operators.stats import unpivoted
-from ..sources.extract import by_rules, parsed
+from ..sources.extract import by_rules, parsed, prompts
 from ..sources.readers import table
 from . import adapters as A
 
@@ -221,9 +221,36 @@ def facts_by_key(s: SparkSession, d: str) -> DataFrame:
     return R.join_on(a, facts, {"url_hash": "article_hash"})
 
 
+def coffee_features(s: SparkSession, d: str) -> DataFrame:
+    """The domain's own words on articles of its language: counts in bodies, flags of titles, places as names are written, noise, prices and scores."""
+    c, t, body, head = F.col("content"), F.col("title"), COFFEE_BODY, COFFEE_TITLE
+    counts = {f"n_{n}": X.hits(c, getattr(body, n)) for n in ("up", "down", "stable", "flat", "recover", "slump")}
+    a = A.coffee_articles(s, d).withColumns(counts)
+    prices = X.numbers(c, body.price, body.price_low, body.price_high)
+    return a.select(
+        "p_partkey", *counts, X.flag(t, head.up).alias("title_up"), X.flag(t, head.down).alias("title_down"), X.flag(t, head.stable).alias("title_stable"), X.flag(c, body.place).alias("has_place"),
+        X.flag(c, body.noise).alias("has_noise"), X.array_median(prices).alias("price"), F.round(X.array_mean(X.numbers(c, body.change, below=body.change_cap)), 6).alias("change_mean"),
+        F.round(X.direction_score(F.col("n_up") + F.col("n_recover"), F.col("n_down") + F.col("n_slump")), 6).alias("dir_score"), F.round(X.body_direction(c, body), 6).alias("body_dir_score"))
+
+
+def coffee_truncate(s: SparkSession, d: str) -> DataFrame:
+    """The paragraphs of those articles that the domain's terms score best."""
+    return A.coffee_articles(s, d).select("p_partkey", X.smart_truncate(F.col("content"), COFFEE_TITLE, budget=150, tail=20).alias("kept"))
+
+
+def model_prompts(s: SparkSession, d: str) -> DataFrame:
+    """Titles and the beginning of texts in a prompt's template."""
+    return prompts(A.articles(s, d), "[{title}] {content} <end>", limit=120)
+
+
+def masked_keys(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "customer").select("c_custkey", X.masked_key(F.col("c_name")).alias("masked"))
+
+
 QUERIES = {f.__name__: f for f in (
     seeded_per_domain, snippet_prices, text_flags, facts_by_key, article_features, article_prices, rule_extraction, link_dedup, link_merge, resume_pending, link_content_join, two_versions_join, keyword_rates, ngram_top, smart_truncate,
-    bin_fixed, describe_pct, crosstab_margins, top_domains, json_extract, extraction_status, consistency, date_mismatch, band_filter, url_parts, date_parse, query_grid, html_pages, seeded_sample)}
+    bin_fixed, describe_pct, crosstab_margins, top_domains, json_extract, extraction_status, consistency, date_mismatch, band_filter, url_parts, date_parse, query_grid, html_pages, seeded_sample,
+    coffee_features, coffee_truncate, model_prompts, masked_keys)}
 
 _PRICED = r"""
 pr AS (SELECT p_partkey, 'Giá ' || (p_partkey % 300) || '.' || lpad(CAST(p_size * 17 % 1000 AS VARCHAR), 3, '0') || ' đồng, ' || (p_partkey % 300 + 5) || ',' || lpad(CAST(p_size * 29 % 1000 AS VARCHAR), 3, '0')
@@ -306,3 +333,28 @@ SQL["two_versions_join"] = f"""SELECT p.date, p.n_articles, o.n_articles AS n_ar
 
 SQL["html_pages"] = rf"""WITH t AS (SELECT page_id, {H.visible_text_sql("html")} AS text FROM pages)
   SELECT page_id, text, length(text) >= 200 AND list_contains(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}\p{{M}}_]+'), 'the') AS kept FROM t"""
+
+_TOLD = lambda words, of="w": " + ".join(f"len(list_filter({of}, lambda x: x = '{x}'))" for x in words)
+_SEEN = lambda parts, of="content": " OR ".join(f"contains(lower({of}), '{x}')" for x in parts)
+_TIMES = lambda parts: " + ".join(f"(len(lower(content)) - len(replace(lower(content), '{x}', ''))) // {len(x)}" for x in parts)
+SQL["coffee_features"] = rf"""WITH {A.COFFEE}, x AS (SELECT *, CAST({_TOLD(["tăng"])} AS INTEGER) AS n_up, CAST({_TOLD(["giảm"])} AS INTEGER) AS n_down, CAST({_TIMES(["ổn định"])} AS INTEGER) AS n_stable,
+  CAST({_TIMES(["đi ngang"])} AS INTEGER) AS n_flat, CAST({_TIMES(["phục hồi"])} AS INTEGER) AS n_recover, CAST({_TIMES(["sụt", "lao dốc"])} AS INTEGER) AS n_slump,
+  list_filter(list_transform(regexp_extract_all(content, '(?i)(\d{{2,3}}[.,]\d{{3}})[\s\p{{Z}}]*(?:đồng|VNĐ|VND|vnđ)', 1), lambda x: CAST(regexp_replace(x, '[.,]', '', 'g') AS DOUBLE)), lambda x: x BETWEEN 30000 AND 250000) AS p,
+  list_filter(list_transform(regexp_extract_all(content, '(?i)(?:tăng|giảm)[\s\p{{Z}}]+(\d{{1,3}}[.,]\d{{3}})', 1), lambda x: CAST(regexp_replace(x, '[.,]', '', 'g') AS DOUBLE)), lambda x: x < 20000) AS ch FROM cw)
+  SELECT p_partkey, n_up, n_down, n_stable, n_flat, n_recover, n_slump, list_contains(tw, 'tăng') OR {_SEEN(["tăng vọt", "cao hơn"], "title")} AS title_up, list_contains(tw, 'giảm') OR {_SEEN(["sụt", "lao dốc"], "title")} AS title_down,
+  {_SEEN(["ổn định", "đi ngang", "giữ nguyên"], "title")} AS title_stable,
+  regexp_matches(content, '(Đ|đ)ắk[\s\p{{Z}}]*(L|l)ắk') OR regexp_matches(content, '(T|t)ây[\s\p{{Z}}]*(N|n)guyên') AS has_place,
+  {_SEEN(["mua ngay", "đặt hàng online"])} OR regexp_matches(lower(content), 'hotline[^\n]*:[\s\p{{Z}}]*\d') AS has_noise, CAST(list_median(p) AS DOUBLE) AS price, round(list_avg(ch), 6) AS change_mean,
+  round(CAST(n_up + n_recover - n_down - n_slump AS DOUBLE) / (n_up + n_recover + n_down + n_slump + 1), 6) AS dir_score,
+  CASE WHEN length(content) >= 50 THEN round(CAST(n_up - n_down AS DOUBLE) / (n_up + n_down + 1), 6) END AS body_dir_score FROM x"""
+_COFFEE_SCORE = " + ".join(f"CASE WHEN contains(lower(p), '{t.lower()}') THEN {w} ELSE 0 END" for w, terms in ((3, COFFEE_TITLE.high_terms), (2, COFFEE_TITLE.medium_terms), (1, COFFEE_TITLE.low_terms)) for t in terms)
+SQL["coffee_truncate"] = rf"""WITH {A.COFFEE}, pa AS (SELECT p_partkey, i, ps[i] AS p FROM (SELECT p_partkey, ps, unnest(range(1, len(ps) + 1)) AS i FROM ca)),
+  sc AS (SELECT p_partkey, i, p, {_COFFEE_SCORE} + CASE WHEN regexp_matches(p, '(?i)\d{{2,3}}[.,]\d{{3}}\s*(?:đồng|VNĐ|VND|đ/kg|đồng/kg)') THEN 3 ELSE 0 END AS score FROM pa
+    WHERE length(p) > 20 AND NOT ({_SEEN(["hotline", "xem thêm", "bình luận", "tin liên quan"], "p")})),
+  cu AS (SELECT *, sum(length(p)) OVER (PARTITION BY p_partkey ORDER BY score DESC, i ROWS UNBOUNDED PRECEDING) - length(p) AS used FROM sc WHERE score > 0),
+  fs AS (SELECT *, min(CASE WHEN used + length(p) > 150 THEN used END) OVER (PARTITION BY p_partkey) AS over FROM cu),
+  pt AS (SELECT p_partkey, score, i, CASE WHEN used + length(p) <= 150 THEN p WHEN 150 - used > 20 THEN substr(p, 1, CAST(150 - used AS INTEGER)) END AS piece FROM fs WHERE over IS NULL OR used <= over),
+  jo AS (SELECT p_partkey, coalesce(string_agg(piece, chr(10) ORDER BY score DESC, i), '') AS kept FROM pt GROUP BY p_partkey)
+  SELECT p_partkey, CASE WHEN length(content) < 50 THEN content ELSE coalesce(kept, substr(content, 1, 150)) END AS kept FROM ca LEFT JOIN jo USING (p_partkey)"""
+SQL["model_prompts"] = f"WITH {A.ARTICLES} SELECT url_hash, '[' || title || '] ' || substr(content, 1, 120) || ' <end>' AS prompt FROM art"
+SQL["masked_keys"] = "SELECT c_custkey, left(c_name, 4) || '...' || right(c_name, 4) AS masked FROM customer"

@@ -27,11 +27,11 @@ def notebook_daily(s: SparkSession, d: str) -> DataFrame:
 
 
 def mention_daily(s: SparkSession, d: str) -> DataFrame:
-    return D.mention_daily(A.mentions(s, d), A.FIRST, A.LAST)
+    return D.mention_daily(A.mentions(s, d))
 
 
 def mention_daily_pooled(s: SparkSession, d: str) -> DataFrame:
-    return D.mention_daily(A.mentions(s, d), A.FIRST, A.LAST, by_target=False)
+    return D.mention_daily(A.mentions(s, d), by_target=False)
 
 
 def text_lag_roll(s: SparkSession, d: str) -> DataFrame:
@@ -123,7 +123,7 @@ m0 AS (SELECT {keys}, count(*) AS n_articles, count(*) FILTER (relevant) AS n_co
   median(price) FILTER (relevant) AS price_median, round(avg(price) FILTER (relevant), 6) AS price_mean, count(price) FILTER (relevant) AS n_price,
   round(CASE WHEN count(price) FILTER (relevant) >= 2 AND avg(price) FILTER (relevant) > 0 THEN stddev_samp(price) FILTER (relevant) / avg(price) FILTER (relevant) ELSE 0.0::DOUBLE END, 6) AS cv,
   median(price_change) FILTER (relevant) AS price_change_median, round(avg(certainty) FILTER (relevant), 6) AS certainty_mean,
-  round(avg(CAST(certainty <= 2 AS INTEGER)) FILTER (relevant), 6) AS high FROM men WHERE date BETWEEN DATE '{A.FIRST}' AND DATE '{A.LAST}' {where} GROUP BY {keys}),
+  round(avg(CAST(certainty <= 2 AS INTEGER)) FILTER (relevant), 6) AS high FROM men WHERE date IS NOT NULL {where} GROUP BY {keys}),
 days AS ({days}),
 m1 AS (SELECT days.*, coalesce(n_articles, 0) AS n_articles, coalesce(n_coffee, 0) AS n_coffee, coalesce(n_sources, 0) AS n_sources, n_UP, n_DOWN, n_STABLE, n_MIXED, n_price,
   price_median, price_mean, cv, price_change_median, certainty_mean, high FROM days LEFT JOIN m0 USING ({on})),
@@ -132,8 +132,8 @@ md AS (SELECT {keys}, n_articles, n_coffee, n_sources, round({up}, 6) AS pct_up,
   round({part('n_price')}, 6) AS pct_has_price, price_change_median, certainty_mean, coalesce(high, 0) AS pct_high_cert FROM m1)"""
 
 
-_CALENDAR = f"SELECT CAST(unnest(generate_series(DATE '{A.FIRST}', DATE '{A.LAST}', INTERVAL 1 DAY)) AS DATE) AS date"
-MENTION = _mention("target, date", "AND target IS NOT NULL", f"SELECT target, date FROM (SELECT DISTINCT target FROM men WHERE date BETWEEN DATE '{A.FIRST}' AND DATE '{A.LAST}'), ({_CALENDAR})", "target, date")
+_CALENDAR = "SELECT CAST(unnest(generate_series((SELECT min(date) FROM men), (SELECT max(date) FROM men), INTERVAL 1 DAY)) AS DATE) AS date"
+MENTION = _mention("target, date", "AND target IS NOT NULL", f"SELECT target, date FROM (SELECT DISTINCT target FROM men WHERE date IS NOT NULL AND target IS NOT NULL), ({_CALENDAR})", "target, date")
 POOLED = _mention("date", "", _CALENDAR, "date")
 
 _SH = lambda x: f"coalesce(count(*) FILTER (direction = '{x}') / CAST(nullif(count(direction), 0) AS DOUBLE), 0)"

@@ -14,6 +14,9 @@ from ..operators import rules as U
 from ..operators import signals as S
 from ..operators import stats as T
 from ..operators import windows as W
+from ..operators.numbering import numbered
+from ..operators.quantiles import exact_quantiles
+from ..sources.readers import table
 from ..sources.scratch import scratch_path
 from . import adapters as A
 from .daily_queries import MENTION, POOLED, SQL as DAILY_SQL, mention_daily, mention_daily_pooled, notebook_daily
@@ -73,7 +76,7 @@ def _joined(s: SparkSession, d: str) -> DataFrame:
 
 def feature_price_join(s: SparkSession, d: str) -> DataFrame:
     """Trading days drive: features are left-joined to the prices, missing ones filled by medians."""
-    f = mention_daily_pooled(s, d).filter("dayofmonth(date) % 4 <> 0").select("date", "dir_score", "certainty_mean")
+    f = mention_daily_pooled(s, d).select("date", "dir_score", "certainty_mean")
     out = R.fill_medians(A.mention_prices(s, d).join(f, "date", "left"), ("dir_score", "certainty_mean"))
     return out.select("date", "price", *(F.round(c, 6).alias(c) for c in ("dir_score", "certainty_mean")))
 
@@ -303,10 +306,56 @@ def spearman_p(s: SparkSession, d: str) -> DataFrame:
     return r.withColumn("p", F.round(T.p_value(T.pearson_t(F.col("rho"), F.col("n")), (F.col("n") - 2).cast("double")), 6))
 
 
+def model_rows(s: SparkSession, d: str) -> DataFrame:
+    """The rows of the models without a null, and the part that each belongs to."""
+    train, test, features = _split(s, d)
+    both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    return both.select("date", "part", "target_price", *(F.round(c, 6).alias(c) for c in features))
+
+
+def model_folds(s: SparkSession, d: str) -> DataFrame:
+    """Rows and ends of the training and the test part of each expanding fold."""
+    out = None
+    for k, parts in enumerate(M.expanding_folds(A.prices(s, d))):
+        for name, rows in zip(("train", "test"), parts):
+            one = rows.agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"), F.round(F.avg("price"), 4).alias("mean")).select(F.lit(k).alias("fold"), F.lit(name).alias("part"), "*")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def numbered_orders(s: SparkSession, d: str) -> DataFrame:
+    """Orders in order of price: their place among all and among those of their status."""
+    o = table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    order = [F.desc("o_totalprice"), F.col("o_orderkey")]
+    return numbered(numbered(o, order, name="place"), order, ["o_orderstatus"], "place_in_status").select("o_orderkey", "place", "place_in_status")
+
+
+def aligned_series(s: SparkSession, d: str) -> DataFrame:
+    """Two series side by side by position, whatever their dates."""
+    bars = numbered(A.bars(s, d).select("date", "close"), ["date"], name="place")
+    prices = numbered(A.prices(s, d).select(F.col("date").alias("price_date"), "price"), ["price_date"], name="place")
+    return bars.join(prices, "place")
+
+
+def order_ranks(s: SparkSession, d: str) -> DataFrame:
+    """Quantities with the mean rank of ties, among all lines and among those of their status."""
+    rows = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus", "l_quantity")
+    return W.average_ranks(W.average_ranks(rows, "l_quantity", "rank"), "l_quantity", "rank_in_status", ["l_linestatus"]).drop("l_quantity", "l_linestatus")
+
+
+def price_quantiles(s: SparkSession, d: str) -> DataFrame:
+    """Exact quantiles of all lines' prices."""
+    rows = table(s, d, "lineitem").select("l_extendedprice")
+    cut = exact_quantiles(rows, {str(p): ("l_extendedprice", p) for p in (0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0)}, held=1000)
+    each = F.array(*(F.struct(F.lit(float(p)).alias("share"), F.lit(v).cast("double").alias("price")) for p, v in cut.items()))
+    return s.range(1).select(F.explode(each).alias("c")).select("c.share", F.round("c.price", 6).alias("price"))
+
+
 QUERIES = {f.__name__: f for f in (
     price_returns, price_sma, ohlc_spread, top_moves, market_clean, feature_price_join, corr_rank, corr_p, lead_lag, best_feature, ols_line, spearman, welch, welch_p, signal_rates,
     bin_quantile, coverage_gaps, coverage_stats, itemsets, rules, top_price_rules, rule_features, model_metrics, directional_accuracy, model_linear, model_boosted,
-    model_boosted_leaves, model_importances, model_saved, price_reconstruction, pattern_rules, positive_variation, joinable_days, spearman_p)}
+    model_boosted_leaves, model_importances, model_saved, price_reconstruction, pattern_rules, positive_variation, joinable_days, spearman_p,
+    model_rows, model_folds, numbered_orders, aligned_series, order_ranks, price_quantiles)}
 
 _J = f"""jo AS (SELECT m.*, p.price, p.next_day_ret FROM md m JOIN (SELECT date, price, round(CASE WHEN price <> 0 THEN (lead(price) OVER (ORDER BY date) / price - 1) * 100 END, 6) AS next_day_ret FROM mpx) p USING (date))"""
 _JOINED = f"WITH {MENTION}, {A.MENTION_PRICES}, {_J}"
@@ -352,7 +401,7 @@ SQL = {
     "top_moves": f"""WITH {A.PRICES}, x AS (SELECT date, round(abs(price / lag(price) OVER (ORDER BY date) - 1) * 100, 6) AS abs_ret FROM px) SELECT * FROM x WHERE abs_ret IS NOT NULL ORDER BY abs_ret DESC, date LIMIT 10""",
     "market_clean": f"""WITH {A.BARS} SELECT date, CASE WHEN dayofyear(date) % 7 = 0 THEN 0 WHEN dayofyear(date) % 2 = 0 THEN floor(volume) / 4 * 1000 ELSE floor(volume) * 1000000 END AS volume,
       dayofyear(date) / 4.0::DOUBLE AS change, CAST(floor(close) AS DOUBLE) AS price FROM bars""",
-    "feature_price_join": f"""WITH {POOLED}, {A.MENTION_PRICES}, j AS (SELECT x.date, x.price, f.dir_score, f.certainty_mean FROM mpx x LEFT JOIN (SELECT * FROM md WHERE day(date) % 4 <> 0) f USING (date))
+    "feature_price_join": f"""WITH {POOLED}, {A.MENTION_PRICES}, j AS (SELECT x.date, x.price, f.dir_score, f.certainty_mean FROM mpx x LEFT JOIN md f USING (date))
       SELECT date, price, round(coalesce(dir_score, (SELECT median(dir_score) FROM j)), 6) AS dir_score, round(coalesce(certainty_mean, (SELECT median(certainty_mean) FROM j)), 6) AS certainty_mean FROM j""",
     "corr_rank": f"{_CORR} SELECT *, row_number() OVER (PARTITION BY target ORDER BY abs(r) DESC NULLS LAST, feature) AS place FROM cr",
     "lead_lag": f"""{_JOINED}, la AS (SELECT target, next_day_ret, {', '.join(f"CAST(lag({f}, {k}) OVER w AS DOUBLE) AS {f}_lag{k}" for f in FEATURES for k in (1, 2, 3))} FROM jo WINDOW w AS (PARTITION BY target ORDER BY date)),
@@ -416,3 +465,20 @@ _PEARSON = "CASE WHEN n > 2 AND abs({0}) < 1 THEN {0} * sqrt((n - 2) / (1 - {0}
 SQL["corr_p"] = _with_p(f"{_CORR} SELECT * FROM cr", _PEARSON.format("r"), "CASE WHEN n > 2 THEN CAST(n - 2 AS DOUBLE) END")
 SQL["welch_p"] = _with_p(SQL["welch"], "t", "df")
 SQL["spearman_p"] = _with_p(SQL["spearman"], _PEARSON.format("rho"), "CASE WHEN n > 2 THEN CAST(n - 2 AS DOUBLE) END", stars=False)
+
+_MODEL = f"""WITH {A.PRICES}, x AS (SELECT date, price, lag(price, 1) OVER w AS price_lag1, lag(price, 2) OVER w AS price_lag2, lag(price, 3) OVER w AS price_lag3, lead(price) OVER w AS target_price,
+  avg(price) OVER (ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS price_roll7 FROM px WINDOW w AS (ORDER BY date)),
+mi AS (SELECT * FROM x WHERE price_lag3 IS NOT NULL AND target_price IS NOT NULL)"""
+SQL["model_rows"] = f"""{_MODEL} SELECT date, CASE WHEN date <= DATE '1999-12-31' THEN 'train' ELSE 'test' END AS part, target_price, round(price, 6) AS price, round(price_lag1, 6) AS price_lag1,
+  round(price_lag2, 6) AS price_lag2, round(price_lag3, 6) AS price_lag3, round(price_roll7, 6) AS price_roll7 FROM mi"""
+SQL["model_folds"] = f"""WITH {A.PRICES}, p AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n, count(*) OVER () // 6 AS size FROM px),
+  f AS (SELECT p.*, CAST(k AS INTEGER) AS fold, n - (5 - k) * size AS start FROM p, range(0, 5) t(k)),
+  g AS (SELECT *, CASE WHEN i < start THEN 'train' ELSE 'test' END AS part FROM f WHERE i < start + size)
+  SELECT fold, part, count(*) AS n, min(date) AS first, max(date) AS last, round(avg(price), 4) AS mean FROM g GROUP BY fold, part"""
+SQL["numbered_orders"] = """SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place,
+  row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS place_in_status FROM orders"""
+SQL["aligned_series"] = f"""WITH {A.BARS}, {A.PRICES} SELECT place, b.date, close, p.date AS price_date, price FROM (SELECT *, row_number() OVER (ORDER BY date) AS place FROM bars) b
+  JOIN (SELECT *, row_number() OVER (ORDER BY date) AS place FROM px) p USING (place)"""
+SQL["order_ranks"] = """SELECT l_orderkey, l_linenumber, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0::DOUBLE AS rank,
+  rank() OVER (PARTITION BY l_linestatus ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_linestatus, l_quantity) - 1) / 2.0::DOUBLE AS rank_in_status FROM lineitem"""
+SQL["price_quantiles"] = "SELECT CAST(share AS DOUBLE) AS share, round(price, 6) AS price FROM (SELECT unnest([0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]) AS share, unnest(quantile_cont(l_extendedprice, [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0])) AS price FROM lineitem)"

@@ -69,7 +69,7 @@ def jsonl_discovered(s: SparkSession, d: str) -> DataFrame:
     path = scratch_path(s, "found")
     i = F.col("page_id")
     result = F.struct((i % 10).cast("int").alias("rank"), "url", F.lit("d").alias("domain"), F.concat(F.lit("t"), i.cast("string")).alias("title"))
-    groups = readers.table(s, d, "pages").groupBy((i % 7).alias("g")).agg(F.collect_list(result).alias("results"))
+    groups = readers.table(s, d, "pages").groupBy((i % 7).alias("g"), F.floor(i / 500)).agg(F.collect_list(result).alias("results"))
     groups.select(F.lit("2024-03-05").cast("date").alias("date"), F.concat(F.lit("q"), F.col("g").cast("string")).alias("query"), "results").write.json(path)
     return readers.discovered(s, path).select("date", "query", "rank", "url", "title")
 
@@ -177,7 +177,32 @@ def model_answers(s: SparkSession, d: str) -> DataFrame:
     return extract.parsed(got).select("url_hash", "is_coffee_price", "direction", "certainty", "tokens_used", "_status")
 
 
-QUERIES = {f.__name__: f for f in (csv_links, csv_by_target, csv_quoted, csv_split, jsonl_raw, jsonl_discovered, report_lines, appended, texts_beside_pages, stream_appended, search_source, suggested, model_answers)}
+def csv_blank_names(s: SparkSession, d: str) -> DataFrame:
+    """A CSV whose names stand between blanks."""
+    path = scratch_path(s, "blanks")
+    t = readers.table(s, d, "supplier").select(F.col("s_suppkey").alias(" Key"), F.col("s_name").alias("Name  "), F.col("s_acctbal").alias("  Balance "))
+    t.write.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    back = readers.trimmed_names(s.read.csv(path, header=True))
+    return back.select(F.col("Key").cast("long").alias("key"), F.col("Name").alias("name"), F.col("Balance").cast("double").alias("balance"))
+
+
+def html_tree(s: SparkSession, d: str) -> DataFrame:
+    """Pages as files below a folder, read with their paths and turned into text."""
+    path = scratch_path(s, "pages")
+    i = F.col("page_id").cast("string")
+    pages = readers.table(s, d, "pages").select(F.concat(F.lit("d"), F.substring(i, -1, 1), F.lit("/p"), i, F.lit(".html")).alias("path"), "html")
+    filetree.write_files(pages, path, text="html", kind=".html")
+    files = readers.html_files(s, path)
+    return files.select(F.substring_index("path", "/", -2).alias("path"), visible_text(F.col("html")).alias("text"))
+
+
+def model_cost(s: SparkSession, d: str) -> DataFrame:
+    """What the offline model's answers cost."""
+    c = extract.cost(model_answers(s, d), 0.5)
+    return c.select("n", "tokens", F.round("mean_tokens", 6).alias("mean_tokens"), F.round("cost", 6).alias("cost"))
+
+
+QUERIES = {f.__name__: f for f in (csv_links, csv_by_target, csv_quoted, csv_split, jsonl_raw, jsonl_discovered, report_lines, appended, texts_beside_pages, stream_appended, search_source, suggested, model_answers, csv_blank_names, html_tree, model_cost)}
 
 SQL = {
     "csv_links": f"""WITH {A.ARTICLES} SELECT url_hash, 'q,1' AS query_id, 'say "' || doc_id || '",' || chr(10) || 'end' AS title, CAST(date AS VARCHAR) AS published FROM art""",
@@ -201,3 +226,6 @@ SQL = {
       SELECT url_hash, _status = 'ok' AS is_coffee_price, CASE WHEN _status = 'ok' THEN ['UP', 'DOWN', 'STABLE', 'MIXED', 'NONE'][n % 5 + 1] ELSE 'NONE' END AS direction,
       CAST(CASE WHEN _status = 'ok' THEN n % 5 + 1 ELSE 5 END AS INTEGER) AS certainty, CAST(CASE WHEN n % 17 = 0 THEN 0 ELSE n END AS INTEGER) AS tokens_used, _status FROM t""",
 }
+SQL["csv_blank_names"] = "SELECT s_suppkey AS key, s_name AS name, s_acctbal AS balance FROM supplier"
+SQL["html_tree"] = f"SELECT 'd' || (page_id % 10) || '/p' || page_id || '.html' AS path, {visible_text_sql('html')} AS text FROM pages"
+SQL["model_cost"] = f"SELECT count(*) AS n, CAST(sum(tokens_used) AS BIGINT) AS tokens, round(avg(tokens_used), 6) AS mean_tokens, round(sum(tokens_used) * 0.5 / 1e6, 6) AS cost FROM ({SQL['model_answers']})"
