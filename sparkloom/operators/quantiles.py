@@ -70,7 +70,7 @@ def _value(column: str) -> Column:
 
 
 def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], held: int = HELD) -> dict[str, float | None]:
-    """name: exact linear quantile, for name: (column, share), as percentile() gives it; null and NaN are left out, no value gives None.
+    """name: exact linear quantile, for name: (column, share), the value at the place share * (n - 1), between two values in proportion; null and NaN are left out, no value gives None.
 
     Every value lies first in one bracket. While a bracket holds more than `held` values, a sketch of what it holds (bounded, merged by partial aggregation)
     proposes narrower ends, and counts of the rows below them, which are exact, decide whether the wanted ranks lie inside; so ranks are right whatever the sketch gives.
@@ -102,5 +102,5 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], held: i
     for r in two:
         b, (column, share) = brackets[names[r.i]], wanted[names[r.i]]
         at = share * (ends[column].n - 1)
-        out[names[r.i]] = r.a if b.first == b.last else (b.last - at) * r.a + (at - b.first) * r.b
+        out[names[r.i]] = r.a + (r.b - r.a) * (at - b.first)
     return out

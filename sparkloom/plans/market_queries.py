@@ -306,6 +306,15 @@ def spearman_p(s: SparkSession, d: str) -> DataFrame:
     return r.withColumn("p", F.round(T.p_value(T.pearson_t(F.col("rho"), F.col("n")), (F.col("n") - 2).cast("double")), 6))
 
 
+def model_ridge(s: SparkSession, d: str) -> DataFrame:
+    """Errors of ridge regression at the grid point that expanding folds choose."""
+    train, test, features = _split(s, d)
+    alpha, l1 = M.grid_search(train, features, "target_price", M.RIDGE_GRID)
+    b0, b, _ = M.fit_gram(train, features, "target_price", alpha, l1)
+    scored = test.select("date", "target_price", M.predicted(features, b0, b).alias("prediction"), F.lit(alpha).alias("alpha"))
+    return M.metrics(scored, "target_price", keys=("alpha",), digits=1)
+
+
 def model_rows(s: SparkSession, d: str) -> DataFrame:
     """The rows of the models without a null, and the part that each belongs to."""
     train, test, features = _split(s, d)
@@ -355,7 +364,7 @@ QUERIES = {f.__name__: f for f in (
     price_returns, price_sma, ohlc_spread, top_moves, market_clean, feature_price_join, corr_rank, corr_p, lead_lag, best_feature, ols_line, spearman, welch, welch_p, signal_rates,
     bin_quantile, coverage_gaps, coverage_stats, itemsets, rules, top_price_rules, rule_features, model_metrics, directional_accuracy, model_linear, model_boosted,
     model_boosted_leaves, model_importances, model_saved, price_reconstruction, pattern_rules, positive_variation, joinable_days, spearman_p,
-    model_rows, model_folds, numbered_orders, aligned_series, order_ranks, price_quantiles)}
+    model_ridge, model_rows, model_folds, numbered_orders, aligned_series, order_ranks, price_quantiles)}
 
 _J = f"""jo AS (SELECT m.*, p.price, p.next_day_ret FROM md m JOIN (SELECT date, price, round(CASE WHEN price <> 0 THEN (lead(price) OVER (ORDER BY date) / price - 1) * 100 END, 6) AS next_day_ret FROM mpx) p USING (date))"""
 _JOINED = f"WITH {MENTION}, {A.MENTION_PRICES}, {_J}"
@@ -482,3 +491,36 @@ SQL["aligned_series"] = f"""WITH {A.BARS}, {A.PRICES} SELECT place, b.date, clos
 SQL["order_ranks"] = """SELECT l_orderkey, l_linenumber, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0::DOUBLE AS rank,
   rank() OVER (PARTITION BY l_linestatus ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_linestatus, l_quantity) - 1) / 2.0::DOUBLE AS rank_in_status FROM lineitem"""
 SQL["price_quantiles"] = "SELECT CAST(share AS DOUBLE) AS share, round(price, 6) AS price FROM (SELECT unnest([0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]) AS share, unnest(quantile_cont(l_extendedprice, [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0])) AS price FROM lineitem)"
+
+
+def _ridge(alphas: tuple[float, ...], features: tuple[str, ...]) -> str:
+    """Residuals z.r of ridge regression for each (fold, alpha); fold 5 is fitted on all training rows.
+
+    By Gram-Schmidt on the standardised training rows and one row a feature that holds the root of alpha: each step takes a feature out of the later ones and out of the target.
+    """
+    k = range(1, len(features) + 1)
+    xs = ", ".join(f"x{i}" for i in k)
+    named = ", ".join(f"{f} AS x{i}" for i, f in enumerate(features, 1))
+    mean = lambda c: f"avg({c}) FILTER (kind = 'train') OVER f"
+    deviation = lambda c: f"coalesce(nullif(stddev_pop({c}) FILTER (kind = 'train') OVER f, 0), 1)"
+    steps, before = [], "z0"
+    for j in k:
+        taken = lambda c: f"{c} - x{j} * (sum({c} * x{j}) FILTER (kind <> 'test') OVER w / sum(x{j} * x{j}) FILTER (kind <> 'test') OVER w) AS {c}"  # noqa: B023, E731
+        later = "".join(f", {taken(f'x{i}')}" for i in k if i > j)
+        steps.append(f"z{j} AS (SELECT fold, alpha, kind, date, y, {taken('r')}{''.join(f', x{i}' for i in k if i <= j)}{later} FROM {before} WINDOW w AS (PARTITION BY fold, alpha))")
+        before = f"z{j}"
+    return f"""tr AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM mi WHERE date <= DATE '1999-12-31'),
+fo AS (SELECT CAST(k AS INTEGER) AS fold, CASE WHEN i < n - (5 - k) * (n // 6) THEN 'train' ELSE 'test' END AS kind, date, target_price AS y, {named} FROM tr, range(0, 5) t(k) WHERE i < n - (4 - k) * (n // 6)
+  UNION ALL SELECT 5, CASE WHEN date <= DATE '1999-12-31' THEN 'train' ELSE 'test' END, date, target_price, {', '.join(features)} FROM mi),
+st AS (SELECT fold, kind, date, y, y - {mean('y')} AS r, {', '.join(f'(x{i} - {mean(f"x{i}")}) / {deviation(f"x{i}")} AS x{i}' for i in k)} FROM fo WINDOW f AS (PARTITION BY fold)),
+al AS (SELECT unnest([{', '.join(f'CAST({a} AS DOUBLE)' for a in alphas)}]) AS alpha),
+z0 AS (SELECT fold, alpha, kind, date, y, r, {xs} FROM st, al UNION ALL
+  SELECT fold, alpha, 'size', NULL, NULL, 0, {', '.join(f"CASE WHEN j = {i} THEN sqrt(alpha) ELSE 0 END" for i in k)} FROM (SELECT DISTINCT fold FROM fo), al, range(1, {len(features) + 1}) t(j)),
+{", ".join(steps)}, z AS MATERIALIZED (SELECT fold, alpha, date, y, r FROM {before} WHERE kind = 'test')"""
+
+
+SQL["model_ridge"] = f"""{_MODEL}, {_ridge(tuple(a for a, _ in M.RIDGE_GRID), ("price", "price_lag1", "price_lag2", "price_lag3", "price_roll7"))},
+be AS (SELECT arg_min(alpha, e) AS alpha FROM (SELECT alpha, avg(e) AS e FROM (SELECT alpha, fold, avg(abs(r)) AS e FROM z WHERE fold < 5 GROUP BY 1, 2) GROUP BY 1)),
+h AS (SELECT alpha, y, r, lag(y) OVER (ORDER BY date) AS b FROM z JOIN be USING (alpha) WHERE fold = 5)
+SELECT alpha, count(*) AS n, round(avg(abs(r)), 1) AS mae, round(avg(r * r), 1) AS mse, round(sqrt(avg(r * r)), 1) AS rmse, round(1 - sum(r * r) / (var_pop(y) * count(*)), 1) AS r2,
+  round(avg(CASE WHEN b IS NOT NULL THEN CAST(sign(y - b) = sign(y - r - b) AS INTEGER) END), 1) AS da FROM h GROUP BY alpha"""

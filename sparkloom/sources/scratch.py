@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: dict[str, str] = {}
+_kept: set[str] = set()
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -29,7 +32,19 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/sparkloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's part of the shared folder, which goes when the driver ends."""
+    folder = f"{scratch_dir(spark)}/sparkloom/{spark.sparkContext.applicationId}"
+    if folder not in _kept:
+        _kept.add(folder)
+        atexit.register(_clear, spark.sparkContext._jvm, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def _clear(jvm, folder: str) -> None:
+    # The JVM may have gone before the driver's Python.
+    with contextlib.suppress(Exception):
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
