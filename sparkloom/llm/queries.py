@@ -24,7 +24,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.OP2_SQL, "op1_embeddings": embeddings.OP1_SQL, "op3_minhash": minhash.OP3_SQL, "op10_decontaminate": decontaminate.OP10_SQL,
-            "op11_licences": licences.op11_licences,
-        "op12_divergence": divergence.op12_divergence,
-        "op13_prefix_trie": prefixtrie.OP13_SQL}
+    return {
+        "op1_embeddings": embeddings.OP1_SQL,
+        "op2_mixing": mixing.OP2_SQL,
+        "op3_minhash": minhash.OP3_SQL,
+        "op10_decontaminate": decontaminate.OP10_SQL,
+        "op12_divergence": divergence.OP12_SQL,
+        "op13_prefix_trie": prefixtrie.OP13_SQL,
+    }

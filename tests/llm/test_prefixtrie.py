@@ -82,3 +82,11 @@ def test_trie_query_equals_its_sql(spark):
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{d}/conversations.parquet'")
     df = prefixtrie.op13_prefix_trie(spark, d)
     assert {tuple(r) for r in df.collect()} == set(con.execute(f"SELECT {', '.join(df.columns)} FROM ({prefixtrie.OP13_SQL})").fetchall())
+
+
+def test_queries_have_their_sql():
+    from sparkloom.llm import queries
+
+    sql = queries.oracle_sql()
+    assert set(sql) <= set(queries.queries()) and len(queries.queries()) == 13
+    assert all(isinstance(q, str) and "SELECT" in q for q in sql.values())
