@@ -75,10 +75,10 @@ def _joined(s: SparkSession, d: str) -> DataFrame:
 
 
 def feature_price_join(s: SparkSession, d: str) -> DataFrame:
-    """Trading days drive: features are left-joined to the prices, missing ones filled by medians."""
+    """Trading days drive: features are left-joined to the prices, missing ones filled by medians: the middle of two means of 6 places has 7."""
     f = mention_daily_pooled(s, d).select("date", "dir_score", "certainty_mean")
     out = R.fill_medians(A.mention_prices(s, d).join(f, "date", "left"), ("dir_score", "certainty_mean"))
-    return out.select("date", "price", *(F.round(c, 6).alias(c) for c in ("dir_score", "certainty_mean")))
+    return out.select("date", "price", *(F.round(c, 7).alias(c) for c in ("dir_score", "certainty_mean")))
 
 
 def corr_rank(s: SparkSession, d: str) -> DataFrame:
@@ -411,7 +411,7 @@ SQL = {
     "market_clean": f"""WITH {A.BARS} SELECT date, CASE WHEN dayofyear(date) % 7 = 0 THEN 0 WHEN dayofyear(date) % 2 = 0 THEN floor(volume) / 4 * 1000 ELSE floor(volume) * 1000000 END AS volume,
       dayofyear(date) / 4.0::DOUBLE AS change, CAST(floor(close) AS DOUBLE) AS price FROM bars""",
     "feature_price_join": f"""WITH {POOLED}, {A.MENTION_PRICES}, j AS (SELECT x.date, x.price, f.dir_score, f.certainty_mean FROM mpx x LEFT JOIN md f USING (date))
-      SELECT date, price, round(coalesce(dir_score, (SELECT median(dir_score) FROM j)), 6) AS dir_score, round(coalesce(certainty_mean, (SELECT median(certainty_mean) FROM j)), 6) AS certainty_mean FROM j""",
+      SELECT date, price, round(coalesce(dir_score, (SELECT median(dir_score) FROM j)), 7) AS dir_score, round(coalesce(certainty_mean, (SELECT median(certainty_mean) FROM j)), 7) AS certainty_mean FROM j""",
     "corr_rank": f"{_CORR} SELECT *, row_number() OVER (PARTITION BY target ORDER BY abs(r) DESC NULLS LAST, feature) AS place FROM cr",
     "lead_lag": f"""{_JOINED}, la AS (SELECT target, next_day_ret, {', '.join(f"CAST(lag({f}, {k}) OVER w AS DOUBLE) AS {f}_lag{k}" for f in FEATURES for k in (1, 2, 3))} FROM jo WINDOW w AS (PARTITION BY target ORDER BY date)),
       {_LONG.format(', '.join(_LAGGED), 'la', ', '.join(_LAGGED))}, cr AS (SELECT target, feature, round(corr(value, next_day_ret), 6) AS r FROM lg GROUP BY 1, 2 HAVING count(*) FILTER (next_day_ret IS NOT NULL) > 10)
