@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .numbering import running_total
+from .numbering import numbered, running_total
 
 
 def per_series(*keys: str, order: str = "date") -> WindowSpec:
@@ -51,6 +51,21 @@ def next_label(c: str, w: WindowSpec) -> Column:
     return F.when(F.lead(c).over(w) > F.col(c), "UP").otherwise("DOWN")
 
 
+def in_blocks(df: DataFrame, order: Sequence[str | Column], compute: Callable[[DataFrame, WindowSpec], DataFrame], back: int = 0, ahead: int = 0, block: int = 1 << 16) -> DataFrame:
+    """compute(rows, window) over one ordered series of any length, for expressions that look at most `back` rows back and `ahead` rows ahead.
+
+    Rows are numbered across range partitions and cut into blocks; each block gets copies of the last `back` rows before it and the first `ahead` rows after it, so what it computes for
+    its own rows is what one window over the whole series gives, and no task gets the series. order must part all rows. compute may add columns and must keep the rows; frames without an end at a side are not for this.
+    """
+    if not 0 <= max(back, ahead) <= block:
+        raise ValueError("back and ahead must not exceed a block")
+    at, inside = F.floor((F.col("_n") - 1) / block), F.pmod(F.col("_n") - 1, F.lit(block))
+    shares = F.array(at, F.when(inside >= block - back, at + 1), F.when(inside < ahead, at - 1))
+    rows = numbered(df, order, name="_n").withColumn("_home", at).withColumn("_block", F.explode(F.array_compact(shares)))
+    out = compute(rows, Window.partitionBy("_block").orderBy("_n"))
+    return out.filter("_block = _home").drop("_n", "_home", "_block")
+
+
 def value_ranks(counts: DataFrame, column: str, count: str = "count", keys: Sequence[str] = ()) -> DataFrame:
     """counts(keys, column, count) of distinct values with rank: the mean rank of a value's rows, from running totals of the counts."""
     return running_total(counts, count, [column], keys, "_before").withColumn("rank", F.col("_before") + (F.col(count) + 1) / 2).drop("_before")

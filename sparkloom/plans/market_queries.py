@@ -352,6 +352,18 @@ def order_ranks(s: SparkSession, d: str) -> DataFrame:
     return W.average_ranks(W.average_ranks(rows, "l_quantity", "rank"), "l_quantity", "rank_in_status", ["l_linestatus"]).drop("l_quantity", "l_linestatus")
 
 
+def long_series(s: SparkSession, d: str) -> DataFrame:
+    """Lags, rolling means and returns along all orders, one series of any length."""
+    rows = table(s, d, "orders").select("o_orderkey", "o_totalprice")
+
+    def compute(df: DataFrame, w: WindowSpec) -> DataFrame:
+        df = W.add_rolling(W.add_lags(df, ("o_totalprice",), w), ("o_totalprice",), w, n=7)
+        return df.withColumns({"next_ret": W.next_return("o_totalprice", w), "full_14": W.moving_average("o_totalprice", w, 14), "label": W.next_label("o_totalprice", w)})
+
+    out = W.in_blocks(rows, ["o_orderkey"], compute, back=13, ahead=1, block=4096)
+    return out.withColumns({c: F.round(c, 6) for c in ("o_totalprice_roll7", "next_ret", "full_14")})
+
+
 def price_quantiles(s: SparkSession, d: str) -> DataFrame:
     """Exact quantiles of all lines' prices."""
     rows = table(s, d, "lineitem").select("l_extendedprice")
@@ -364,7 +376,7 @@ QUERIES = {f.__name__: f for f in (
     price_returns, price_sma, ohlc_spread, top_moves, market_clean, feature_price_join, corr_rank, corr_p, lead_lag, best_feature, ols_line, spearman, welch, welch_p, signal_rates,
     bin_quantile, coverage_gaps, coverage_stats, itemsets, rules, top_price_rules, rule_features, model_metrics, directional_accuracy, model_linear, model_boosted,
     model_boosted_leaves, model_importances, model_saved, price_reconstruction, pattern_rules, positive_variation, joinable_days, spearman_p,
-    model_ridge, model_rows, model_folds, numbered_orders, aligned_series, order_ranks, price_quantiles)}
+    model_ridge, model_rows, model_folds, numbered_orders, aligned_series, order_ranks, price_quantiles, long_series)}
 
 _J = f"""jo AS (SELECT m.*, p.price, p.next_day_ret FROM md m JOIN (SELECT date, price, round(CASE WHEN price <> 0 THEN (lead(price) OVER (ORDER BY date) / price - 1) * 100 END, 6) AS next_day_ret FROM mpx) p USING (date))"""
 _JOINED = f"WITH {MENTION}, {A.MENTION_PRICES}, {_J}"
@@ -524,3 +536,8 @@ be AS (SELECT arg_min(alpha, e) AS alpha FROM (SELECT alpha, avg(e) AS e FROM (S
 h AS (SELECT alpha, y, r, lag(y) OVER (ORDER BY date) AS b FROM z JOIN be USING (alpha) WHERE fold = 5)
 SELECT alpha, count(*) AS n, round(avg(abs(r)), 1) AS mae, round(avg(r * r), 1) AS mse, round(sqrt(avg(r * r)), 1) AS rmse, round(1 - sum(r * r) / (var_pop(y) * count(*)), 1) AS r2,
   round(avg(CASE WHEN b IS NOT NULL THEN CAST(sign(y - b) = sign(y - r - b) AS INTEGER) END), 1) AS da FROM h GROUP BY alpha"""
+SQL["long_series"] = """SELECT o_orderkey, o_totalprice, lag(o_totalprice, 1) OVER w AS o_totalprice_lag1, lag(o_totalprice, 2) OVER w AS o_totalprice_lag2, lag(o_totalprice, 3) OVER w AS o_totalprice_lag3,
+  round(avg(o_totalprice) OVER (ORDER BY o_orderkey ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), 6) AS o_totalprice_roll7,
+  round(CASE WHEN o_totalprice <> 0 THEN (lead(o_totalprice) OVER w / o_totalprice - 1) * 100 END, 6) AS next_ret,
+  round(CASE WHEN count(o_totalprice) OVER f >= 14 THEN avg(o_totalprice) OVER f END, 6) AS full_14, CASE WHEN lead(o_totalprice) OVER w > o_totalprice THEN 'UP' ELSE 'DOWN' END AS label
+  FROM orders WINDOW w AS (ORDER BY o_orderkey), f AS (ORDER BY o_orderkey ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)"""

@@ -394,3 +394,18 @@ def test_itemsets_of_wide_rows(spark, monkeypatch, width, block):
                 want[tuple(names[k] for k in some)] = (n, n / len(held))
     assert len(want) > width / 10 and got == want
     assert U.itemsets(df.limit(0), names).collect() == []
+
+
+@pytest.mark.parametrize(("back", "ahead", "block"), [(3, 1, 3), (5, 2, 64), (0, 0, 10)])
+def test_blocks_of_a_series_equal_one_window(spark, back, ahead, block):
+    from pyspark.sql import Window
+
+    df = spark.range(200).selectExpr("cast((id * 37) % 211 as int) as i", "cast(id % 13 as double) as x").repartition(5)
+
+    def compute(rows, w):
+        return rows.withColumns({f"b{k}": F.lag("x", k).over(w) for k in range(1, back + 1)} | {f"a{k}": F.lead("x", k).over(w) for k in range(1, ahead + 1)} | {"m": F.avg("x").over(w.rowsBetween(-back, ahead))})
+
+    got = sorted(map(tuple, W.in_blocks(df, ["i"], compute, back, ahead, block).collect()))
+    assert got == sorted(map(tuple, compute(df, Window.orderBy("i")).collect()))
+    with pytest.raises(ValueError, match="exceed"):
+        W.in_blocks(df, ["i"], compute, block + 1, 0, block)
