@@ -5,74 +5,98 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pieces, read_table
+from .hashing import mixed
 
 #: Length of a hypervector.
 DIM = 1024
 GRAM = 3
-#: Letter classes: 0 for what is no letter, a-z, and the other letters dealt over 13.
-OTHERS = 13
-CLASSES = 27 + OTHERS
 #: At most about so many labelled rows are learned from, drawn by hash, of each language as many or all it has.
 TRAIN_ROWS = 20_000
 UNDETERMINED = "und"
+#: A worker keeps the vectors of so many n-grams (a byte a number), the first that it meets; those of others are made anew, and are the same.
+KEPT = 8192
 _SCALE = 1 << 20
+_SEED, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+_BITS = 21
+_LETTERS = np.array([c if chr(c).isalpha() else 0 for c in range(0x300)], np.int64)
 
 
-def _class_of(code: int) -> int:
-    letter = chr(code)
-    if not letter.isalpha():
-        return 0
-    return code - 96 if "a" <= letter <= "z" else 27 + code % OTHERS
-
-
-_KNOWN = np.array([_class_of(c) for c in range(0x300)], np.int64)
-
-
-def letter_classes(text: str) -> np.ndarray:
-    """Letter classes of the lower-cased text, runs of other characters as one 0, with 0 at both ends."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = _KNOWN[np.minimum(codes, 0x2FF)]
+def letters(text: str) -> np.ndarray:
+    """Code points of the letters of the lower-cased text, runs of other characters as one 0, with 0 at both ends."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    out = _LETTERS[np.minimum(codes, 0x2FF)]
     far = np.flatnonzero(codes >= 0x300)
     if len(far):
         some, at = np.unique(codes[far], return_inverse=True)
-        out[far] = np.array([_class_of(int(c)) for c in some])[at]
+        out[far] = np.array([c if chr(c).isalpha() else 0 for c in some.tolist()])[at]
     out = np.concatenate([[0], out, [0]])
     return out[np.concatenate([[True], (out[1:] != 0) | (out[:-1] != 0)])]
 
 
-_tables: list[tuple[np.ndarray, np.ndarray]] = []
+def letter_vectors(codes: np.ndarray) -> np.ndarray:
+    """The random vectors of letters, -1 and 1, drawn from their code points by a hash: every letter has its own."""
+    words = codes.astype(np.uint64)[:, None] * _STEP + np.arange(1, DIM // 64 + 1, dtype=np.uint64) * _SEED
+    bits = np.unpackbits(mixed(mixed(words)).astype("<u8").view(np.uint8), axis=1)
+    return bits.view(np.int8) * np.int8(2) - np.int8(1)
 
 
-def letter_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """A vector for every two letter classes that begin an n-gram, and one for every class that ends it.
+def gram_vectors(grams: np.ndarray) -> np.ndarray:
+    """The vectors of n-grams (packed code points): each letter's is rotated by its place, and they are multiplied."""
+    out = np.ones((len(grams), DIM), np.int8)
+    for k in range(GRAM):
+        some, at = np.unique(grams >> (_BITS * (GRAM - 1 - k)) & ((1 << _BITS) - 1), return_inverse=True)
+        out *= np.roll(letter_vectors(some), GRAM - 1 - k, 1)[at]
+    return out
 
-    Each letter's random vector is rotated by its place; the product of a beginning and an end is the vector of
-    the n-gram. A table of all n-grams would take 40 times as much of each worker.
-    """
-    if not _tables:
-        letters = np.random.default_rng(20240613).integers(0, 2, (CLASSES, DIM), np.int8) * np.int8(2) - np.int8(1)
-        a, b, c = (np.roll(letters, GRAM - 1 - k, 1) for k in range(GRAM))
-        _tables.append(((a[:, None] * b[None, :]).reshape(-1, DIM), c))
-    return _tables[0]
+
+class _Memory:
+    """Vectors of the first KEPT n-grams that a worker met: n-grams in order beside the places of their vectors."""
+
+    def __init__(self):
+        self.known, self.place = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.vectors = np.empty((KEPT, DIM), np.int8)
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        """The vectors of distinct n-grams in rising order."""
+        at = np.searchsorted(self.known, grams)
+        there = np.zeros(len(grams), bool)
+        inside = np.flatnonzero(at < len(self.known))
+        there[inside] = self.known[at[inside]] == grams[inside]
+        if there.all():
+            return self.vectors[self.place[at]]
+        out = np.empty((len(grams), DIM), np.int8)
+        out[there] = self.vectors[self.place[at[there]]]
+        missing = grams[~there]
+        out[~there] = made = gram_vectors(missing)
+        n = len(self.known)
+        new = missing[: KEPT - n]
+        if len(new):
+            self.vectors[n : n + len(new)] = made[: len(new)]
+            where = at[~there][: len(new)]
+            self.known, self.place = np.insert(self.known, where, new), np.insert(self.place, where, np.arange(n, n + len(new)))
+        return out
+
+
+_memory = _Memory()
 
 
 def profile(text: str | None) -> np.ndarray | None:
     """The document's bundle: the sum of its n-gram vectors. None without letters."""
-    x = letter_classes(text or "")
+    x = letters(text or "")
     if not x.any():
         return None
-    grams, counts = np.unique((x[:-2] * CLASSES + x[1:-1]) * CLASSES + x[2:], return_counts=True)
+    packed = np.zeros(len(x) - GRAM + 1, np.int64)
+    for k in range(GRAM):
+        packed = packed << _BITS | x[k : len(packed) + k]
+    grams, counts = np.unique(packed, return_counts=True)
     out = np.zeros(DIM, np.float32)
-    begins, ends = letter_vectors()
     for k in range(0, len(grams), 4096):
-        some = grams[k : k + 4096]
-        out += counts[k : k + 4096].astype(np.float32) @ (begins[some // CLASSES] * ends[some % CLASSES]).astype(np.float32)
+        out += counts[k : k + 4096].astype(np.float32) @ _memory.of(grams[k : k + 4096]).astype(np.float32)
     return out
 
 
