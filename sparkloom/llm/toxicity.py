@@ -27,6 +27,10 @@ PAIR_TERMS, PAIR_GAIN = 1024, 40.0
 PREFIXES = (4, 5, 6)
 FACTORS = 8
 EPOCHS = 30
+#: Linear weights are fitted alone in so many epochs first, from log-odds lowered by so many standard errors.
+LINEAR_EPOCHS, ERRORS = 10, 2.0
+#: A row loses a random share of its terms each time, half of them on average, so that a term must also tell without the others.
+DROP = 1.0
 THRESHOLD = 0.7
 
 _FOLD = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -76,14 +80,30 @@ class FactorizationMachine:
         at = self.places(found)
         return float(1 / (1 + np.exp(-np.clip(self.raw(at[None, :])[0], -40, 40))))
 
-    def fit(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 3e-5, batch: int = 128) -> None:
-        """Adaptive gradient descent on the logistic loss, in a seeded order."""
+    def start(self, rows: list[np.ndarray], labels: np.ndarray) -> None:
+        """Bias from the labels' shares; weights from each term's own log-odds, drawn to 0 by ERRORS standard errors."""
+        share = labels.mean() if len(labels) else 0.0
+        self.bias = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
+        size = len(self.held)
+        at = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
+        of = np.repeat(labels, [len(r) for r in rows])
+        yes = np.bincount(at, of, size) + 0.5
+        no = np.bincount(at, 1 - of, size) + 0.5
+        odds = np.log(yes / (labels.sum() + 1)) - np.log(no / ((1 - labels).sum() + 1))
+        self.weights[:size] = np.sign(odds) * np.maximum(np.abs(odds) - ERRORS * np.sqrt(1 / yes + 1 / no), 0)
+
+    def fit(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 3e-5, batch: int = 128,
+            linear: int = LINEAR_EPOCHS, drop: float = DROP) -> None:
+        """Adaptive gradient descent on the logistic loss, in a seeded order.
+
+        Signs that come together would share the weight of their rows, and one alone would say little; so weights start at
+        what each term says by itself, and rows lose terms at random while they are learned (a row never loses all).
+        """
         rng = np.random.default_rng(len(rows))
-        rate_of = labels.mean() if len(labels) else 0.0
-        self.bias = float(np.log((rate_of + 1e-3) / (1 - rate_of + 1e-3)))
+        self.start(rows, labels)
         pad = len(self.held)
         gw, gv, gb = np.full(pad + 1, 1e-6), np.full(self.vectors.shape, 1e-6), 1e-6
-        for _ in range(epochs):
+        for epoch in range(epochs):
             order = rng.permutation(len(rows))
             # Rows of like length share a batch, so padding stays small.
             order = order[np.argsort([len(rows[k]) // 32 for k in order], kind="stable")]
@@ -92,20 +112,23 @@ class FactorizationMachine:
                 at = np.full((len(some), max(1, max(len(rows[i]) for i in some))), pad)
                 for n, i in enumerate(some):
                     at[n, : len(rows[i])] = rows[i]
-                p = 1 / (1 + np.exp(-np.clip(self.raw(at), -40, 40)))
-                g = (p - labels[some]) / len(some)
-                v = self.vectors[at]
+                left = np.where(rng.random(at.shape) < rng.random((len(some), 1)) * drop, pad, at)
+                at = np.where((left == pad).all(1)[:, None], at, left)
+                raw = self.raw(at) if epoch >= linear else self.bias + self.weights[at].sum(1)
+                g = (1 / (1 + np.exp(-np.clip(raw, -40, 40))) - labels[some]) / len(some)
                 used, inverse = np.unique(at, return_inverse=True)
                 inverse = inverse.reshape(at.shape)
+                if epoch >= linear:
+                    v = self.vectors[at]
+                    each = g[:, None, None] * (v.sum(1)[:, None, :] - v)
+                    dv = np.stack([np.bincount(inverse.ravel(), each[:, :, f].ravel(), len(used)) for f in range(v.shape[2])], 1) + decay * self.vectors[used]
+                    gv[used] += dv * dv
+                    self.vectors[used] -= 0.2 * rate * dv / np.sqrt(gv[used])
                 dw = np.bincount(inverse.ravel(), np.repeat(g, at.shape[1]), len(used)) + decay * self.weights[used]
-                each = g[:, None, None] * (v.sum(1)[:, None, :] - v)
-                dv = np.stack([np.bincount(inverse.ravel(), each[:, :, f].ravel(), len(used)) for f in range(v.shape[2])], 1) + decay * self.vectors[used]
                 db = g.sum()
                 gw[used] += dw * dw
-                gv[used] += dv * dv
                 gb += db * db
                 self.weights[used] -= rate * dw / np.sqrt(gw[used])
-                self.vectors[used] -= 0.2 * rate * dv / np.sqrt(gv[used])
                 self.bias -= rate * db / np.sqrt(gb)
                 self.weights[pad] = 0
                 self.vectors[pad] = 0

@@ -282,6 +282,47 @@ def test_language_held_out_accuracy(spark):
     assert {r.lang_pred for r in language.identify(docs(spark, [("abc", None, "s")])).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("kept", [0, 50, 8192])
+def test_language_bundles_like_brute_force(monkeypatch, kept):
+    monkeypatch.setattr(language, "KEPT", kept)
+    monkeypatch.setattr(language, "_memory", language._Memory())
+    rng = random.Random(3)
+    texts = ["Ab  a", "x", "\u0416\u0443\u043a, \u0416\u0423\u041a! zebra 42", "\u8a9e\U00020000\u3042 \u8a9e", *(prose(rng, 40) for _ in range(20))]
+    for text in [*texts, *texts]:
+        spelt = [0]
+        for c in text.lower():
+            spelt += [ord(c)] if c.isalpha() else [0] if spelt[-1] else []
+        spelt += [0] if spelt[-1] else []
+        vectors = {c: language.letter_vectors(np.array([c]))[0].astype(int) for c in spelt}
+        total = sum(np.roll(vectors[a], 2) * np.roll(vectors[b], 1) * vectors[c] for a, b, c in zip(spelt, spelt[1:], spelt[2:]))
+        assert language.profile(text).tolist() == total.tolist()
+    codes = np.array([0, *range(0x61, 0x7B), *range(0x4E00, 0x4E80)])
+    letters = language.letter_vectors(codes).astype(int)
+    assert set(np.unique(letters)) == {-1, 1} and np.abs(letters @ letters.T - 1024 * np.eye(len(codes))).max() < 220
+
+
+def test_language_of_other_scripts(spark):
+    rng = random.Random(41)
+    rows, ranges = [], {"ru": (0x430, 32), "bg": (0x430, 32), "el": (0x3B1, 25), "he": (0x5D0, 27), "zh": (0x4E00, 2000), "ja": (0x3041, 80)}
+    for lang, (first, n) in ranges.items():
+        words = ["".join(chr(first + rng.randrange(n)) for _ in range(rng.randint(2, 5))) for _ in range(200)]
+        rows += [(" ".join(rng.choices(words, k=30)), lang, "s") for _ in range(80)]
+    got = language.identify(docs(spark, rows), keep=("doc_id", "lang")).collect()
+    for lang in ranges:
+        held = [r.lang_pred == lang for r in got if r.held_out and r.lang == lang]
+        assert len(held) >= 10 and np.mean(held) >= 0.95
+
+
+def test_language_cosines_like_brute_force(spark):
+    rng = random.Random(43)
+    rows = [(prose(rng, 30) if k % 2 else " ".join(w[::-1] + "q" for w in prose(rng, 30).split()), "ab"[k % 2], "s") for k in range(60)]
+    got = language.identify(docs(spark, rows)).collect()
+    unit = lambda v: v / np.sqrt((v.astype(float) ** 2).sum())
+    learned = {x: unit(sum(unit(language.profile(t)) for k, (t, y, _) in enumerate(rows) if y == x and zlib.crc32(str(k + 1).encode()) % 4 != 2)) for x in "ab"}
+    for r in got:
+        assert r.score == pytest.approx(float(unit(language.profile(rows[r.doc_id - 1][0])) @ learned[r.lang_pred]), abs=1e-5)
+
+
 def test_language_does_not_see_labels(spark):
     rng = random.Random(12)
     rows = [(prose(rng, 20), rng.choice("ab"), "s") for _ in range(80)]
@@ -436,6 +477,42 @@ def test_toxicity_learns_words_and_pairs(spark):
     assert [got[900 + k].predicted for k in (1, 2, 3)] == [0, 0, 0]
 
 
+def test_toxicity_of_a_sign_that_came_with_others_only(spark):
+    rng = random.Random(37)
+    signs = ["dunce", "grubface", "snotling", "ratbag", "twerp", "yokel"]
+    rows, labels = [], []
+    for i in range(1200):
+        toxic = rng.random() < 0.15
+        words = prose(rng, rng.randint(5, 60)).split()
+        for sign in rng.sample(signs, 4) if toxic else []:
+            words.insert(rng.randrange(len(words)), sign)
+        rows.append(" ".join(words))
+        labels.append((i + 1, int(toxic)))
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.detect(docs(spark, rows + signs + [prose(rng, 30) + " " + s for s in signs] + [prose(rng, 30)]), known).collect()}
+    assert [got[1201 + k].predicted for k in range(13)] == [1] * 12 + [0]
+    assert all(got[i].predicted == y for i, y in labels if got[i].held_out)
+
+
+def test_machine_scores_like_a_sum_over_pairs():
+    rng = np.random.default_rng(3)
+    machine = toxicity.FactorizationMachine(np.arange(10, 60, 5), factors=4)
+    machine.bias, machine.weights[:-1], machine.vectors[:-1] = -0.3, rng.normal(0, 0.5, 10), rng.normal(0, 0.5, (10, 4))
+    for found in ([], [15], [10, 20, 55], [1, 11, 30, 35, 99]):
+        at = [machine.held.tolist().index(x) for x in found if x in machine.held]
+        raw = machine.bias + sum(machine.weights[i] for i in at)
+        raw += sum(float(machine.vectors[i] @ machine.vectors[j]) for i in at for j in at if i < j)
+        assert machine.score(np.array(found, np.int64)) == pytest.approx(1 / (1 + np.exp(-raw)))
+
+
+def test_machine_starts_from_bounded_log_odds():
+    rows, labels = [np.array([0]), np.array([0, 1]), np.array([1]), np.array([], np.int64)] * 25, np.array([1.0, 1, 0, 0] * 25)
+    machine = toxicity.FactorizationMachine(np.arange(2))
+    machine.start(rows, labels)
+    odds = np.log(50.5 / 51) - np.log(0.5 / 51)
+    assert machine.weights[:2].tolist() == pytest.approx([odds - 2 * np.sqrt(1 / 50.5 + 1 / 0.5), 0.0]) and machine.bias == 0
+
+
 def test_machine_fits_an_interaction():
     rows = [np.array(x, np.int64) for x in ([0], [1], [0, 1], [2])] * 100
     machine = toxicity.FactorizationMachine(np.arange(3))
